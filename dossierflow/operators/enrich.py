@@ -144,8 +144,8 @@ def taxonomy_keywords(taxonomy: DataFrame, least_word: int = 4) -> DataFrame:
         ).alias("keyword"),
     )
     shared = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("labels"))
-    labels = active.agg(F.count(F.lit(1)).alias("all_labels"))  # one row
-    telling = shared.join(labels, (F.col("labels") < F.col("all_labels")) | (F.col("all_labels") == 1))
+    all_labels = active.agg(F.count(F.lit(1)).alias("all_labels")).scalar()
+    telling = shared.filter((F.col("labels") < all_labels) | (all_labels == 1))
     return found.join(telling.select("keyword"), "keyword").select("label", "keyword", "sort_order")
 
 

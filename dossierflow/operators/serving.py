@@ -105,11 +105,13 @@ def taxonomy(categories: DataFrame) -> DataFrame:
 
 
 def stats_totals(cases: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row of counts; documents are read once.  Both sides of the join are one row."""
-    per_documents = documents.agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "ERROR").alias("errors")
+    """One row of counts from one aggregate over both tables; each is read once."""
+    none = F.lit(0)
+    counted = cases.select(F.lit(1).alias("c"), none.alias("d"), none.alias("e")).unionByName(
+        documents.select(none.alias("c"), F.lit(1).alias("d"), (F.col("status") == "ERROR").cast("int").alias("e"))
     )
-    return cases.agg(F.count(F.lit(1)).alias("expedients")).join(per_documents)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    return counted.agg(total("c").alias("expedients"), total("d").alias("documents"), total("e").alias("errors"))
 
 
 def stats_by_category(classifications: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def _sliced(log: DataFrame, key: str, at: str, tie: str, hot_share: float, slice
     """
     moment = F.unix_micros(F.col(at).cast("timestamp"))
     sizes = log.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    total = log.agg(F.count(F.lit(1)).alias("all_rows"))  # one row
-    hot_keys = sizes.join(total, F.col("rows") > F.col("all_rows") * hot_share).select(key)
+    all_rows = log.agg(F.count(F.lit(1)).alias("all_rows")).scalar()
+    hot_keys = sizes.filter(F.col("rows") > all_rows * hot_share).select(key)
     cuts = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     bounds = (
         log.join(F.broadcast(hot_keys), key, "left_semi")

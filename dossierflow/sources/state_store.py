@@ -1,0 +1,97 @@
+"""State tables as versioned folders with an append-only list of commits.
+
+Tables are split by a hash of the case id.  A commit writes only the buckets it changes into a
+new version folder, then one commit file that lists them; readers follow the newest commit
+file, so a run is seen whole or not at all, and no folder is overwritten while it is read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from dossierflow.schemas import STATE_TABLES
+from dossierflow.sources.stages import exists
+
+BUCKETS = 64
+# Tables without a case id live in one bucket.
+_UNSPLIT = {"taxonomy_categories"}
+_COMMIT = "version bigint, run string, table string, bucket int, stored_in bigint"
+
+
+class StateStore:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    # Commit rows are bounded by tables x buckets per version, so the driver may hold them.
+    def _commits(self) -> DataFrame:
+        folder = f"{self.root}/commits"
+        if not exists(self.spark, folder):
+            return self.spark.createDataFrame([], _COMMIT)
+        return self.spark.read.schema(_COMMIT).option("recursiveFileLookup", "true").parquet(folder)
+
+    def version(self) -> int:
+        return self._commits().agg(F.max("version")).first()[0] or 0
+
+    def _stored(self, table: str) -> dict[int, int]:
+        rows = (
+            self._commits()
+            .filter(F.col("table") == table)
+            .groupBy("bucket")
+            .agg(F.max_by("stored_in", "version").alias("stored_in"))
+            .collect()
+        )
+        return {r["bucket"]: r["stored_in"] for r in rows}
+
+    def bucket(self, table: str) -> Column:
+        if table in _UNSPLIT:
+            return F.lit(0)
+        return F.pmod(F.xxhash64("case_id"), F.lit(self.buckets)).cast("int")
+
+    def read(self, table: str, only: set[int] | None = None) -> DataFrame:
+        """Current rows of a table; `only` limits the scan to some buckets."""
+        schema = STATE_TABLES[table]
+        folders = [
+            f"{self.root}/{table}/v={v}/bucket={b}"
+            for b, v in sorted(self._stored(table).items())
+            if v and (only is None or b in only)
+        ]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def buckets_of(self, cases: DataFrame) -> set[int]:
+        """Buckets the given cases fall in: at most `buckets` numbers."""
+        return {r[0] for r in cases.select(self.bucket("cases").alias("b")).distinct().collect()}
+
+    def commit(self, run: str, changes: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None, only: set[int] | None = None) -> int:
+        """Publish new contents of all tables together.
+
+        `changes` holds the full rows of the buckets in `only` (of all buckets when None);
+        `appended` holds rows added to what is there.  A run that is committed already is not
+        committed again, so a repeated run changes nothing.
+        """
+        done = self._commits().filter(F.col("run") == run).agg(F.max("version")).first()[0]
+        if done:
+            return done
+        version = self.version() + 1
+        listed = []
+        contents = dict(changes)
+        for table, rows in (appended or {}).items():
+            contents[table] = self.read(table, only).unionByName(rows)
+        for table, rows in contents.items():
+            folder = f"{self.root}/{table}/v={version}"
+            (
+                rows.withColumn("bucket", self.bucket(table))
+                .write.mode("overwrite")
+                .partitionBy("bucket")
+                .parquet(folder)
+            )
+            buckets = {0} if table in _UNSPLIT else only
+            every = range(self.buckets) if buckets is None else sorted(buckets)
+            # An emptied bucket has no folder; its entry goes to a version that holds nothing.
+            for b in every:
+                there = exists(self.spark, f"{folder}/bucket={b}")
+                listed.append((version, run, table, b, version if there else 0))
+        commit = self.spark.createDataFrame(listed, _COMMIT).coalesce(1)
+        commit.write.mode("errorifexists").parquet(f"{self.root}/commits/n={version}")
+        return version
