@@ -180,22 +180,31 @@ def _mark_copies(rows: DataFrame, scope: str, salts: int) -> DataFrame:
     )
 
 
-def merge_manifests(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing entries win; a new one is added once per identity, so a re-run adds nothing.
+def _identity() -> Column:
+    """Staged name where there is one, else kind and lineage."""
+    name = F.col("staged_name")
+    return F.when(name.isNotNull(), F.struct(F.lit("staged").alias("a"), name.alias("b"))).otherwise(
+        F.struct(F.col("kind").alias("a"), F.col("lineage").alias("b"))
+    )
 
-    Identity is the staged name where there is one, else kind and lineage, within the case.
-    """
-    identity = F.when(
-        F.col("staged_name").isNotNull(), F.struct(F.lit("staged").alias("a"), F.col("staged_name").alias("b"))
-    ).otherwise(F.struct(F.col("kind").alias("a"), F.col("lineage").alias("b")))
-    old_keys = existing.select("case_id", identity.alias("identity"))
-    added = (
-        new.withColumn("identity", identity)
-        .dropDuplicates(["case_id", "identity"])
-        .join(old_keys, ["case_id", "identity"], "left_anti")
-        .drop("identity")
+
+def manifest_additions(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of `new` that a merge adds: one per identity within the case that is not known.
+
+    The known side is first reduced to identities that occur in `new`, with `new` as the
+    small side, so a long history is filtered where it is read and not shuffled."""
+    first = F.min(F.struct(*[c for c in _ORDER if c in new.columns], F.struct(*new.columns).alias("row")))
+    fresh = new.groupBy("case_id", _identity().alias("identity")).agg(first.alias("first"))
+    fresh = fresh.select("case_id", "identity", "first.row")
+    known = existing.select("case_id", _identity().alias("identity")).join(
+        fresh.select("case_id", "identity"), ["case_id", "identity"], "left_semi"
     )
-    return existing.unionByName(added)
+    return fresh.join(known, ["case_id", "identity"], "left_anti").select("row.*")
+
+
+def merge_manifests(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Existing entries win; a new one is added once per identity, so a re-run adds nothing."""
+    return existing.unionByName(manifest_additions(existing, new))
 
 
 def manifest_rows(items: DataFrame, *also: str) -> DataFrame:

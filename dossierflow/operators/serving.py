@@ -59,7 +59,7 @@ def facet_cases(cases: DataFrame, statuses: Sequence[str] = (), date: str = "all
 
 def facet_counts(cases: DataFrame) -> DataFrame:
     """Cases per known status with its display position; absent ones are left out."""
-    place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status"))
+    place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status")).cast("int")
     return (
         cases.groupBy("status")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossierflow.operators import documents, enrich, state
@@ -34,7 +36,7 @@ def classify_and_merge(
     """
     if documents.kept(manifest).isEmpty():
         return store.version()
-    now = F.lit(spark.range(1).select(F.current_timestamp()).first()[0]) if now is None else now
+    now = F.lit(datetime.now(timezone.utc)) if now is None else now
     docs = stages.write_folder(documents.docs_all(parsed, texts, manifest), f"{work}/docs_all")
     failed = stages.write_folder(
         documents.docs_failed(manifest, docs, include_skipped)

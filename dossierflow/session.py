@@ -56,4 +56,4 @@ def ship_package(spark: SparkSession) -> None:
 def plan_bytes(df) -> int:
     """Catalyst's size estimate for a plan.  Joins are estimated high, so comparing it with a
     limit only ever errs towards the path made for large data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

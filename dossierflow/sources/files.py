@@ -75,11 +75,14 @@ def read_staged_texts(spark: SparkSession, folders: str | list[str]) -> DataFram
     return files.select(paths.file_name(F.col("path")).alias("staged_name"), "path", F.col("value").alias("text_blocks"))
 
 
-def read_manifests(spark: SparkSession, location: str | list[str], case_pattern: str = r"/staging/([^/]+)/manifest.json\z") -> DataFrame:
-    """JSON-array manifests with the case id from the file path (empty when the path has none)."""
-    rows = spark.read.schema(MANIFEST_JSON).option("multiLine", True).json(location)
+def read_manifests(spark: SparkSession, location: str | list[str], case_pattern: str = r"/staging/([^/]+)/manifest.json\z", json_lines: bool = False) -> DataFrame:
+    """Manifests with the case id from the file path (empty when the path has none).
+
+    Files hold a JSON array each, or one object per line when `json_lines` is set."""
+    rows = spark.read.schema(MANIFEST_JSON).option("multiLine", not json_lines).json(location)
     return rows.select(
-        F.regexp_extract(F.col("_metadata.file_path"), case_pattern, 1).alias("case_id"), "*"
+        F.regexp_extract(F.col("_metadata.file_path"), case_pattern, 1).alias("case_id"),
+        *MANIFEST_JSON.fieldNames(),
     )
 
 

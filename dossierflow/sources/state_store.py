@@ -15,6 +15,8 @@ from dossierflow.sources.stages import exists
 BUCKETS = 64
 # Tables without a case id live in one bucket.
 _UNSPLIT = {"taxonomy_categories"}
+# Logs only grow: each commit adds a folder and older ones stay as they are.
+_LOGS = {"classification_history", "events"}
 _COMMIT = "version bigint, run string, table string, bucket int, stored_in bigint"
 
 
@@ -50,6 +52,8 @@ class StateStore:
     def read(self, table: str, only: set[int] | None = None) -> DataFrame:
         """Current rows of a table; `only` limits the scan to some buckets."""
         schema = STATE_TABLES[table]
+        if table in _LOGS:
+            return self._read_log(table, only)
         folders = [
             f"{self.root}/{table}/v={v}/bucket={b}"
             for b, v in sorted(self._stored(table).items())
@@ -59,6 +63,17 @@ class StateStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
+    def _read_log(self, table: str, only: set[int] | None) -> DataFrame:
+        schema = STATE_TABLES[table]
+        parts = self._commits().filter(F.col("table") == table).select("stored_in").distinct()
+        folders = [f"{self.root}/{table}/v={r[0]}" for r in parts.collect() if r[0]]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.option("basePath", f"{self.root}/{table}").schema(schema).parquet(*folders)
+        if only is not None:
+            rows = rows.filter(F.col("bucket").isin(*only))
+        return rows.select(*schema.fieldNames())
+
     def buckets_of(self, cases: DataFrame) -> set[int]:
         """Buckets the given cases fall in: at most `buckets` numbers."""
         return {r[0] for r in cases.select(self.bucket("cases").alias("b")).distinct().collect()}
@@ -67,7 +82,7 @@ class StateStore:
         """Publish new contents of all tables together.
 
         `changes` holds the full rows of the buckets in `only` (of all buckets when None);
-        `appended` holds rows added to what is there.  A run that is committed already is not
+        `appended` holds new rows of the logs.  A run that is committed already is not
         committed again, so a repeated run changes nothing.
         """
         done = self._commits().filter(F.col("run") == run).agg(F.max("version")).first()[0]
@@ -75,21 +90,21 @@ class StateStore:
             return done
         version = self.version() + 1
         listed = []
-        contents = dict(changes)
-        for table, rows in (appended or {}).items():
-            contents[table] = self.read(table, only).unionByName(rows)
-        for table, rows in contents.items():
+        for table, rows in {**changes, **(appended or {})}.items():
             folder = f"{self.root}/{table}/v={version}"
+            # Rows written by many tasks per bucket: a hot case stays spread over its files.
             (
                 rows.withColumn("bucket", self.bucket(table))
                 .write.mode("overwrite")
                 .partitionBy("bucket")
                 .parquet(folder)
             )
+            if table in _LOGS:
+                listed.append((version, run, table, -1, version))
+                continue
             buckets = {0} if table in _UNSPLIT else only
-            every = range(self.buckets) if buckets is None else sorted(buckets)
-            # An emptied bucket has no folder; its entry goes to a version that holds nothing.
-            for b in every:
+            # An emptied bucket has no folder; version 0 stands for nothing stored.
+            for b in range(self.buckets) if buckets is None else sorted(buckets):
                 there = exists(self.spark, f"{folder}/bucket={b}")
                 listed.append((version, run, table, b, version if there else 0))
         commit = self.spark.createDataFrame(listed, _COMMIT).coalesce(1)

@@ -6,7 +6,7 @@ so a replayed batch replaces what it wrote before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dossierflow.functions import paths
@@ -14,7 +14,6 @@ from dossierflow.operators import normalize
 from dossierflow.operators.expand import MAX_DEPTH, MAX_ENTRY_BYTES, expand_containers
 from dossierflow.schemas import ENTRY, MANIFEST
 from dossierflow.sources import files, stages
-from pyspark.sql import types as T
 
 _BATCH = T.StructField("batch_id", T.LongType())
 ENTRIES_TABLE = T.StructType(ENTRY.fields + [T.StructField("has_text", T.BooleanType()), _BATCH])
@@ -60,21 +59,12 @@ def process_batch(batch: DataFrame, batch_id: int, staging: Staging, scope: str
     # Only earlier batches count as known, so a replay sees what the first attempt saw.
     known = staging.manifest_batches().filter(F.col("batch_id") < batch_id)
     fresh = normalize.manifest_of_batch(entries, known.drop("batch_id"), scope)
-    added = fresh_only(known, fresh)
+    added = normalize.manifest_additions(known.drop("batch_id"), fresh.drop("batch_id"))
     stages.write_batch(added.select(*MANIFEST.fieldNames()), f"{staging.root}/manifest", batch_id)
     if archive_root:
         stages.write_batch(archive_rows(batch, archive_root), f"{staging.root}/archived_files", batch_id)
 
 
-def fresh_only(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows a manifest merge would add: identities that no earlier batch has."""
-    merged = normalize.merge_manifests(
-        known.drop("batch_id").withColumn("is_new", F.lit(False)),
-        fresh.drop("batch_id").withColumn("is_new", F.lit(True)),
-    )
-    return merged.filter("is_new").drop("is_new")
-
-
 def archive_rows(batch: DataFrame, archive_root: str) -> DataFrame:
     """Where each handled file belongs in the archive; sub-folders are kept."""
     name = paths.case_relative_name(F.col("path"))
