@@ -155,33 +155,36 @@ def token_text(text: Column) -> Column:
 
 
 def _inline_scores(docs: DataFrame, rules: list, text_col: str) -> DataFrame:
+    """Scores as expressions over each text.
+
+    The text is tokenised once and bound to a lambda variable, and the verdict comes out of a
+    generator: a later filter on the label stays above it instead of repeating the counting."""
     by_label: dict = {}
     for r in rules:
         by_label.setdefault((r["sort_order"], r["label"]), []).append(r["keyword"])
 
-    def hits(keyword: str) -> Column:
-        gone = F.replace(F.col("tokens"), F.lit(f" {keyword} "), F.lit(""))
-        return F.floor((F.length("tokens") - F.length(gone)) / F.lit(len(keyword) + 2))
-
-    scores = [
-        F.struct(
-            sum((hits(k) for k in keywords[1:]), hits(keywords[0])).cast("bigint").alias("score"),
-            F.lit(-order).alias("preference"),
-            F.lit(label).alias("label"),
+    def hits(tokens: Column, keyword: str) -> Column:
+        gone = F.replace(tokens, F.lit(f" {keyword} "), F.lit(""))
+        return F.floor((F.length(tokens) - F.length(gone)) / F.lit(len(keyword) + 2))
+
+    def scores(tokens: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    sum((hits(tokens, k) for k in keywords[1:]), hits(tokens, keywords[0])).cast("bigint").alias("score"),
+                    F.lit(-order).alias("preference"),
+                    F.lit(label).alias("label"),
+                )
+                for (order, label), keywords in sorted(by_label.items())
+            ]
         )
-        for (order, label), keywords in sorted(by_label.items())
-    ]
-    return (
-        docs.withColumn("tokens", token_text(F.col(text_col)))
-        .withColumn("scores", F.array(*scores))
-        .withColumns(
-            {
-                "winner": F.array_max("scores"),
-                "total": F.aggregate("scores", F.lit(0).cast("bigint"), lambda a, s: a + s["score"]),
-            }
-        )
-        .drop("tokens", "scores")
-    )
+
+    def verdict(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, s: a + s["score"])
+        return F.struct(F.array_max(found).alias("winner"), total.alias("total"))
+
+    counted = F.transform(F.array(token_text(F.col(text_col))), scores)
+    return docs.select("*", F.inline_outer(F.transform(counted, verdict)))
 
 
 def _joined_scores(docs: DataFrame, rules: DataFrame, text_col: str, key: list[str]) -> DataFrame:

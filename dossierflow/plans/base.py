@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossierflow.functions import paths
 from dossierflow.operators import documents as docs_ops, enrich, normalize, state
+from dossierflow.session import spread
 
 SUFFIXES = {1: ".docx", 2: ".xlsx", 3: ".eml", 4: ".csv", 5: ".png", 6: ".pptx"}
 PROMPT_VERSION = "v2.0"
@@ -34,8 +35,13 @@ FIELD_RULES = {
 }
 
 
+# Tables with long texts, and the column to spread a small one by.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows, _TEXT_TABLES[name]) if name in _TEXT_TABLES else rows
 
 
 def _suffix(doc_id: Column) -> Column:

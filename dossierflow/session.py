@@ -57,3 +57,11 @@ def plan_bytes(df) -> int:
     """Catalyst's size estimate for a plan.  Joins are estimated high, so comparing it with a
     limit only ever errs towards the path made for large data."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df, key: str):
+    """Hash a small scan over all cores when its files give fewer splits than there are cores,
+    so that work per text does not run in one task.  A scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, key) if splits < cores else df
