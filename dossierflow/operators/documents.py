@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from dossierflow.operators.normalize import KEPT_KINDS, describe
-from dossierflow.operators.parse import parse_documents
+from dossierflow.operators.parse import parse_document, text_blocks
 
 # A staged name is unique only within its case.
 DOCUMENT_KEY = ["case_id", "staged_name"]
@@ -22,36 +22,37 @@ def staged_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def texts_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed binaries, texts read at staging), both keyed by case and staged name.
+def texts_of(entries: DataFrame) -> DataFrame:
+    """Text of every staged entry (case_id, staged_name, text_blocks), parsed or as read.
 
-    Bytes are turned into text where they are read, so what a later join moves is text and
-    never a payload.
+    One scan serves both kinds, and bytes become text where they are read, so what a later
+    join moves is text and never a payload.
     """
+    binary = F.col("raw_kind") == "binary"
     staged = staged_entries(entries)
-    binaries = staged.filter(F.col("raw_kind") == "binary").select(*DOCUMENT_KEY, "suffix", "data")
-    texts = staged.filter(F.col("raw_kind") == "text").select(
-        *DOCUMENT_KEY, F.col("text").alias("text_blocks")
-    )
-    return parse_documents(binaries).select(*DOCUMENT_KEY, "text_blocks"), texts
+    parsed = staged.withColumn("parsed", parse_document(F.when(binary, F.col("data")), F.col("suffix")))
+    blocks = F.when(binary, text_blocks(F.col("parsed"))).otherwise(F.col("text"))
+    return parsed.select(*DOCUMENT_KEY, blocks.alias("text_blocks"))
 
 
 def kept(manifest: DataFrame) -> DataFrame:
     return manifest.filter(F.col("kind").isin(*KEPT_KINDS))
 
 
-def docs_all(parsed: DataFrame, texts: DataFrame, manifest: DataFrame) -> DataFrame:
+def both_branches(parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Parsed binaries and pre-extracted texts stacked, for artefacts staged as files."""
+    columns = [*DOCUMENT_KEY, "text_blocks"]
+    return parsed.select(*columns).unionByName(texts.select(*columns))
+
+
+def docs_all(texts: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per staged document with usable text.
 
-    Both branches are stacked before the one equi-join, so the manifest is met once.  The join
-    carries no hint: a manifest below the broadcast threshold is broadcast, a larger one is
-    merged on the document key, on which both sides are unique."""
-    texts_in = parsed.select(*DOCUMENT_KEY, "text_blocks").unionByName(
-        texts.select(*DOCUMENT_KEY, "text_blocks")
-    )
-    usable = texts_in.filter(F.col("text_blocks").isNotNull() & (F.length("text_blocks") > 0))
+    The join carries no hint: a manifest below the broadcast threshold is broadcast, a larger
+    one is merged on the document key, on which both sides are unique."""
+    usable = texts.filter(F.col("text_blocks").isNotNull() & (F.length("text_blocks") > 0))
     names = kept(manifest).select(*DOCUMENT_KEY, "lineage", "original_filename", "content_hash")
-    return usable.join(names, DOCUMENT_KEY).select(
+    return usable.select(*DOCUMENT_KEY, "text_blocks").join(names, DOCUMENT_KEY).select(
         "case_id", "lineage", "original_filename", "staged_name", "content_hash", "text_blocks"
     )
 

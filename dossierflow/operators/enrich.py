@@ -6,9 +6,12 @@ and keeps every row.  The defaults are deterministic column expressions.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierflow.schemas import EXTRACTED_FIELDS
 
@@ -66,60 +69,37 @@ def words(text: Column, least: int) -> Column:
     return F.filter(found, lambda w: F.length(w) >= least)
 
 
+_NO_WORD = re.compile(r"[\W_]+")
+
+
+def _most_frequent(sentences, n: int, least: int) -> str:
+    """The n sentences with the highest sum of word counts, in text order; the earlier one of
+    equals is taken."""
+    split = [[w for w in _NO_WORD.split(s.lower()) if len(w) >= least] for s in sentences]
+    overall = Counter(w for ws in split for w in ws)
+    ranked = sorted(range(len(split)), key=lambda i: (-sum(overall[w] for w in split[i]), i))
+    return " ".join(sentences[i] for i in sorted(ranked[:n]))
+
+
 def summarize(
     docs: DataFrame,
     text_col: str = "text_blocks",
-    key=("case_id", "staged_name"),
     n: int = SUMMARY_SENTENCES,
     max_chars: int = PROMPT_CHARS,
     least_word: int = 4,
 ) -> DataFrame:
     """Add `resum`: the n sentences whose words are most frequent in the text, in text order.
 
-    The short prompt texts are hash-partitioned by document once; word counts, scores and the
-    top sentences are then grouped on that same key without another exchange, and a group is
-    never larger than one prompt.
+    One projection without any exchange.  Sentences of the short prompt are cut in the JVM and
+    cross to Python in Arrow batches; counting words as rows instead would move every word of
+    every prompt through several exchanges.
     """
-    key = list(key)
-    prompts = (
-        docs.select(*key, sentences(prompt_text(F.col(text_col), max_chars)).alias("sentences"))
-        .repartition(*key)
-    )
-    by_word = (
-        prompts.select(*key, F.posexplode("sentences").alias("at", "sentence"))
-        .select(*key, "at", F.explode(words(F.col("sentence"), least_word)).alias("word"))
-        .groupBy(*key, "at", "word")
-        .agg(F.count(F.lit(1)).alias("here"))
-    )
-    everywhere = Window.partitionBy(*key, "word")
-    scores = (
-        by_word.withColumn("overall", F.sum("here").over(everywhere))
-        .groupBy(*key, "at")
-        .agg(F.sum(F.col("here") * F.col("overall")).alias("score"))
-    )
-    # At most one score per sentence of one prompt, so the list is bounded by max_chars.
-    scored = scores.groupBy(*key).agg(F.collect_list(F.struct("at", "score")).alias("scored"))
-    joined = prompts.join(scored, key, "left")
-    # Sentences without a counted word score zero and fill up behind the others.
-    known = F.map_from_entries(F.coalesce(F.col("scored"), F.array().cast("array<struct<at:int,score:bigint>>")))
-    ranked = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), F.size("sentences") - 1),
-            lambda i: F.struct(
-                (-F.coalesce(F.try_element_at(F.col("known"), i), F.lit(0).cast("bigint"))).alias("cost"),
-                i.alias("at"),
-            ),
-        )
-    )
-    top = F.array_sort(F.transform(F.slice(F.col("ranked"), 1, n), lambda r: r["at"]))
-    text = F.concat_ws(" ", F.transform(F.col("top"), lambda i: F.get(F.col("sentences"), i)))
-    summaries = (
-        joined.withColumn("known", known)
-        .withColumn("ranked", F.when(F.size("sentences") > 0, ranked))
-        .withColumn("top", top)
-        .select(*key, F.coalesce(text, F.lit("")).alias("resum"))
-    )
-    return docs.join(summaries, key)
+
+    @F.pandas_udf("string")
+    def pick(found: pd.Series) -> pd.Series:
+        return found.map(lambda ss: _most_frequent(list(ss), n, least_word))
+
+    return docs.withColumn("resum", pick(sentences(prompt_text(F.coalesce(F.col(text_col), F.lit("")), max_chars))))
 
 
 def summarize_lead(docs: DataFrame, text_col: str = "text_blocks", n: int = SUMMARY_SENTENCES, max_chars: int = PROMPT_CHARS) -> DataFrame:

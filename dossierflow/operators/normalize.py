@@ -59,13 +59,12 @@ def describe(entries: DataFrame) -> DataFrame:
 
 
 def narrow(entries: DataFrame) -> DataFrame:
-    """The columns the manifest needs; lets the scan skip both payload columns.
+    """The columns the manifest needs, so that a scan skips both payload columns.
 
-    Binary rows carry no text, so `text is not null` is stored at expansion as has_text."""
-    keep = [c for c in entries.columns if c not in ("data", "text")]
-    if "has_text" not in keep:
-        return entries.select(*keep, F.col("text").isNotNull().alias("has_text"))
-    return entries.select(*keep)
+    Whether an entry has text is stored at expansion as has_text, or taken from the text."""
+    wanted = ("batch_id", *_ORDER, "lineage", "repeat", "suffix", "content_hash", "reason")
+    has_text = F.col("has_text") if "has_text" in entries.columns else F.col("text").isNotNull()
+    return entries.select(*[c for c in wanted if c in entries.columns], has_text.alias("has_text"))
 
 
 def scope_columns(scope: str) -> tuple[str, ...]:
@@ -117,63 +116,56 @@ def manifest_of_batch(
 def _mark_copies(rows: DataFrame, scope: str, salts: int) -> DataFrame:
     """Keep the first entry per content, point the others at it.
 
-    The first entry is an aggregate with partial combine, and only contents seen more than
-    once come back through a join.  That join is salted by entry: the aggregate also notes
-    which salts a content uses, so a content that makes up a third of all rows is met in
-    `salts` pieces and the replicated side never outgrows the copies themselves.
+    Rows are laid out once by (content, salt); the aggregate that finds the first entry and
+    the join that brings it back both start from that exchange, so the entries are read and
+    hashed once.  (Both compare whole rows, which keeps them on the same columns whatever a
+    caller selects.)
+
+    The aggregate combines partially, and only contents seen more than once come back.  It
+    also notes which salts a content uses, so a content that makes up a third of all rows is
+    met in `salts` pieces and the replicated side never outgrows the copies themselves.
     """
-    keys = scope_columns(scope)
     batch = ("batch_id",) if "batch_id" in rows.columns else ()
+    order = [*batch, *_ORDER]
+    staged = F.col("raw_kind").isin(*KEPT_KINDS)
+    # Skipped entries take no part: their key is their own lineage, which keeps them from
+    # meeting in one partition as NULLs would.
+    own = F.concat(F.lit("skipped "), F.col("lineage"))
     salt = F.pmod(F.xxhash64("lineage", F.to_json("entry_path")), F.lit(salts)).cast("int")
-    rows = rows.withColumns(
-        {"position": F.struct(*[F.col(c) for c in batch + _ORDER]), "salt": salt}
+    # One key that is never NULL: no null filter gets between the two readers of the exchange.
+    within = [F.col(k).cast("string") for k in scope_columns(scope) if k != "content_hash"]
+    match = F.concat_ws("/", F.when(staged, F.col("content_hash")).otherwise(own), *within)
+    laid_out = (
+        rows.drop("has_text").withColumns({"match": match, "salt": salt}).repartition("match", "salt")
     )
-    staged = F.col("raw_kind").isin(*KEPT_KINDS)
+    rest = [c for c in laid_out.columns if c not in order and c != "salt"]
     firsts = (
-        rows.filter(staged)
-        .groupBy(*keys)
+        laid_out.groupBy("match")
         .agg(
-            F.min(F.struct("position", "candidate")).alias("first"),
+            F.min(F.struct(*order, *rest)).alias("first"),
             F.count(F.lit(1)).alias("copies"),
             F.collect_set("salt").alias("salts"),
         )
         .filter(F.col("copies") > 1)
-        .select(
-            *[F.col(k).alias("k_" + k) for k in keys],
-            F.col("first.position").alias("first_position"),
-            F.col("first.candidate").alias("first_name"),
-            F.explode("salts").alias("k_salt"),
-        )
+        .select("match", "first", F.explode("salts").alias("salt"))
     )
-    # Skipped entries take no part: their key is their own lineage, which matches nothing and
-    # keeps them from meeting in one partition as NULLs would.
-    own = F.concat(F.lit("skipped "), F.col("lineage"))
-    rows = rows.withColumn("match_hash", F.when(staged, F.col("content_hash")).otherwise(own))
-    on = (F.col("match_hash") == F.col("k_content_hash")) & (F.col("salt") == F.col("k_salt"))
-    for k in keys:
-        if k != "content_hash":
-            on = on & (F.col(k) == F.col("k_" + k))
-    marked = rows.join(firsts, on, "left")
-    same_document = (F.col("case_id") == F.col("first_position.case_id")) & (
-        F.col("candidate") == F.col("first_name")
+    marked = laid_out.join(firsts, ["match", "salt"], "left")
+    same_document = (F.col("case_id") == F.col("first.case_id")) & (
+        F.col("candidate") == F.col("first.candidate")
     )
     copy = (
-        F.col("first_position").isNotNull()
-        & (F.col("position") != F.col("first_position"))
-        & ~same_document
+        F.col("first").isNotNull() & (F.struct(*order, *rest) != F.col("first")) & ~same_document
     )
     return marked.select(
         *batch,
-        "case_id",
-        "source_path",
-        "entry_path",
+        *_ORDER,
         "lineage",
         "original_filename",
         "suffix",
         "content_hash",
         F.when(~staged, "skipped").when(copy, "duplicate").otherwise(F.col("raw_kind")).alias("kind"),
         F.when(staged & ~copy, F.col("candidate")).alias("staged_name"),
-        F.when(staged & copy, F.col("first_name")).alias("duplicate_of"),
+        F.when(staged & copy, F.col("first.candidate")).alias("duplicate_of"),
         F.when(~staged, skip_reason(F.col("suffix"), F.col("reason")))
         .otherwise(F.col("reason"))
         .alias("reason"),

@@ -79,19 +79,15 @@ def manifest(spark: SparkSession, sf: str, scope: str = "case") -> DataFrame:
     return normalize.manifest(entries(spark, sf), scope)
 
 
-def texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(parsed binaries, texts); pictures have no text provider and give an empty text."""
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Text of each staged entry; pictures have no text provider and give an empty one."""
     staged = docs_ops.staged_entries(entries(spark, sf))
-    blocks = F.when(F.col("suffix") == ".png", "").otherwise(F.col("text")).alias("text_blocks")
-    columns = ["case_id", "staged_name", blocks]
-    return (
-        staged.filter("raw_kind = 'binary'").select(*columns),
-        staged.filter("raw_kind = 'text'").select(*columns),
-    )
+    blocks = F.when(F.col("suffix") == ".png", "").otherwise(F.col("text"))
+    return staged.select("case_id", "staged_name", "raw_kind", blocks.alias("text_blocks"))
 
 
 def docs_all(spark: SparkSession, sf: str) -> DataFrame:
-    return docs_ops.docs_all(*texts(spark, sf), manifest(spark, sf))
+    return docs_ops.docs_all(texts(spark, sf), manifest(spark, sf))
 
 
 def docs_failed(spark: SparkSession, sf: str, include_skipped: bool = False) -> DataFrame:

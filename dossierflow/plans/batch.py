@@ -19,12 +19,8 @@ def stage(spark: SparkSession, root: str, prefix: str, case_id: str = "batch") -
 
 def result(spark: SparkSession, entries: DataFrame, manifest: DataFrame, rules: DataFrame, prefix: str, **providers) -> DataFrame:
     """Texts, documents, enrichment and result table; each is written once and read back."""
-    parsed, texts = documents.texts_of(entries)
-    docs = documents.docs_all(
-        stages.save_stage(parsed, f"{prefix}docs_parsed"),
-        stages.save_stage(texts, f"{prefix}docs_text_extracted"),
-        manifest,
-    )
+    texts = stages.save_stage(documents.texts_of(entries), f"{prefix}docs_text")
+    docs = documents.docs_all(texts, manifest)
     docs = documents.require_rows(stages.save_stage(docs, f"{prefix}docs_all"), "document with text")
     enriched = stages.save_stage(enrich.enrich(docs, rules, **providers), f"{prefix}docs_enriched")
     return stages.save_stage(report.sorted_result(report.result_table(enriched)), f"{prefix}resultat_final")

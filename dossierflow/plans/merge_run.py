@@ -15,7 +15,6 @@ def classify_and_merge(
     spark: SparkSession,
     store: StateStore,
     manifest: DataFrame,
-    parsed: DataFrame,
     texts: DataFrame,
     rules: DataFrame,
     work: str,
@@ -37,7 +36,7 @@ def classify_and_merge(
     if documents.kept(manifest).isEmpty():
         return store.version()
     now = F.lit(datetime.now(timezone.utc)) if now is None else now
-    docs = stages.write_folder(documents.docs_all(parsed, texts, manifest), f"{work}/docs_all")
+    docs = stages.write_folder(documents.docs_all(texts, manifest), f"{work}/docs_all")
     failed = stages.write_folder(
         documents.docs_failed(manifest, docs, include_skipped)
         # A skipped entry has no staged name; its lineage stands in as the key.

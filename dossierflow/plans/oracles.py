@@ -266,6 +266,7 @@ SQL = {
     "parse_variant": "select doc_id, text as text_blocks, cast(null as varchar) as error_status from documents",
     "page_titles": "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages",
     "docs_all": "select case_id, lineage, original_filename, staged_name, content_hash, text_blocks from b_docs_all",
+    "docs_union": "select case_id, staged_name, cast(length(text_blocks) as bigint) as chars from b_docs_all",
     "docs_failed": "select *, cast(null as varchar) as reason from b_docs_failed",
     "docs_failed_with_skipped": """
         select *, cast(null as varchar) as reason from b_docs_failed union all

@@ -200,6 +200,14 @@ def docs_all(spark, sf):
     return base.docs_all(spark, sf)
 
 
+@query
+def docs_union(spark, sf):
+    """The same from two branches, as artefacts staged as files are read."""
+    texts = base.texts(spark, sf)
+    stacked = docs_ops.both_branches(texts.filter("raw_kind = 'binary'"), texts.filter("raw_kind = 'text'"))
+    return docs_ops.docs_all(stacked, base.manifest(spark, sf)).select("case_id", "staged_name", F.length("text_blocks").cast("bigint").alias("chars"))
+
+
 @query
 def docs_failed(spark, sf):
     return base.docs_failed(spark, sf)
