@@ -157,36 +157,48 @@ def run_state(life_cycle: Column, result: Column) -> Column:
     )
 
 
-def task_steps(cases: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+def task_steps(cases: DataFrame, runs: DataFrame | None = None, salts: int = 16) -> DataFrame:
     """Two tasks per case.  While a case is processing and its run is known, states come from
-    `runs` (run_id, task_key, life_cycle_state, result_state); otherwise from the status."""
-    tasks = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(key).alias("key"), F.lit(task).alias("task_key"),
-                     F.lit(label).alias("label"), F.lit(hint).alias("hint"))
-            for i, (key, task, label, hint) in enumerate(TASKS)
-        ]
-    )
-    run_id = F.col("last_run_id") if "last_run_id" in cases.columns else F.lit(None).cast("bigint")
-    rows = cases.select(
-        "case_id", "status", F.when(F.col("status") == "PROCESSING", run_id).alias("run_id"), F.inline(tasks)
-    )
-    inferred = (
-        F.when(F.col("status").isin(*_FINISHED), "done")
-        .when((F.col("status") == "PROCESSING") & (F.col("position") == 0), "running")
-        .otherwise("pending")
-    )
-    out = ["case_id", "position", "key", "task_key", "label", "hint"]
+    `runs` (run_id, task_key, life_cycle_state, result_state); otherwise from the status.
+
+    Runs become one row each before the join, and only processing cases take part in it, so
+    neither cases without a run nor one run over many cases meet in a single partition."""
+    names = [task for _, task, _, _ in TASKS]
+    out = ["case_id", "position", "key", "task_key", "label", "hint", "state"]
+
+    def steps(rows: DataFrame, live: bool) -> DataFrame:
+        known = F.col("known") if live else F.lit(False)
+        items = []
+        for i, (key, task, label, hint) in enumerate(TASKS):
+            started = "running" if i == 0 else "pending"
+            inferred = (
+                F.when(F.col("status").isin(*_FINISHED), "done")
+                .when(F.col("status") == "PROCESSING", started)
+                .otherwise("pending")
+            )
+            told = F.coalesce(F.col(f"run_{i}"), F.lit("pending")) if live else F.lit("pending")
+            items.append(
+                F.struct(
+                    F.lit(i).alias("position"), F.lit(key).alias("key"), F.lit(task).alias("task_key"),
+                    F.lit(label).alias("label"), F.lit(hint).alias("hint"),
+                    F.when(known, told).otherwise(inferred).alias("state"),
+                )
+            )
+        return rows.select("case_id", F.inline(F.array(*items))).select(*out)
+
     if runs is None:
-        return rows.select(*out, inferred.alias("state"))
-    known = runs.select("run_id").distinct().withColumn("known", F.lit(True))
-    states = runs.select("run_id", "task_key", run_state(F.col("life_cycle_state"), F.col("result_state")).alias("live"))
-    live = F.when(F.col("known"), F.coalesce("live", F.lit("pending"))).otherwise(inferred)
-    return (
-        rows.join(known, "run_id", "left")
-        .join(states, ["run_id", "task_key"], "left")
-        .select(*out, live.alias("state"))
-    )
+        return steps(cases, False)
+    state = run_state(F.col("life_cycle_state"), F.col("result_state"))
+    per_run = runs.groupBy("run_id").agg(
+        *[F.max(F.when(F.col("task_key") == t, state)).alias(f"run_{i}") for i, t in enumerate(names)]
+    )
+    spread = per_run.select("*", F.lit(True).alias("known"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    asks = (F.col("status") == "PROCESSING") & F.col("last_run_id").isNotNull()
+    asking = cases.filter(asks).select(
+        "case_id", "status", F.col("last_run_id").alias("run_id"), F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int").alias("salt")
+    )
+    joined = asking.join(spread, ["run_id", "salt"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return steps(joined, True).unionByName(steps(cases.filter(~asks), False))
 
 
 def progress(cases: DataFrame, runs: DataFrame | None = None) -> DataFrame:

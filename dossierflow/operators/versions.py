@@ -76,14 +76,15 @@ def _sliced(log: DataFrame, key: str, at: str, tie: str, hot_share: float, slice
         F.when(F.col("bounds").isNull(), 0).otherwise(
             F.size(F.filter("bounds", lambda b: b < moment))
         ),
-    ).drop("bounds")
+    ).withColumn("hot", F.col("bounds").isNotNull()).drop("bounds")
     in_slice = Window.partitionBy(key, "slice").orderBy(at, tie)
     local = placed.withColumns(
         {"number": F.row_number().over(in_slice), "next_here": F.lead(at).over(in_slice)}
     )
     over_slices = Window.partitionBy(key).orderBy("slice")
     offsets = (
-        placed.groupBy(key, "slice")
+        placed.filter("hot")
+        .groupBy(key, "slice")
         .agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first_at"))
         .withColumns(
             {
@@ -94,8 +95,6 @@ def _sliced(log: DataFrame, key: str, at: str, tie: str, hot_share: float, slice
                 "next_slice": F.lead("first_at").over(over_slices),
             }
         )
-        # Only keys cut into several slices need them; the others start at zero.
-        .filter((F.col("before") > 0) | F.col("next_slice").isNotNull())
         .select(key, "slice", "before", "next_slice")
     )
     # At most `slices` rows for each of at most 1 / hot_share hot keys.

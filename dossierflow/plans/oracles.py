@@ -252,7 +252,7 @@ SQL = {
           '_unassigned' as stray_case, concat(lang, '/', lineage) as relative_name, original_filename as stray_name,
           concat('/landing/', case_id, '/raw/', lang, '/', lineage) as bare, concat('/inbox/', lineage) as stray_bare
         from b_entries""",
-    "expand_container_files": _OPENED,
+    "expand_containers": _OPENED,
     "stream_ingest": _STREAMED,
     "read_manifest_json": """
         select case_id, lineage, kind, staged_name,

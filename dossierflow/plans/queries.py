@@ -82,8 +82,8 @@ def path_parts(spark, sf):
     )
 
 
-@query
-def expand_container_files(spark, sf):
+def _expand_containers(spark, sf):
+    """Archives, mails and sheets built from the documents inside the job, and opened again."""
     opened = expand_containers(built_files.archives(base.table(spark, sf, "documents")))
     # Opened once: the manifest reads narrow columns of the written entries, texts join back.
     entries = stages.write_folder(opened, run_folder(spark, "entries"))
@@ -96,6 +96,9 @@ def expand_container_files(spark, sf):
     )
 
 
+QUERIES["expand_containers"] = _expand_containers
+
+
 @query
 def stream_ingest(spark, sf):
     """Documents as landed files, drained as a stream into entries and manifest tables."""

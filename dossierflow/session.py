@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -44,15 +42,6 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/dossierflow/{purpose}-{uuid.uuid4().hex}"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors of a cluster; local workers import it already."""
-    if spark.sparkContext.master.startswith("local"):
-        return
-    package = Path(__file__).parent
-    stem = Path(tempfile.mkdtemp(prefix="dossierflow-")) / package.name
-    spark.sparkContext.addPyFile(shutil.make_archive(str(stem), "zip", package.parent, package.name))
-
-
 def plan_bytes(df) -> int:
     """Catalyst's size estimate for a plan.  Joins are estimated high, so comparing it with a
     limit only ever errs towards the path made for large data."""

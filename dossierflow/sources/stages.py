@@ -50,6 +50,36 @@ def write_report(display: DataFrame, folder: str, format: str = "csv") -> None:
         writer.format(format).save(folder)
 
 
+def write_staged_files(staged: DataFrame, root: str) -> DataFrame:
+    """Staged entries as files <root>/<case>/<kind>/<staged name>, for readers of plain files.
+
+    Takes rows (case_id, kind, staged_name, data, text); tasks write where the rows are, below
+    a folder every executor can reach, and the returned rows name what an action has written.
+    A repeated task writes the same bytes to the same name.
+    """
+    schema = "case_id string, kind string, staged_name string, path string, length bigint"
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                body = r["data"] if r["kind"] == "binary" else (r["text"] or "").encode()
+                folder = f"{base.rstrip('/')}/{r['case_id']}/{r['kind']}"
+                path = f"{folder}/{r['staged_name']}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(body or b"")
+                done.append((r["case_id"], r["kind"], r["staged_name"], path, len(body or b"")))
+            names = ("case_id", "kind", "staged_name", "path", "length")
+            yield pa.RecordBatch.from_pydict({n: [d[i] for d in done] for i, n in enumerate(names)})
+
+    return staged.select("case_id", "kind", "staged_name", "data", "text").mapInArrow(run, schema)
+
+
 def exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -57,6 +57,16 @@ def test_staged_files_are_read_by_name(spark, tmp_path):
     assert rows == {"doc_1.docx": "u\ndos", "doc_2.txt": "un\ndos"}
 
 
+def test_staged_entries_written_as_files(spark, folder, tmp_path):
+    entries = batch.expand_containers(files.below(files.read_files(spark, str(folder)), str(folder), "E1"))
+    staged = documents.staged_entries(entries).withColumn("kind", F.col("raw_kind"))
+    written = stages.write_staged_files(staged, str(tmp_path / "staging")).collect()
+    assert len(written) == 4
+    binaries = files.read_staged_binaries(spark, str(tmp_path / "staging/*/binary")).collect()
+    assert {bytes(r["data"]) for r in binaries} == {docx(["Resolucion que adjudica", "Expedient: X-9"])}
+    assert files.read_staged_texts(spark, str(tmp_path / "staging/*/text")).count() == 2
+
+
 def test_parsers(spark):
     made = [(".docx", docx(["a <b>", "", "c"])), (".pptx", pptx(["x", "y"])), (".pdf", page_file(["u (1)", r"d\s"])), (".doc", b"old"), (".png", b"p"), (".docx", b"broken")]
     df = spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(made)], "i int, suffix string, data binary")

@@ -97,3 +97,16 @@ def test_a_new_delivery_under_an_old_name_wins(spark, tmp_path):
     latest = staged_entries(staging.entries()).collect()
     assert [bytes(r["data"]) for r in latest] == [pdf(b"new")]
     assert staging.manifest().count() == 1
+
+
+def test_handled_files_can_be_moved_away(spark, tmp_path):
+    for i in range(2):
+        land(tmp_path, "E1", f"sub/{i}.pdf", pdf(str(i).encode()))
+        stream = files.stream_files(spark, str(tmp_path / "landing"), archive=str(tmp_path / "done"))
+        streaming.ingest(stream, streaming.Staging(spark, str(tmp_path / "staging")), str(tmp_path / "checkpoint"))
+    land(tmp_path, "E1", "sub/2.pdf", pdf(b"2"))
+    drain(spark, tmp_path)
+    moved = sorted(p.name for p in (tmp_path / "done").rglob("*.pdf"))
+    left = sorted(p.name for p in (tmp_path / "landing").rglob("*.pdf"))
+    assert "0.pdf" in moved and not set(moved) & set(left) and sorted(moved + left) == ["0.pdf", "1.pdf", "2.pdf"]
+    assert kinds(streaming.Staging(spark, str(tmp_path / "staging"))).keys() == {("E1", f"sub/{i}.pdf") for i in range(3)}
