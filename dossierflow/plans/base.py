@@ -90,8 +90,11 @@ def docs_all(spark: SparkSession, sf: str) -> DataFrame:
     return docs_ops.docs_all(texts(spark, sf), manifest(spark, sf))
 
 
-def docs_failed(spark: SparkSession, sf: str, include_skipped: bool = False) -> DataFrame:
-    return docs_ops.docs_failed(manifest(spark, sf), docs_all(spark, sf), include_skipped)
+def outcome(spark: SparkSession, sf: str, include_skipped: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, usable documents, failed documents), built on the same plans."""
+    items = manifest(spark, sf)
+    docs = docs_ops.docs_all(texts(spark, sf), items)
+    return items, docs, docs_ops.docs_failed(items, docs, include_skipped)
 
 
 def keyword_rules(spark: SparkSession) -> DataFrame:
@@ -99,8 +102,8 @@ def keyword_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label string, keyword string, sort_order int")
 
 
-def classified(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.classify(docs_all(spark, sf), keyword_rules(spark))
+def classified(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    return enrich.classify(docs_all(spark, sf) if docs is None else docs, keyword_rules(spark))
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:

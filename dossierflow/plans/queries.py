@@ -213,12 +213,12 @@ def docs_union(spark, sf):
 
 @query
 def docs_failed(spark, sf):
-    return base.docs_failed(spark, sf)
+    return base.outcome(spark, sf)[2]
 
 
 @query
 def docs_failed_with_skipped(spark, sf):
-    return base.docs_failed(spark, sf, include_skipped=True)
+    return base.outcome(spark, sf, include_skipped=True)[2]
 
 
 # --- enrichment --------------------------------------------------------------------------------------
@@ -270,7 +270,7 @@ def incremental_todo(spark, sf):
     """English documents are done under the current prompt version, others under an older one."""
     docs = base.docs_all(spark, sf)
     version = F.when(F.col("classificacio") == "English", base.PROMPT_VERSION).otherwise("v1.0")
-    done = base.classified(spark, sf).withColumn("prompt_version", version)
+    done = base.classified(spark, sf, docs).withColumn("prompt_version", version)
     return docs_ops.todo(docs, done, base.PROMPT_VERSION).select("case_id", "staged_name")
 
 
@@ -368,13 +368,14 @@ def documents_upsert(spark, sf):
         F.lit("bench").alias("case_id"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("staged_name"),
         F.col("text").alias("lineage"), F.lit(None).cast("string").alias("original_filename"),
     )
-    empty = state.upsert_documents(
+    known = state.upsert_documents(
         spark.createDataFrame([], state.DOCUMENTS),
         staged.filter(~pdf).select("case_id", "staged_name", "lineage", "original_filename").unionByName(items),
         staged.filter(pdf).select("case_id", "staged_name", "lineage", "original_filename"),
         early,
     )
-    after = state.upsert_documents(empty, base.docs_all(spark, sf), base.docs_failed(spark, sf), now)
+    _, docs, failed = base.outcome(spark, sf)
+    after = state.upsert_documents(known, docs, failed, now)
     return after.select("doc_id", "case_id", "staged_name", "status", "error_message", (F.col("created_at") < now).alias("known_before"), (F.col("updated_at") == now).alias("updated"))
 
 
@@ -467,7 +468,8 @@ def taxonomy_active(spark, sf):
 
 @query
 def event_log(spark, sf):
-    rows = state.run_events(base.classified(spark, sf), base.docs_failed(spark, sf), F.lit("pipeline"), F.lit(NOW).cast("timestamp"))
+    _, docs, failed = base.outcome(spark, sf)
+    rows = state.run_events(base.classified(spark, sf, docs), failed, F.lit("pipeline"), F.lit(NOW).cast("timestamp"))
     return rows.select("case_id", "doc_id", "user", "type", "payload_json")
 
 
@@ -518,10 +520,10 @@ def facet_counts(spark, sf):
 
 
 def _state_tables(spark, sf):
-    docs, failed = base.docs_all(spark, sf), base.docs_failed(spark, sf)
+    _, docs, failed = base.outcome(spark, sf)
     now = F.lit(NOW).cast("timestamp")
     documents = state.upsert_documents(spark.createDataFrame([], state.DOCUMENTS), docs, failed, now)
-    rows = enrich.extract_fields(base.classified(spark, sf), rules=base.FIELD_RULES).withColumn("resum", F.lit(None).cast("string"))
+    rows = enrich.extract_fields(base.classified(spark, sf, docs), rules=base.FIELD_RULES).withColumn("resum", F.lit(None).cast("string"))
     return documents, state.classification_rows(rows, now)
 
 
@@ -554,8 +556,9 @@ def document_history(spark, sf):
 
 @query
 def stats_totals(spark, sf):
-    documents = docs_ops.kept(base.manifest(spark, sf)).select("case_id", "staged_name")
-    failed = base.docs_failed(spark, sf).select("case_id", "staged_name", F.lit("ERROR").alias("status"))
+    items, _, failed = base.outcome(spark, sf)
+    documents = docs_ops.kept(items).select("case_id", "staged_name")
+    failed = failed.select("case_id", "staged_name", F.lit("ERROR").alias("status"))
     documents = documents.join(failed, ["case_id", "staged_name"], "left")
     return serving.stats_totals(base.opened_cases(spark, sf), documents)
 

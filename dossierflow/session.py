@@ -48,9 +48,13 @@ def plan_bytes(df) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+# A table up to this size may be a single row group, which one task has to read.
+ONE_SPLIT_BYTES = 256 << 20
+
+
 def spread(df, key: str):
-    """Hash a small scan over all cores when its files give fewer splits than there are cores,
-    so that work per text does not run in one task.  A scan with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, key) if splits < cores else df
+    """Hash a small scan over all cores, so that work per text does not run in one task.
+    A larger scan has splits enough and is left alone."""
+    if plan_bytes(df) > ONE_SPLIT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
