@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dossierflow.operators.normalize import KEPT_KINDS, describe
+from dossierflow.operators.normalize import KEPT_KINDS, describe, narrow
 from dossierflow.operators.parse import parse_document, text_blocks
 
 # A staged name is unique only within its case.
 DOCUMENT_KEY = ["case_id", "staged_name"]
 
 
+# Superseded deliveries up to this many (three short columns each) are broadcast.
+SMALL_ROWS = 200_000
+
+
 def staged_entries(entries: DataFrame) -> DataFrame:
-    """Entries under their staged name; of a file delivered again only the last delivery."""
+    """Entries under their staged name; of a file delivered again only the last delivery.
+
+    Superseded deliveries are found from narrow columns and counted first: mostly there are
+    none, and payloads are then not joined with anything."""
     named = describe(entries).filter(F.col("raw_kind").isin(*KEPT_KINDS))
-    if "batch_id" not in entries.columns:
-        return named.withColumnRenamed("candidate", "staged_name")
-    last = named.groupBy("case_id", "candidate").agg(F.max("batch_id").alias("batch_id"))
-    return named.join(last, ["case_id", "candidate", "batch_id"], "left_semi").withColumnRenamed(
-        "candidate", "staged_name"
-    )
+    if "batch_id" in entries.columns:
+        key = ["case_id", "candidate", "batch_id"]
+        deliveries = describe(narrow(entries)).filter(F.col("raw_kind").isin(*KEPT_KINDS)).select(*key)
+        last = deliveries.groupBy("case_id", "candidate").agg(
+            F.max("batch_id").alias("last"), F.min("batch_id").alias("first")
+        ).filter("last > first")
+        old = deliveries.join(last, ["case_id", "candidate"]).filter("batch_id < last").select(*key).distinct()
+        found = old.limit(SMALL_ROWS + 1).count()
+        if found:
+            named = named.join(F.broadcast(old) if found <= SMALL_ROWS else old, key, "left_anti")
+    return named.withColumnRenamed("candidate", "staged_name")
 
 
 def texts_of(entries: DataFrame) -> DataFrame:

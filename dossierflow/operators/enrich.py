@@ -36,7 +36,7 @@ FIELD_RULES = {
     "data_document": (r"([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})", 1),
     "entitat_organisme": (r"((?:Ajuntament|Ayuntamiento|Diputació|Diputación|Generalitat|Departament|Consell|Consorci)[^\n,.;]*)", 1),
     "proveidor_adjudicatari": (r"(?i)(?:adjudicat[aà]ri[oa]?|prove[ïi]dor|proveedor|contratista)\s*:\s*([^\n,;]+)", 1),
-    "import": (r"([0-9][0-9.,]*\s*(?:€|EUR|euros))", 1),
+    "import": (r"([0-9][0-9.,]{0,30}\s{0,5}(?:€|EUR|euros))", 1),
     "tipus_procediment": (r"(?i)procedim(?:ent|iento)\s*:?\s+([^\n.,;]+)", 1),
 }
 
@@ -222,42 +222,45 @@ def classify(
     ).drop("winner", "total")
 
 
-def train_classifier(labelled: DataFrame, label_col: str, text_col: str = "text_blocks", features: int = 1 << 16):
-    """TF-IDF and logistic regression on documents with a known label.
+def word_vectors(docs: DataFrame, text_col: str = "text_blocks", features: int = 1 << 16) -> DataFrame:
+    """Replace the text by hashed word counts: a projection that makes rows small before they
+    are joined, cached or shuffled."""
+    from pyspark.ml.feature import HashingTF
 
-    Texts are hashed to sparse vectors before anything is shuffled."""
+    tokens = docs.withColumn("_words", F.split(F.trim(token_text(F.col(text_col))), " +")).drop(text_col)
+    return HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features).transform(tokens).drop("_words")
+
+
+def train_classifier(vectors: DataFrame, label_col: str):
+    """TF-IDF weights and logistic regression on word vectors with a known label."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexer
+    from pyspark.ml.feature import IDF, StringIndexer
 
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_features"),
         StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc"),
         LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_prediction",
                            probabilityCol="_probability", maxIter=20, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(labelled)
+    return Pipeline(stages=stages).fit(vectors)
 
 
-def classify_trained(docs: DataFrame, model) -> DataFrame:
+def classify_trained(vectors: DataFrame, model) -> DataFrame:
     """Add `classificacio` and `confidence` from a trained model; scoring is one projection."""
-    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
-    scoring = PipelineModel([s for s in model.stages if s.__class__.__name__ != "StringIndexerModel"])
-    indexer = next(s for s in model.stages if s.__class__.__name__ == "StringIndexerModel")
+    weights, indexer, regression = model.stages
     labels = F.array(*[F.lit(x) for x in indexer.labels])
     return (
-        scoring.transform(docs)
+        regression.transform(weights.transform(vectors))
         .withColumns(
             {
                 "classificacio": F.get(labels, F.col("_prediction").cast("int")),
                 "confidence": F.array_max(vector_to_array("_probability")),
             }
         )
-        .drop("_words", "_counts", "_features", "_prediction", "_probability", "rawPrediction")
+        .drop("_counts", "_features", "_prediction", "_probability", "rawPrediction")
     )
 
 

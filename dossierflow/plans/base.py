@@ -23,12 +23,13 @@ KEYWORDS = {
     ("Spanish", 4): ("el", "los", "que"),
 }
 
-# Field patterns for these texts, in the subset Java and RE2 share.
+# Field patterns for these texts, in the subset Java and RE2 share.  Runs before a mark are
+# bounded, so that a long run without the mark stays linear.
 FIELD_RULES = {
     "titol_document": (r"\A([^\n]+)", 1),
     "numero_expedient": (r"([0-9]{4,})", 1),
-    "data_document": (r"([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)", 1),
-    "entitat_organisme": (r"([A-Za-z0-9._]+@[A-Za-z0-9.]+[a-z])", 1),
+    "data_document": (r"([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})", 1),
+    "entitat_organisme": (r"([A-Za-z0-9._]{1,64}@[A-Za-z0-9.]+[a-z])", 1),
     "proveidor_adjudicatari": (r"@([A-Za-z0-9.]+[a-z])", 1),
     "import": (r"([$][0-9A-Za-z]+)", 1),
     "tipus_procediment": (r"Released under the ([A-Za-z0-9. -]+)", 1),

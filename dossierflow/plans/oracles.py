@@ -54,8 +54,8 @@ VIEWS = {
         select case_id, staged_name,
           trim(regexp_extract(text_blocks, '\A([^\n]+)', 1)) as titol_document,
           trim(regexp_extract(text_blocks, '([0-9]{4,})', 1)) as numero_expedient,
-          trim(regexp_extract(text_blocks, '([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)', 1)) as data_document,
-          trim(regexp_extract(text_blocks, '([A-Za-z0-9._]+@[A-Za-z0-9.]+[a-z])', 1)) as entitat_organisme,
+          trim(regexp_extract(text_blocks, '([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})', 1)) as data_document,
+          trim(regexp_extract(text_blocks, '([A-Za-z0-9._]{1,64}@[A-Za-z0-9.]+[a-z])', 1)) as entitat_organisme,
           trim(regexp_extract(text_blocks, '@([A-Za-z0-9.]+[a-z])', 1)) as proveidor_adjudicatari,
           trim(regexp_extract(text_blocks, '([$][0-9A-Za-z]+)', 1)) as import,
           trim(regexp_extract(text_blocks, 'Released under the ([A-Za-z0-9. -]+)', 1)) as tipus_procediment

@@ -250,9 +250,10 @@ def classified(spark, sf):
 def classified_ml(spark, sf):
     """Quality labels learnt from the labelled documents, predicted for all."""
     docs = base.table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_blocks"))
+    vectors = enrich.word_vectors(docs)
     marks = base.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    model = enrich.train_classifier(docs.join(marks, "doc_id"), "quality")
-    return enrich.classify_trained(docs, model).select("doc_id", "classificacio")
+    model = enrich.train_classifier(vectors.join(marks, "doc_id"), "quality")
+    return enrich.classify_trained(vectors, model).select("doc_id", "classificacio")
 
 
 @query

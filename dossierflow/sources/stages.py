@@ -37,8 +37,8 @@ def write_folder(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -
 def write_manifest_json(items: DataFrame, folder: str) -> None:
     """Manifests as JSON lines, one folder per case.
 
-    Written as they are partitioned: a case with many rows is written by many tasks."""
-    manifest_rows(items, "case_id").write.mode("overwrite").partitionBy("case_id").json(folder)
+    Rows are gathered by case for few files, and a case with many rows is split by size again."""
+    manifest_rows(items, "case_id").hint("rebalance", F.col("case_id")).write.mode("overwrite").partitionBy("case_id").json(folder)
 
 
 def write_report(display: DataFrame, folder: str, format: str = "csv") -> None:

@@ -92,9 +92,13 @@ class StateStore:
         listed = []
         for table, rows in {**changes, **(appended or {})}.items():
             folder = f"{self.root}/{table}/v={version}"
-            # Rows written by many tasks per bucket: a hot case stays spread over its files.
+            # Gathered by bucket for few files; a bucket with a hot case is split by size again.
+            # Sorted by case, so a reader of one case skips row groups.
+            order = [c for c in ("bucket", "case_id") if c == "bucket" or c in rows.columns]
             (
                 rows.withColumn("bucket", self.bucket(table))
+                .hint("rebalance", F.col("bucket"))
+                .sortWithinPartitions(*order)
                 .write.mode("overwrite")
                 .partitionBy("bucket")
                 .parquet(folder)
