@@ -66,7 +66,7 @@ def manifest_rows(spark, sf):
 @query
 def path_parts(spark, sf):
     rows = base.entries(spark, sf)
-    uri = F.concat(F.lit("dbfs:/landing/"), F.col("case_id"), F.lit("/raw/"), F.col("lang"), F.lit("/"), F.col("lineage"))
+    uri = F.concat(F.lit("s3:/landing/"), F.col("case_id"), F.lit("/raw/"), F.col("lang"), F.lit("/"), F.col("lineage"))
     stray = F.concat(F.lit("file:inbox/"), F.col("lineage"))
     return rows.select(
         "doc_id",
