@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import quality_rules, token_counts
+from dossierflow.llm import packing, quality_model, quality_rules, token_counts
 from dossierflow.llm.texts import table
 
 
@@ -24,7 +24,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=2)
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.learned_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
+    "op5_quality_model": op5_quality_model,
     "op6_quality_rules": op6_quality_rules,
 }
