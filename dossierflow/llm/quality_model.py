@@ -34,6 +34,10 @@ ONE = 1 << 20
 THRESHOLD = 0.7
 
 
+def features(spaced: subwords.Spaced) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return spaced.features(BITS, SIZES, BACK)
+
+
 def trained(rows: subwords.Rows) -> tuple[np.ndarray, float]:
     """One number per feature, and the bias."""
     n, share = len(rows), float(rows.label.mean()) if len(rows) else 0.5
@@ -73,7 +77,7 @@ def trained(rows: subwords.Rows) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float]:
     chosen = subwords.labelled(docs, labels, label, most_rows)
-    counted = subwords.counted(chosen, BITS, SIZES, False, ["doc_id", "label"], BACK)
+    counted = subwords.counted(chosen, BITS, features, False, ["doc_id", "label"])
 
     def learn(table: pa.Table) -> pa.Table:
         value, bias = trained(subwords.Rows(table, BITS))
@@ -94,7 +98,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id"
         for s in texts.slices(batches):
             spaced = subwords.Spaced(s, False)
             total, n = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-            for start, f in spaced.features(BITS, SIZES, BACK):
+            for start, f in features(spaced):
                 total += spaced.sums(start, value[f])
                 n += spaced.sums(start, np.ones(len(start), np.int8))
             score = 1 / (1 + np.exp(-(total / ONE / np.maximum(n, 1) + bias)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import packing, quality_model, quality_rules, token_counts
+from dossierflow.llm import html_text, packing, quality_model, quality_rules, token_counts, toxicity
 from dossierflow.llm.texts import table
 
 
@@ -32,9 +32,20 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.learned_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_text": op7_html_text,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +80,13 @@ class Spaced:
         return np.searchsorted(self.at[:-1], start, "right") - 1
 
 
-def counted(docs: DataFrame, bits: int, sizes: tuple[int, ...], fold: bool, keep: list[str], back: int = 0) -> DataFrame:
+def counted(docs: DataFrame, bits: int, features: Callable[[Spaced], Iterator], fold: bool, keep: list[str]) -> DataFrame:
     """Per text: the columns to keep, its distinct features and how often each occurs, as packed int32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in texts.slices(batches, most=1 << 20):
             spaced = Spaced(s, fold)
-            keys = [(spaced.owner(start).astype(np.int64) << bits) | f for start, f in spaced.features(bits, sizes, back)]
+            keys = [(spaced.owner(start).astype(np.int64) << bits) | f for start, f in features(spaced)]
             key, often = np.unique(np.concatenate(keys), return_counts=True)
             edge = np.searchsorted(key, np.arange(len(s) + 1, dtype=np.int64) << bits)
             f, often = (key & ((1 << bits) - 1)).astype("<i4"), often.astype("<i4")
