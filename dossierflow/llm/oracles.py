@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dossierflow.llm import licenses
+
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 OP6 = f"""
@@ -38,7 +40,54 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from v
 """
 
-SQL = {"op6_quality_rules": OP6}
+# The phrases and templates of the operator, as rows.
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', '{words}', {base})"
+    for i, (label, words, base) in enumerate([(*p, True) for p in licenses.PHRASES] + [(*t, False) for t in licenses.TEMPLATES])
+)
+
+OP10 = f"""
+with t as (
+  select id, label, string_split(words, ' ') as w, base from (values {_TEMPLATES}) as v(id, label, words, base)
+), tg as (
+  select id, label, base, len(w) as size, i as t, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] as gram
+  from (select *, unnest(range(0, len(w) - 2)) as i from t)
+), d as (
+  select row_number() over () as row, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+), g as (
+  select row, i as p, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] as gram
+  from (select row, w, unnest(range(0, len(w) - 2)) as i from d where len(w) >= 3)
+), v as (
+  select row, id, label, base, size, p - t as diagonal, t from g join tg using (gram)
+), whole as (
+  select row, id, label, diagonal from v where base
+  group by row, id, label, size, diagonal having count(distinct t) = size - 2
+), lagged as (
+  select *, case when diagonal - lag(diagonal) over (partition by row, id order by diagonal) <= 2 then 0 else 1 end as torn
+  from (select distinct row, id, diagonal from v)
+), spans as (
+  select *, sum(torn) over (partition by row, id order by diagonal) as span from lagged
+), covers as (
+  select row, label, count(distinct t + k)::double / size as cover
+  from v join spans using (row, id, diagonal), (select unnest(range(0, 3)) as k)
+  group by row, id, label, size, span
+), labels as (
+  select row, label, true as base from whole union all select row, label, false from covers where cover >= 0.8
+)
+select doc_id, len(w)::bigint as n_words,
+  coalesce(b.n, 0)::bigint as n_base, b.first_word::bigint as first_word, b.last_word::bigint as last_word,
+  coalesce(l.base_labels, '') as base_labels, coalesce(l.labels, '') as labels, coalesce(c.score, 0)::double as score
+from d
+left join (select row, count(*) as n, min(diagonal) as first_word, max(diagonal) as last_word from whole group by row) b using (row)
+left join (select row, string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+  string_agg(distinct label, ',' order by label) as labels from labels group by row) l using (row)
+left join (select row, max(cover) as score from covers group by row) c using (row)
+"""
+
+SQL = {"op6_quality_rules": OP6, "op10_licenses": OP10}
 
 
 def oracle_sql() -> dict[str, str]:
