@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import html_text, licenses, packing, quality_model, quality_rules, token_counts, toxicity
+from dossierflow.llm import fingerprints, html_text, licenses, packing, quality_model, quality_rules, token_counts, toxicity
 from dossierflow.llm.texts import table
 
 
@@ -45,6 +45,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
@@ -52,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_model": op5_quality_model,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_text": op7_html_text,
+    "op8_fingerprints": op8_fingerprints,
     "op10_licenses": op10_licenses,
 }
