@@ -6,6 +6,28 @@ from dossierflow.llm import licenses
 
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+OP1 = """
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), g as (
+  select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end as gram
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from g group by doc_id
+), shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.gram = y.gram and x.doc_id <> y.doc_id group by all
+), links as (
+  select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n + nb.n - c)
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select reach.a, links.b from reach join links on links.a = reach.b
+)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(b) from reach where a = d.doc_id) as component_id
+from d left join n using (doc_id)
+"""
+
 OP6 = f"""
 with d as (
   select row_number() over () as row, doc_id, coalesce(text, '') as text, {WORDS} as w from documents
@@ -87,7 +109,7 @@ left join (select row, string_agg(distinct label, ',' order by label) filter (ba
 left join (select row, max(cover) as score from covers group by row) c using (row)
 """
 
-SQL = {"op6_quality_rules": OP6, "op10_licenses": OP10}
+SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6, "op10_licenses": OP10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import fingerprints, html_text, licenses, packing, quality_model, quality_rules, token_counts, toxicity
+from dossierflow.llm import fingerprints, html_text, licenses, ngram_join, packing, quality_model, quality_rules, token_counts, toxicity
 from dossierflow.llm.texts import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
