@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import fingerprints, html_text, licenses, ngram_join, packing, quality_model, quality_rules, token_counts, toxicity
+from dossierflow.llm import fingerprints, html_text, licenses, ngram_join, packing, quality_model, quality_rules, sentence_pieces, token_counts, toxicity
 from dossierflow.llm.texts import table
 
 
@@ -45,6 +45,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digested(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
@@ -62,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_html_text": op7_html_text,
     "op8_fingerprints": op8_fingerprints,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_licenses": op10_licenses,
 }
