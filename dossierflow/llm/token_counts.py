@@ -15,6 +15,7 @@ counted one by one.  An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,17 +28,17 @@ from pyspark.sql import functions as F
 
 from dossierflow.llm import texts
 
-BLOCK_BYTES = 32 << 20
-MEMO = 1 << 20
+BLOCK_BYTES = 16 << 20
+MEMO = 1 << 18
 LIMIT = 1024
 
 SINGLE_SPACE = re.compile(rb"(?<! ) (?! )")
 
 
-def library(path: str):
+def library(path: str, parallel: bool = False):
     from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel else "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -55,7 +56,7 @@ def parts_of(text: bytes) -> list[bytes]:
 
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers by byte plane, compressed; read by ``unpacked``."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    planes = np.ascontiguousarray(values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -71,31 +72,48 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-ROWS = pa.schema([("block", pa.int64()), ("part", pa.string()), ("at", pa.int32()), ("n", pa.int64()), ("texts", pa.binary()), ("which", pa.binary()), ("often", pa.binary())])
+def _blob(block: int, which: np.ndarray, often: np.ndarray, rows: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    body = pickle.dumps((len(which), packed(which), packed(often), rows and _ipc(rows)))
+    return pa.record_batch([[block << PLACES], [None], [body]], schema=ROWS)
+
+
+# A pre-token has a place, 28 bits within its block; a block, and a list of counts for it, is a blob at place 0.
+ROWS = pa.schema([("place", pa.int64()), ("part", pa.string()), ("blob", pa.binary())])
+PLACES = 28
 
 
 def _block(s: texts.Slice, block: int, key: str) -> Iterator[pa.RecordBatch]:
     seen: dict[bytes, int] = defaultdict()
     seen.default_factory = seen.__len__
-    found, often, per = [], [], np.zeros(len(s), np.int64)
+    new_which, new_often, per = [], [], np.zeros(len(s), np.int64)
     for i in range(len(s)):
         parts = parts_of(s.text(i))
         counts = Counter([b" " + p for p in parts[1:]])
         if parts[0]:
             counts[parts[0]] += 1
         per[i] = len(counts)
-        found.append(np.fromiter(map(seen.__getitem__, counts), np.int64, len(counts)))
-        often.append(np.fromiter(counts.values(), np.int64, len(counts)))
-    which, often = np.concatenate(found), np.concatenate(often)
-    order = np.argsort((np.repeat(np.arange(len(s)), per) << 32) | which)
-    step = np.diff(which[order], prepend=0) & 0xFFFFFFFF
+        new_which.append(np.fromiter(map(seen.__getitem__, counts), np.int32, len(counts)))
+        new_often.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        counts.clear()
+    which, often = np.concatenate(new_which), np.concatenate(new_often)
+    new_which.clear()
+    new_often.clear()
+    edge = np.concatenate([[0], np.cumsum(per)])
+    for low, high in zip(edge[:-1], edge[1:]):
+        order = np.argsort(which[low:high])
+        which[low:high], often[low:high] = which[low:high][order], often[low:high][order]
+    step = np.diff(which, prepend=np.int32(0)).view(np.uint32)
     rows = pa.record_batch([s.batch.column(s.batch.schema.get_field_index(key)), pa.array(np.diff(s.at)), pa.array(per)], [key, "n_bytes", "parts"])
-    yield pa.record_batch([[block], [None], [None], [len(which)], [_ipc(rows)], [packed(step)], [packed(often[order])]], schema=ROWS)
+    yield _blob(block, step, often, rows)
+    del which, often, step
     distinct = list(seen)
+    seen.clear()
     for low in range(0, len(distinct), 1 << 16):
         some = pa.array(distinct[low : low + (1 << 16)], pa.binary()).cast(pa.string())
-        nothing = [pa.nulls(len(some), ROWS.field(k).type) for k in (3, 4, 5, 6)]
-        yield pa.record_batch([pa.array([block] * len(some), pa.int64()), some, pa.array(range(low, low + len(some)), pa.int32()), *nothing], schema=ROWS)
+        place = (block << PLACES) + np.arange(low, low + len(some), dtype=np.int64)
+        yield pa.record_batch([pa.array(place), some, pa.nulls(len(some), pa.binary())], schema=ROWS)
+    del distinct
+    pa.default_memory_pool().release_unused()
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -115,13 +133,13 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             new = coded.dictionary.to_pylist()
         memo.update(zip(new, pieces(tokenizer, new)))
         count = np.array([memo[p] for p in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)]
-        block, at = np.asarray(batch.column(0)), np.asarray(batch.column(2)).astype(np.int64)
-        order = np.lexsort((at, block))
-        block, at, count = block[order], at[order], count[order]
+        place = np.asarray(batch.column(0))
+        order = np.argsort(place)
+        place, count = place[order], count[order]
+        block, at = place >> PLACES, place & ((1 << PLACES) - 1)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
         for low, high in zip(cut[:-1], cut[1:]):
-            step = np.diff(at[low:high], prepend=0)
-            yield pa.record_batch([[int(block[low])], [None], [None], [int(high - low)], [None], [packed(step)], [packed(count[low:high])]], schema=ROWS)
+            yield _blob(int(block[low]), np.diff(at[low:high], prepend=0), count[low:high])
 
 
 def counts(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = BLOCK_BYTES, limit: int = LIMIT) -> DataFrame:
@@ -131,32 +149,33 @@ def counts(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = B
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for n, s in enumerate(texts.slices(batches, most=block_bytes)):
-            yield from _block(s, (task << 32) + n, key)
+            yield from _block(s, (task << 12) + n, key)
 
     def summed(rows: pa.Table) -> pa.Table:
         head, lists, size = None, [], 0
-        for r in rows.to_pylist():
-            if r["texts"] is not None:
-                head = r
+        for body in rows.column("blob").to_pylist():
+            n, which, often, of = pickle.loads(body)
+            if of is not None:
+                head = n, which, often, of
             else:
-                lists.append((np.cumsum(unpacked(r["which"], r["n"])), unpacked(r["often"], r["n"])))
+                lists.append((np.cumsum(unpacked(which, n)), unpacked(often, n)))
                 size = max(size, int(lists[-1][0][-1]) + 1)
         cost = np.zeros(size, np.int64)
         for at, count in lists:
             cost[at] = count
-        out = pa.ipc.open_stream(head["texts"]).read_all()
-        step, often = unpacked(head["which"], head["n"]), unpacked(head["often"], head["n"])
+        out = pa.ipc.open_stream(head[3]).read_all()
+        step, often = unpacked(head[1], head[0]), unpacked(head[2], head[0])
         which = (np.cumsum(step) & 0xFFFFFFFF).astype(np.int64)
         total = np.concatenate([[0], np.cumsum(cost[which] * often)]) if len(which) else np.zeros(1, np.int64)
         end = np.cumsum(np.asarray(out.column("parts")))
         n = total[end] - total[end - np.asarray(out.column("parts"))]
         return pa.table({key: out.column(key), "n_bytes": out.column("n_bytes"), "n_tokens": n, "over_limit": n > limit})
 
-    schema = "block long, part string, at int, n long, texts binary, which binary, often binary"
+    schema = "place long, part string, blob binary"
     rows = docs.select(key, "text").mapInArrow(blocks, schema)
-    met = rows.repartition(F.when(F.col("part").isNull(), F.col("block")).otherwise(F.xxhash64("part")))
+    met = rows.repartition(F.when(F.col("part").isNull(), F.col("place")).otherwise(F.xxhash64("part")))
     return (
         met.mapInArrow(lambda batches: _counted(batches, path), schema)
-        .groupBy("block")
+        .groupBy(F.shiftright("place", PLACES).alias("block"))
         .applyInArrow(summed, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
     )
