@@ -8,14 +8,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import quality_rules, texts
+from dossierflow.llm import ngram_join, packing, quality_rules, texts, toxicity
+from dossierflow.llm.queries import tokenizer_file
+
+GRAM, PERCENT = 5, 80
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass all quality rules."""
     return quality_rules.kept_rows(docs)
 
 
-STAGES = [("quality rules", by_rules)]
+def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, learned from the labelled ones among them, does not reject."""
+    return toxicity.clean_rows(docs, toxicity.fit(docs, texts.table(spark, sf_dir, "labels")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near copies; rows without an id all stay."""
+    first = ngram_join.joined(docs, "doc_id", GRAM, PERCENT).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.packed(docs, tokenizer_file("word_bpe_49k.json"), end=2)
+
+
+STAGES = [
+    ("quality rules", by_rules),
+    ("toxicity", by_toxicity),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("packing", into_sequences),
+]
 ORACLE_SQL = None  # a trained classifier decides in the second stage
 
 
