@@ -8,6 +8,8 @@ LINEAGE_SEPARATOR = " > "
 UNASSIGNED_CASE = "_unassigned"
 LANDING_MARK = "/landing/"
 RAW_MARK = "/raw/"
+# Digits of a SHA-1 that are shown; contents are told apart by all of them.
+SHOWN_DIGITS = 12
 
 
 def suffix_of(name: Column) -> Column:
@@ -31,7 +33,7 @@ def lineage_of(*parts: Column) -> Column:
 
 def content_hash(content: Column) -> Column:
     """Twelve hex digits of the SHA-1 of the bytes (UTF-8 bytes for text)."""
-    return F.substring(F.sha1(content), 1, 12)
+    return F.substring(F.sha1(content), 1, SHOWN_DIGITS)
 
 
 def staged_name(lineage: Column, suffix: Column, repeat: Column | None = None) -> Column:

@@ -11,15 +11,11 @@ from dossierflow.operators.parse import parse_document, text_blocks
 DOCUMENT_KEY = ["case_id", "staged_name"]
 
 
-# Superseded deliveries up to this many (three short columns each) are broadcast.
-SMALL_ROWS = 200_000
-
-
 def staged_entries(entries: DataFrame) -> DataFrame:
     """Entries under their staged name; of a file delivered again only the last delivery.
 
-    Superseded deliveries are found from narrow columns and counted first: mostly there are
-    none, and payloads are then not joined with anything."""
+    Superseded deliveries are found from narrow columns.  Mostly they are few, and the join that drops them is
+    left to Spark, which broadcasts them then and moves no payload."""
     named = describe(entries).filter(F.col("raw_kind").isin(*KEPT_KINDS))
     if "batch_id" in entries.columns:
         key = ["case_id", "candidate", "batch_id"]
@@ -28,20 +24,21 @@ def staged_entries(entries: DataFrame) -> DataFrame:
             F.max("batch_id").alias("last"), F.min("batch_id").alias("first")
         ).filter("last > first")
         old = deliveries.join(last, ["case_id", "candidate"]).filter("batch_id < last").select(*key).distinct()
-        found = old.limit(SMALL_ROWS + 1).count()
-        if found:
-            named = named.join(F.broadcast(old) if found <= SMALL_ROWS else old, key, "left_anti")
+        named = named.join(old, key, "left_anti")
     return named.withColumnRenamed("candidate", "staged_name")
 
 
-def texts_of(entries: DataFrame) -> DataFrame:
-    """Text of every staged entry (case_id, staged_name, text_blocks), parsed or as read.
+def texts_of(entries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Text of every staged entry (case_id, staged_name, text_blocks), parsed or as read; of the `wanted` keys
+    only, which are picked before anything is parsed.
 
     One scan serves both kinds, and bytes become text where they are read, so what a later
     join moves is text and never a payload.
     """
     binary = F.col("raw_kind") == "binary"
     staged = staged_entries(entries)
+    if wanted is not None:
+        staged = staged.join(wanted.select(*DOCUMENT_KEY), DOCUMENT_KEY, "left_semi")
     parsed = staged.withColumn("parsed", parse_document(F.when(binary, F.col("data")), F.col("suffix")))
     blocks = F.when(binary, text_blocks(F.col("parsed"))).otherwise(F.col("text"))
     return parsed.select(*DOCUMENT_KEY, blocks.alias("text_blocks"))

@@ -17,8 +17,6 @@ from dossierflow.schemas import EXTRACTED_FIELDS
 
 PROMPT_CHARS = 6000
 SUMMARY_SENTENCES = 3
-# Up to this many keyword rules are counted as expressions inside the scan; more are joined.
-INLINE_RULES = 200
 
 # Labels, descriptions and order of the default taxonomy.
 TAXONOMY_SEED = (
@@ -134,92 +132,43 @@ def token_text(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
 
 
-def _inline_scores(docs: DataFrame, rules: list, text_col: str) -> DataFrame:
-    """Scores as expressions over each text.
-
-    The text is tokenised once and bound to a lambda variable, and the verdict comes out of a
-    generator: a later filter on the label stays above it instead of repeating the counting."""
-    by_label: dict = {}
-    for r in rules:
-        by_label.setdefault((r["sort_order"], r["label"]), []).append(r["keyword"])
-
-    def hits(tokens: Column, keyword: str) -> Column:
-        gone = F.replace(tokens, F.lit(f" {keyword} "), F.lit(""))
-        return F.floor((F.length(tokens) - F.length(gone)) / F.lit(len(keyword) + 2))
-
-    def scores(tokens: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    sum((hits(tokens, k) for k in keywords[1:]), hits(tokens, keywords[0])).cast("bigint").alias("score"),
-                    F.lit(-order).alias("preference"),
-                    F.lit(label).alias("label"),
-                )
-                for (order, label), keywords in sorted(by_label.items())
-            ]
-        )
-
-    def verdict(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, s: a + s["score"])
-        return F.struct(F.array_max(found).alias("winner"), total.alias("total"))
-
-    counted = F.transform(F.array(token_text(F.col(text_col))), scores)
-    return docs.select("*", F.inline_outer(F.transform(counted, verdict)))
-
-
-def _joined_scores(docs: DataFrame, rules: DataFrame, text_col: str, key: list[str]) -> DataFrame:
-    """For taxonomies too large to inline: words are counted per document before they meet
-    the rules, so neither a frequent word nor a long text widens the join."""
-    counted = (
-        docs.select(*key, F.explode(F.split(F.trim(token_text(F.col(text_col))), " +")).alias("keyword"))
-        .groupBy(*key, "keyword")
-        .agg(F.count(F.lit(1)).alias("hits"))
-    )
-    per_label = (
-        counted.join(rules, "keyword")
-        .groupBy(*key, "label", "sort_order")
-        .agg(F.sum("hits").alias("score"))
-    )
-    best = per_label.groupBy(*key).agg(
-        F.max(
-            F.struct("score", (-F.col("sort_order")).alias("preference"), "label")
-        ).alias("winner"),
-        F.sum("score").alias("total"),
-    )
-    return docs.join(best, key, "left")
-
-
-def classify(
-    docs: DataFrame,
-    rules: DataFrame,
-    text_col: str = "text_blocks",
-    key=("case_id", "staged_name"),
-    inline_rules: int = INLINE_RULES,
-) -> DataFrame:
+def classify(docs: DataFrame, rules: DataFrame, text_col: str = "text_blocks") -> DataFrame:
     """Add `classificacio`, `score` and `confidence`; the label with most keyword hits wins,
     ties go to the lower sort order, no hit at all gives NULL.
 
-    The number of rules is checked first.  A small taxonomy becomes expressions over the text,
-    one pass and no exchange; a larger one takes the join.
+    The rules come in as two scalars, all keywords and the keywords of each label.  A text is cut into words
+    once, words that are no keyword go at once, and the rest is counted by label: one pass over the text and no
+    exchange for any number of rules.  The verdict comes out of a generator, so a later filter on the label
+    stays above it instead of repeating the counting.
     """
     rules = rules.select("label", F.lower("keyword").alias("keyword"), "sort_order").distinct()
-    head = rules.limit(inline_rules + 1).collect()  # bounded: at most inline_rules + 1 rows
-    if not head:
-        scored = docs.withColumns(
-            {"winner": F.lit(None).cast("struct<score:bigint,preference:int,label:string>"), "total": F.lit(0)}
+    keywords = rules.agg(F.collect_set("keyword").alias("keywords")).scalar()
+    by_label = rules.groupBy("label", "sort_order").agg(F.collect_set("keyword").alias("keywords"))
+    labels = by_label.agg(F.collect_list(F.struct("label", "sort_order", "keywords")).alias("labels")).scalar()
+
+    def verdict(hits: Column) -> Column:
+        scores = F.transform(
+            F.col("_labels"),
+            lambda one: F.struct(
+                F.size(F.filter(hits, lambda w: F.array_contains(one["keywords"], w))).cast("bigint").alias("score"),
+                (-one["sort_order"]).alias("preference"),
+                one["label"].alias("label"),
+            ),
         )
-    elif len(head) <= inline_rules:
-        scored = _inline_scores(docs, head, text_col)
-    else:
-        scored = _joined_scores(docs, rules, text_col, list(key))
+        total = lambda found: F.aggregate(found, F.lit(0).cast("bigint"), lambda a, s: a + s["score"])
+        return F.inline_outer(F.transform(F.array(scores), lambda found: F.struct(F.array_max(found).alias("winner"), total(found).alias("total"))))
+
+    found = F.filter(F.split(token_text(F.col(text_col)), " +"), lambda w: F.array_contains(F.col("_keywords"), w))
+    known = docs.select("*", keywords.alias("_keywords"), labels.alias("_labels"))
+    hits = known.select("*", F.inline_outer(F.array(F.struct(found.alias("_hits")))))
     hit = F.col("winner.score") > 0
-    return scored.withColumns(
+    return hits.select("*", verdict(F.col("_hits"))).withColumns(
         {
             "classificacio": F.when(hit, F.col("winner.label")),
             "score": F.coalesce(F.col("winner.score"), F.lit(0).cast("bigint")),
             "confidence": F.when(hit, F.col("winner.score") / F.col("total")),
         }
-    ).drop("winner", "total")
+    ).drop("winner", "total", "_hits", "_keywords", "_labels")
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text_blocks", features: int = 1 << 16) -> DataFrame:

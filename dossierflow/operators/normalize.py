@@ -62,16 +62,16 @@ def narrow(entries: DataFrame) -> DataFrame:
     """The columns the manifest needs, so that a scan skips both payload columns.
 
     Whether an entry has text is stored at expansion as has_text, or taken from the text."""
-    wanted = ("batch_id", *_ORDER, "lineage", "repeat", "suffix", "content_hash", "reason")
+    wanted = ("batch_id", *_ORDER, "lineage", "repeat", "suffix", "content_hash", "content_sha1", "reason")
     has_text = F.col("has_text") if "has_text" in entries.columns else F.col("text").isNotNull()
     return entries.select(*[c for c in wanted if c in entries.columns], has_text.alias("has_text"))
 
 
 def scope_columns(scope: str) -> tuple[str, ...]:
     scopes = {
-        "case": ("case_id", "content_hash"),
-        "batch": ("case_id", "batch_id", "content_hash"),
-        "global": ("content_hash",),
+        "case": ("case_id", "content_sha1"),
+        "batch": ("case_id", "batch_id", "content_sha1"),
+        "global": ("content_sha1",),
     }
     if scope not in scopes:
         raise ValueError(f"unknown duplicate scope {scope!r}; one of {sorted(scopes)}")
@@ -133,8 +133,8 @@ def _mark_copies(rows: DataFrame, scope: str, salts: int) -> DataFrame:
     own = F.concat(F.lit("skipped "), F.col("lineage"))
     salt = F.pmod(F.xxhash64("lineage", F.to_json("entry_path")), F.lit(salts)).cast("int")
     # One key that is never NULL: no null filter gets between the two readers of the exchange.
-    within = [F.col(k).cast("string") for k in scope_columns(scope) if k != "content_hash"]
-    match = F.concat_ws("/", F.when(staged, F.col("content_hash")).otherwise(own), *within)
+    within = [F.col(k).cast("string") for k in scope_columns(scope) if k != "content_sha1"]
+    match = F.concat_ws("/", F.when(staged, F.col("content_sha1")).otherwise(own), *within)
     laid_out = (
         rows.drop("has_text").withColumns({"match": match, "salt": salt}).repartition("match", "salt")
     )
@@ -163,6 +163,7 @@ def _mark_copies(rows: DataFrame, scope: str, salts: int) -> DataFrame:
         "original_filename",
         "suffix",
         "content_hash",
+        "content_sha1",
         F.when(~staged, "skipped").when(copy, "duplicate").otherwise(F.col("raw_kind")).alias("kind"),
         F.when(staged & ~copy, F.col("candidate")).alias("staged_name"),
         F.when(staged & copy, F.col("first.candidate")).alias("duplicate_of"),

@@ -88,8 +88,17 @@ def case_documents(documents: DataFrame, classifications: DataFrame, case_id: st
     ).join(values, "doc_id", "left")
 
 
-def case_detail(documents: DataFrame, classifications: DataFrame, case_id: str) -> DataFrame:
-    return case_documents(documents, classifications, case_id).orderBy("original_filename", "doc_id")
+def case_detail(documents: DataFrame, classifications: DataFrame, case_id: str, cases: DataFrame | None = None) -> DataFrame:
+    """Documents of one case in order of name.  With `cases`, as the user may see them, each row also has the
+    case's owner, status and counters, a case without documents gives one row, and one that is not in `cases`
+    gives none."""
+    found = case_documents(documents, classifications, case_id)
+    if cases is not None:
+        head = cases.filter(F.col("case_id") == case_id).select(
+            "case_id", "owner", F.col("status").alias("case_status"), "docs_total", "docs_classified", "docs_error"
+        )
+        found = head.join(found, "case_id", "left")
+    return found.orderBy("original_filename", "doc_id")
 
 
 def document_history(history: DataFrame, doc_id: str) -> DataFrame:
@@ -104,8 +113,12 @@ def taxonomy(categories: DataFrame) -> DataFrame:
     return categories.filter("active").orderBy("sort_order", "label")
 
 
-def stats_totals(cases: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row of counts from one aggregate over both tables; each is read once."""
+def stats_totals(cases: DataFrame, documents: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """One row of counts from one aggregate over both tables; each is read once.  With `scope`, rows with a
+    unique case_id, only its cases and their documents count."""
+    if scope is not None:
+        seen = scope.select("case_id")
+        cases, documents = (t.join(seen, "case_id", "left_semi") for t in (cases, documents))
     none = F.lit(0)
     counted = cases.select(F.lit(1).alias("c"), none.alias("d"), none.alias("e")).unionByName(
         documents.select(none.alias("c"), F.lit(1).alias("d"), (F.col("status") == "ERROR").cast("int").alias("e"))
@@ -130,20 +143,23 @@ def _step(position: int, key: str, label, state: Column) -> Column:
     )
 
 
-def lifecycle(cases: DataFrame) -> DataFrame:
-    """Three steps per case with their state; rows are widened in place, nothing is joined."""
+def _lifecycle_steps() -> Column:
     status = F.col("status")
     result_label = F.lit("Resultats")
     for s, text in RESULT_LABELS.items():
         result_label = F.when(status == s, text).otherwise(result_label)
-    steps = F.array(
+    return F.array(
         _step(0, "draft", "Esborrany", F.when(status == "DRAFT", "current").otherwise("done")),
         _step(1, "processing", "Processant",
               F.when(status == "DRAFT", "pending").when(status == "PROCESSING", "running").otherwise("done")),
         _step(2, "result", result_label,
               F.when(status == "NEEDS_REVIEW", "error").when(status.isin(*_FINISHED), "done").otherwise("pending")),
     )
-    return cases.select("case_id", F.inline(steps))
+
+
+def lifecycle(cases: DataFrame) -> DataFrame:
+    """Three steps per case with their state; rows are widened in place, nothing is joined."""
+    return cases.select("case_id", F.inline(_lifecycle_steps()))
 
 
 def run_state(life_cycle: Column, result: Column) -> Column:
@@ -157,60 +173,63 @@ def run_state(life_cycle: Column, result: Column) -> Column:
     )
 
 
-def task_steps(cases: DataFrame, runs: DataFrame | None = None, salts: int = 16) -> DataFrame:
-    """Two tasks per case.  While a case is processing and its run is known, states come from
-    `runs` (run_id, task_key, life_cycle_state, result_state); otherwise from the status.
-
-    Runs become one row each before the join, and only processing cases take part in it, so
-    neither cases without a run nor one run over many cases meet in a single partition."""
-    names = [task for _, task, _, _ in TASKS]
-    out = ["case_id", "position", "key", "task_key", "label", "hint", "state"]
-
-    def steps(rows: DataFrame, live: bool) -> DataFrame:
-        known = F.col("known") if live else F.lit(False)
-        items = []
-        for i, (key, task, label, hint) in enumerate(TASKS):
-            started = "running" if i == 0 else "pending"
-            inferred = (
-                F.when(F.col("status").isin(*_FINISHED), "done")
-                .when(F.col("status") == "PROCESSING", started)
-                .otherwise("pending")
-            )
-            told = F.coalesce(F.col(f"run_{i}"), F.lit("pending")) if live else F.lit("pending")
-            items.append(
-                F.struct(
-                    F.lit(i).alias("position"), F.lit(key).alias("key"), F.lit(task).alias("task_key"),
-                    F.lit(label).alias("label"), F.lit(hint).alias("hint"),
-                    F.when(known, told).otherwise(inferred).alias("state"),
-                )
+def _task_steps() -> Column:
+    """Two tasks: as the run tells where it is `known`, else as the status implies."""
+    items = []
+    for i, (key, task, label, hint) in enumerate(TASKS):
+        started = "running" if i == 0 else "pending"
+        inferred = (
+            F.when(F.col("status").isin(*_FINISHED), "done")
+            .when(F.col("status") == "PROCESSING", started)
+            .otherwise("pending")
+        )
+        state = F.when(F.col("known"), F.coalesce(F.col(f"run_{i}"), F.lit("pending"))).otherwise(inferred)
+        items.append(
+            F.struct(
+                F.lit(i).alias("position"), F.lit(key).alias("key"), F.lit(task).alias("task_key"),
+                F.lit(label).alias("label"), F.lit(hint).alias("hint"), state.alias("state"),
             )
-        return rows.select("case_id", F.inline(F.array(*items))).select(*out)
+        )
+    return F.array(*items)
+
 
+def with_run_states(cases: DataFrame, runs: DataFrame | None = None, salts: int = 16) -> DataFrame:
+    """Cases with `known` and the state of each task of their run (run_id, task_key, life_cycle_state,
+    result_state).
+
+    Runs become one row each before the join, and only processing cases with a run take part in it, so neither
+    cases without a run nor one run over many cases meet in a single partition."""
+    states = [f"run_{i}" for i in range(len(TASKS))]
+    unknown = {"known": F.lit(False), **{s: F.lit(None).cast("string") for s in states}}
     if runs is None:
-        return steps(cases, False)
+        return cases.withColumns(unknown)
     state = run_state(F.col("life_cycle_state"), F.col("result_state"))
     per_run = runs.groupBy("run_id").agg(
-        *[F.max(F.when(F.col("task_key") == t, state)).alias(f"run_{i}") for i, t in enumerate(names)]
-    )
-    spread = per_run.select("*", F.lit(True).alias("known"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    asks = (F.col("status") == "PROCESSING") & F.col("last_run_id").isNotNull()
-    asking = cases.filter(asks).select(
-        "case_id", "status", F.col("last_run_id").alias("run_id"), F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int").alias("salt")
+        *[F.max(F.when(F.col("task_key") == task, state)).alias(s) for s, (_, task, _, _) in zip(states, TASKS)]
     )
-    joined = asking.join(spread, ["run_id", "salt"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    return steps(joined, True).unionByName(steps(cases.filter(~asks), False))
+    spread = per_run.select("run_id", *states, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = spread.withColumnRenamed("run_id", "last_run_id").withColumn("found", F.lit(True))
+    asks = F.coalesce((F.col("status") == "PROCESSING") & F.col("last_run_id").isNotNull(), F.lit(False))
+    asking = cases.filter(asks).withColumn("salt", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int"))
+    told = asking.join(spread, ["last_run_id", "salt"], "left").withColumn("known", F.coalesce("found", F.lit(False)))
+    return told.select(*cases.columns, "known", *states).unionByName(cases.filter(~asks).withColumns(unknown))
+
+
+def task_steps(cases: DataFrame, runs: DataFrame | None = None, salts: int = 16) -> DataFrame:
+    """Two tasks per case.  While a case is processing and its run is known, states come from
+    `runs`; otherwise from the status."""
+    return with_run_states(cases, runs, salts).select("case_id", F.inline(_task_steps()))
 
 
 def progress(cases: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Counters of each case with its lifecycle and task steps as arrays.  A case has five
-    steps, so the arrays have a fixed size."""
-    steps = lifecycle(cases).select("case_id", F.lit("lifecycle").alias("part"), "position", F.col("step").alias("key"), "label", "state")
-    tasks = task_steps(cases, runs).select("case_id", F.lit("tasks").alias("part"), "position", "key", "label", "state")
-    item = F.struct("position", "key", "label", "state")
-    arrays = steps.unionByName(tasks).groupBy("case_id").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("part") == p, item))).alias(p) for p in ("lifecycle", "tasks")]
+    """Counters of each case with its lifecycle and task steps as arrays, projected in place."""
+    life = F.transform(
+        _lifecycle_steps(), lambda s: F.struct(s["position"].alias("position"), s["step"].alias("key"), s["label"].alias("label"), s["state"].alias("state"))
+    )
+    tasks = F.transform(_task_steps(), lambda s: F.struct(*[s[c].alias(c) for c in ("position", "key", "label", "state")]))
+    return with_run_states(cases, runs).select(
+        "case_id", "status", "docs_total", "docs_classified", "docs_error", life.alias("lifecycle"), tasks.alias("tasks")
     )
-    return cases.select("case_id", "status", "docs_total", "docs_classified", "docs_error").join(arrays, "case_id")
 
 
 def locate_files(documents: DataFrame, staged: DataFrame, cases: DataFrame | None = None) -> DataFrame:

@@ -257,10 +257,9 @@ def run_events(classified: DataFrame, failed: DataFrame, user: Column, now: Colu
 
 def create_cases(cases: DataFrame, requests: DataFrame, now: Column):
     """(new cases, their events, requests with an outcome) for rows (case_id, title,
-    description, owner).  Of several requests for one id the first by owner is taken."""
-    first = requests.groupBy("case_id").agg(
-        F.min_by(F.struct(*[c for c in requests.columns if c != "case_id"]), "owner").alias("r")
-    ).select("case_id", "r.*")
+    description, owner).  Of several requests for one id the first by owner, title and description is taken."""
+    order = ["owner", *[c for c in requests.columns if c not in ("case_id", "owner")]]
+    first = requests.groupBy("case_id").agg(F.min(F.struct(*order)).alias("r")).select("case_id", "r.*")
     known = cases.select("case_id", F.lit(True).alias("known"))
     judged = first.join(known, "case_id", "left").withColumn(
         "outcome",

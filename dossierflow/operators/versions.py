@@ -2,17 +2,13 @@
 
 The latest version is an aggregate with partial combine.  Numbering versions needs an order
 within each document; a document that holds a large share of the log is cut into consecutive
-time slices first, so that no window ever takes a whole hot group.
+slices first, so that no window ever takes a whole hot group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dossierflow.session import plan_bytes
-
-# Below this estimated input size any single group fits a task comfortably.
-WINDOW_BYTES = 256 << 20
 # A group is hot above this share of the rows, so at most 1 / HOT_SHARE groups can be hot.
 HOT_SHARE = 1 / 2000
 SLICES = 256
@@ -30,52 +26,33 @@ def numbered(
     key: str = "doc_id",
     at: str = "created_at",
     tie: str = "event_id",
-    window_bytes: int = WINDOW_BYTES,
     hot_share: float = HOT_SHARE,
     slices: int = SLICES,
 ) -> DataFrame:
     """Add `version` (1 = oldest) and `archived_at` (when the next version came, NULL for the
-    current one)."""
-    if plan_bytes(log) <= window_bytes:
-        return _plain(log, key, at, tie)
-    return _sliced(log, key, at, tie, hot_share, slices)
-
-
-def _plain(log: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    by_time = Window.partitionBy(key).orderBy(at, tie)
-    return log.withColumns(
-        {
-            "version": F.row_number().over(by_time).cast("bigint"),
-            "archived_at": F.lead(at).over(by_time),
-        }
-    )
-
-
-def _sliced(log: DataFrame, key: str, at: str, tie: str, hot_share: float, slices: int) -> DataFrame:
-    """Same result without a whole group in one task.
+    current one).
 
     1. Count per key (partial combine); keys above the share are hot.  There are at most
        1 / hot_share of them, so their slice bounds are a table of proven size.
-    2. Bounds are approximate quantiles of time within each hot key; any bounds give the exact
-       result, good ones balance the slices.
-    3. Rows are numbered within (key, slice); per-slice counts and first times, at most
-       `slices` rows per key, give each slice its offset and its successor.
+    2. Bounds are about `slices` of the key's own (time, tie) pairs, picked by a hash.  Any bounds
+       give the exact result, and these cut rows of one time too.
+    3. Rows are numbered within (key, slice); per-slice counts and first times give each slice its
+       offset and its successor.
     """
-    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    place = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"))
     sizes = log.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     all_rows = log.agg(F.count(F.lit(1)).alias("all_rows")).scalar()
-    hot_keys = sizes.filter(F.col("rows") > all_rows * hot_share).select(key)
-    cuts = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    hot_keys = sizes.filter(F.col("rows") > all_rows * hot_share).select(
+        key, F.ceil(F.col("rows") / slices).cast("bigint").alias("step")
+    )
     bounds = (
-        log.join(F.broadcast(hot_keys), key, "left_semi")
+        log.join(F.broadcast(hot_keys), key)
+        .filter(F.pmod(F.xxhash64(at, tie), F.col("step")) == 0)
         .groupBy(key)
-        .agg(F.percentile_approx(moment, cuts, 10_000).alias("bounds"))
+        .agg(F.collect_set(place).alias("bounds"))
     )
     placed = log.join(F.broadcast(bounds), key, "left").withColumn(
-        "slice",
-        F.when(F.col("bounds").isNull(), 0).otherwise(
-            F.size(F.filter("bounds", lambda b: b < moment))
-        ),
+        "slice", F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda b: b < place)))
     ).withColumn("hot", F.col("bounds").isNotNull()).drop("bounds")
     in_slice = Window.partitionBy(key, "slice").orderBy(at, tie)
     local = placed.withColumns(
@@ -97,7 +74,7 @@ def _sliced(log: DataFrame, key: str, at: str, tie: str, hot_share: float, slice
         )
         .select(key, "slice", "before", "next_slice")
     )
-    # At most `slices` rows for each of at most 1 / hot_share hot keys.
+    # About `slices` rows for each of at most 1 / hot_share hot keys.
     return (
         local.join(F.broadcast(offsets), [key, "slice"], "left")
         .withColumns(

@@ -68,6 +68,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(0).alias("repeat"),
         "suffix",
         paths.content_hash(F.col("text")).alias("content_hash"),
+        F.sha1("text").alias("content_sha1"),
         "text",
         F.col("suffix").isin(".xlsx", ".eml").alias("has_text"),
         F.lit(None).cast("string").alias("reason"),

@@ -1,24 +1,24 @@
-"""The classify-and-merge job: staged documents into the state tables, as one commit."""
+"""The classify-and-merge job: staged documents into the state tables of a run."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossierflow.operators import documents, enrich, state
-from dossierflow.sources import stages
-from dossierflow.sources.state_store import StateStore
+from dossierflow.sources import runs, stages
 
 
 def classify_and_merge(
     spark: SparkSession,
-    store: StateStore,
+    previous: Mapping[str, DataFrame],
     manifest: DataFrame,
-    texts: DataFrame,
+    entries: DataFrame,
     rules: DataFrame,
     work: str,
-    run: str,
+    target: str,
     owner: str,
     mode: str = "full",
     prompt_version: str = "v2.0",
@@ -26,58 +26,51 @@ def classify_and_merge(
     now: Column | None = None,
     run_id: int | None = None,
     **providers,
-) -> int:
-    """Enrich the staged documents and publish the new state; returns the state version.
+) -> str | None:
+    """Enrich the staged documents and write the new state to the folder `target`; returns it, or None when
+    nothing is staged.
 
-    `mode="full"` enriches every staged document again, `"incremental"` only those whose
-    content is not classified under this prompt version.  `work` is a folder of this run for
-    the documents and enrichment results that several tables are computed from.
+    `previous` holds the state before (`runs.read_state`).  `mode="full"` enriches every staged document again,
+    `"incremental"` only those whose content is not classified under this prompt version: the manifest is
+    narrowed first, and only what is left is parsed.  `work` is a folder of this run for results that several
+    tables are computed from.
     """
-    if documents.kept(manifest).isEmpty():
-        return store.version()
+    if mode not in ("full", "incremental"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if runs.is_complete(spark, target):
+        return target
+    staged = documents.kept(manifest)
+    if staged.isEmpty():
+        return None
     now = F.lit(datetime.now(timezone.utc)) if now is None else now
-    docs = stages.write_folder(documents.docs_all(texts, manifest), f"{work}/docs_all")
+    wanted = staged
+    if mode == "incremental":
+        read = previous["documents"].filter("status = 'CLASSIFIED'").select("doc_id", "staged_name", "content_hash")
+        wanted = documents.todo(staged, previous["classifications"].join(read, "doc_id"), prompt_version)
+    wanted = stages.write_folder(wanted, f"{work}/wanted")
+    docs = stages.write_folder(documents.docs_all(documents.texts_of(entries, wanted), wanted), f"{work}/docs_all")
+    skipped = manifest.filter(F.col("kind") == "skipped").select(*wanted.columns)
     failed = stages.write_folder(
-        documents.docs_failed(manifest, docs, include_skipped)
-        # A skipped entry has no staged name; its lineage stands in as the key.
-        .withColumn("staged_name", F.coalesce("staged_name", "lineage")),
+        documents.docs_failed(wanted.unionByName(skipped), docs, include_skipped)
+        # A skipped entry has no staged name; its lineage stands in as the key, once.
+        .withColumn("staged_name", F.coalesce("staged_name", "lineage")).dropDuplicates(["case_id", "staged_name"]),
         f"{work}/docs_failed",
     )
-    wanted = docs
-    if mode == "incremental":
-        done = store.read("classifications").join(
-            store.read("documents").filter("status = 'CLASSIFIED'").select("doc_id", "staged_name", "content_hash"), "doc_id"
-        )
-        wanted = documents.todo(docs, done, prompt_version)
-    elif mode != "full":
-        raise ValueError(f"unknown mode {mode!r}")
-    enriched = stages.write_folder(enrich.enrich(wanted, rules, **providers), f"{work}/enriched")
+    enriched = stages.write_folder(enrich.enrich(docs, rules, **providers), f"{work}/enriched")
 
-    touched = stages.write_folder(state.touched_cases(enriched, failed), f"{work}/touched")
-    only = store.buckets_of(touched)
-    if not only:
-        return store.version()
-    cases = store.read("cases", only)
-    known_docs = store.read("documents", only)
-    current = store.read("classifications", only)
-
-    new_documents = stages.write_folder(
-        state.upsert_documents(known_docs, enriched, failed, now), f"{work}/documents"
-    )
+    touched = state.touched_cases(enriched, failed)
+    current = previous["classifications"]
+    known = stages.write_folder(state.upsert_documents(previous["documents"], enriched, failed, now), f"{work}/documents")
     incoming = state.classification_rows(enriched, now).withColumn("prompt_version", F.lit(prompt_version))
-    new_cases = state.recompute_cases(
-        state.ensure_cases(cases, touched, owner, now), new_documents, touched, now, run_id
-    )
-    return store.commit(
-        run,
-        changes={
-            "cases": new_cases,
-            "documents": new_documents,
+    cases = state.ensure_cases(previous["cases"], touched, owner, now)
+    return runs.write_state(
+        spark,
+        target,
+        {
+            "cases": state.recompute_cases(cases, known, touched, now, run_id),
+            "documents": known,
             "classifications": state.replace_classifications(current, incoming),
-        },
-        appended={
             "classification_history": state.archive_classifications(current, incoming, now),
             "events": state.run_events(enriched, failed, F.lit(owner), now),
         },
-        only=only,
     )

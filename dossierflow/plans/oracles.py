@@ -259,7 +259,10 @@ SQL = {
           case when kind in ('binary', 'text') then original_filename end as original_filename,
           duplicate_of, reason from b_manifest""",
     "read_whole_text": """
-        select case_id, cast(sum(length(text_blocks) + 1) as bigint) as chars from b_docs_all group by case_id""",
+        select case_id, staged_name, md5(concat(text_blocks, chr(10))) as text_md5 from b_docs_all""",
+    "read_binary": """
+        select case_id, candidate as staged_name, cast(strlen(text) as bigint) as length, sha1(text) as data_sha1
+        from b_named where raw_kind = 'binary'""",
     "parse_office": """
         select doc_id, source as case_id, case doc_id % 3 when 0 then '.docx' when 1 then '.pptx' else '.pdf' end as suffix,
           text as text_blocks, cast(null as varchar) as parse_error from documents""",
@@ -355,8 +358,10 @@ SQL = {
     "remember_run": """
         select case_id, max(event_id) as last_run_id, timestamp '2024-02-01 00:00:00' as updated_at from b_events group by case_id""",
     "taxonomy_active": """
-        select distinct label, concat('texts in ', label) as description, sort_order, true as active from b_taxonomy
-        where (select count(*) from documents) > 0""",
+        select lang as label, case when seeded then concat('texts in ', lang) else 'known' end as description,
+          cast(case when seeded then n else -n end as integer) as sort_order, true as active
+        from (select lang, count(*) as n, max(n_chars) >= 10000 and lang <> 'fr' as seeded from documents group by lang) x
+        where seeded or lang > 'en'""",
     "event_log": """
         select case_id, concat(case_id, ':', staged_name) as doc_id, 'pipeline' as "user", 'DOC_CLASSIFIED' as type,
           concat('{"classificacio":', case when classificacio is null then 'null' else concat('"', classificacio, '"') end, '}') as payload_json
@@ -384,7 +389,8 @@ SQL = {
         select c.status, count(*) as n, f.position from b_cases c join (values ('DRAFT', 1), ('PROCESSING', 2), ('READY', 3),
           ('NEEDS_REVIEW', 4), ('CLOSED', 5)) f(status, position) on c.status = f.status group by c.status, f.position""",
     "case_detail": """
-        select d.doc_id, d.original_filename, d.original_lineage, d.status, d.error_message, c.titol, c.classificacio,
+        select 'pipeline' as owner, 'PROCESSING' as case_status,
+          d.doc_id, d.original_filename, d.original_lineage, d.status, d.error_message, c.titol, c.classificacio,
           c.confidence, c.entitat_organisme
         from b_state_documents d left join b_state_classifications c on d.doc_id = c.doc_id where d.case_id = 'src3'""",
     "case_documents": """
@@ -397,6 +403,10 @@ SQL = {
         select (select count(*) from b_opened) as expedients,
           (select count(*) from b_manifest where staged_name is not null) as documents,
           (select count(*) from b_docs_failed) as errors""",
+    "stats_totals_scoped": """
+        select (select count(*) from b_cases where lower(owner) = 'user3@example.com') as expedients,
+          count(*) as documents, count(*) filter (d.status = 'ERROR') as errors
+        from b_event_documents d join b_cases c on d.case_id = c.case_id where lower(c.owner) = 'user3@example.com'""",
     "stats_by_category": """
         select classificacio as label, count(*) as n from b_classified where classificacio is not null group by classificacio""",
     "case_lifecycle": """

@@ -138,20 +138,25 @@ def read_manifest_json(spark, sf):
 
 @query
 def read_whole_text(spark, sf):
-    """Texts written as files per case, read back whole; a file holds a bounded number of texts."""
+    """Every text written as one file under its staged name, and read back whole."""
     folder = run_folder(spark, "texts")
-    rows = base.docs_all(spark, sf).select("case_id", "text_blocks")
-    rows.write.partitionBy("case_id").option("maxRecordsPerFile", 256).text(folder)
+    rows = base.docs_all(spark, sf).select("case_id", "staged_name", "text_blocks")
+    rows.write.partitionBy("case_id", "staged_name").text(folder)
     read = files.read_staged_texts(spark, folder)
-    case = F.regexp_extract("path", "/case_id=([^/]+)/", 1)
-    return read.groupBy(case.alias("case_id")).agg(F.sum(F.length("text_blocks")).cast("bigint").alias("chars"))
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1).alias(name)
+    return read.select(part("case_id"), part("staged_name"), F.md5("text_blocks").alias("text_md5"))
 
 
 @query
 def read_binary(spark, sf):
-    """Files of the table folder as binary files; bytes are not read for a listing."""
-    found = files.read_staged_binaries(spark, f"{sf}/*.parquet")
-    return docs_ops.require_rows(found, "files").select("staged_name", paths.suffix_of(F.col("staged_name")).alias("suffix"), "length")
+    """Payloads of binary entries staged as files, and read back as bytes by staged name."""
+    staged = docs_ops.staged_entries(base.entries(spark, sf)).filter("raw_kind = 'binary'")
+    rows = staged.withColumns({"kind": F.lit("binary"), "data": F.encode("text", "UTF-8")})
+    folder = run_folder(spark, "binaries")
+    stages.write_staged_files(rows, folder).write.format("noop").mode("overwrite").save()
+    found = docs_ops.require_rows(files.read_staged_binaries(spark, f"{folder}/*/binary"), "files")
+    case = F.regexp_extract("path", "/([^/]+)/binary/", 1)
+    return found.select(case.alias("case_id"), "staged_name", "length", F.sha1("data").alias("data_sha1"))
 
 
 # --- parsing -------------------------------------------------------------------------------------
@@ -457,13 +462,13 @@ def remember_run(spark, sf):
 
 @query
 def taxonomy_active(spark, sf):
-    """The taxonomy seeded twice over a store where one label was switched off."""
-    labels = base.keyword_rules(spark).select("label", F.lit("old").alias("description"), "sort_order").distinct()
-    used = base.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    current = labels.withColumn("active", F.col("label") != "German").unionByName(
-        used.select(F.col("lang").alias("label"), F.lit("by language").alias("description"), (F.col("n") * 0 + 9).cast("int").alias("sort_order"), F.lit(False).alias("active"))
+    """Languages as labels, ordered by how many documents they have.  The store knows all of them and has some
+    switched off; the seed, the languages with any long document, is applied twice."""
+    used = base.table(spark, sf, "documents").groupBy(F.col("lang").alias("label")).agg(
+        F.count(F.lit(1)).cast("int").alias("sort_order"), F.max("n_chars").alias("longest")
     )
-    seed = labels.withColumn("description", F.concat(F.lit("texts in "), F.col("label")))
+    current = used.select("label", F.lit("known").alias("description"), (-F.col("sort_order")).alias("sort_order"), (F.col("label") > "en").alias("active"))
+    seed = used.filter("longest >= 10000 and label <> 'fr'").select("label", F.concat(F.lit("texts in "), F.col("label")).alias("description"), "sort_order")
     return serving.taxonomy(state.seed_taxonomy(state.seed_taxonomy(current, seed), seed))
 
 
@@ -531,8 +536,10 @@ def _state_tables(spark, sf):
 @query
 def case_detail(spark, sf):
     documents, classifications = _state_tables(spark, sf)
-    return serving.case_detail(documents, classifications, "src3").select(
-        "doc_id", "original_filename", "original_lineage", "status", "error_message", "titol", "classificacio", "confidence", "entitat_organisme"
+    cases = state.ensure_cases(base.cases(spark, sf), state.touched_cases(documents), "pipeline", _now())
+    seen = serving.scope_cases(cases, "Pipeline")
+    return serving.case_detail(documents, classifications, "src3", seen).select(
+        "owner", "case_status", "doc_id", "original_filename", "original_lineage", "status", "error_message", "titol", "classificacio", "confidence", "entitat_organisme"
     )
 
 
@@ -564,6 +571,14 @@ def stats_totals(spark, sf):
     return serving.stats_totals(base.opened_cases(spark, sf), documents)
 
 
+@query
+def stats_totals_scoped(spark, sf):
+    """The totals of one owner's cases; documents here are those of the events."""
+    cases = base.cases(spark, sf)
+    seen = serving.scope_cases(cases, "user3@example.com")
+    return serving.stats_totals(cases, base.event_documents(spark, sf), seen)
+
+
 @query
 def stats_by_category(spark, sf):
     return serving.stats_by_category(base.classified(spark, sf))

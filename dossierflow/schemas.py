@@ -30,12 +30,12 @@ LANDED_FILE = _struct("path string, modificationTime timestamp, length bigint, c
 # level, so (source_path, entry_path) sorts like a depth-first walk.
 ENTRY = _struct(
     "case_id string, source_path string, entry_path array<int>, lineage string, repeat int, "
-    "suffix string, content_hash string, data binary, text string, reason string"
+    "suffix string, content_hash string, content_sha1 string, data binary, text string, reason string"
 )
 
 MANIFEST = _struct(
     "case_id string, source_path string, entry_path array<int>, lineage string, "
-    "original_filename string, suffix string, content_hash string, kind string, "
+    "original_filename string, suffix string, content_hash string, content_sha1 string, kind string, "
     "staged_name string, duplicate_of string, reason string"
 )
 

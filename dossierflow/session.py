@@ -42,19 +42,8 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/dossierflow/{purpose}-{uuid.uuid4().hex}"
 
 
-def plan_bytes(df) -> int:
-    """Catalyst's size estimate for a plan.  Joins are estimated high, so comparing it with a
-    limit only ever errs towards the path made for large data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-# A table up to this size may be a single row group, which one task has to read.
-ONE_SPLIT_BYTES = 256 << 20
-
-
 def spread(df, key: str):
-    """Hash a small scan over all cores, so that work per text does not run in one task.
-    A larger scan has splits enough and is left alone."""
-    if plan_bytes(df) > ONE_SPLIT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Hash a scan that has fewer splits than the cluster has cores over all cores.  A table of one row group is
+    one split; its rows are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -55,15 +55,23 @@ def write_staged_files(staged: DataFrame, root: str) -> DataFrame:
 
     Takes rows (case_id, kind, staged_name, data, text); tasks write where the rows are, below
     a folder every executor can reach, and the returned rows name what an action has written.
-    A repeated task writes the same bytes to the same name.
+    A root without a scheme belongs to Spark's default file system.  A file is written under another name and
+    renamed when it is whole, so a lost task leaves no cut file and a repeated one writes the same bytes again.
     """
+    hadoop = staged.sparkSession._jvm.org.apache.hadoop.fs
+    conf = staged.sparkSession._jsc.hadoopConfiguration()
+    root = hadoop.FileSystem.get(conf).makeQualified(hadoop.Path(root)).toString() if "://" not in root else root
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[len("file:") :]
     schema = "case_id string, kind string, staged_name string, path string, length bigint"
 
     def run(batches):
+        import uuid
+
         import pyarrow as pa
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             done = []
             for r in batch.to_pylist():
@@ -71,8 +79,10 @@ def write_staged_files(staged: DataFrame, root: str) -> DataFrame:
                 folder = f"{base.rstrip('/')}/{r['case_id']}/{r['kind']}"
                 path = f"{folder}/{r['staged_name']}"
                 store.create_dir(folder, recursive=True)
-                with store.open_output_stream(path) as out:
+                part = f"{folder}/.{r['staged_name']}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
                     out.write(body or b"")
+                store.move(part, path)
                 done.append((r["case_id"], r["kind"], r["staged_name"], path, len(body or b"")))
             names = ("case_id", "kind", "staged_name", "path", "length")
             yield pa.RecordBatch.from_pydict({n: [d[i] for d in done] for i, n in enumerate(names)})
@@ -85,12 +95,12 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, folder: str, batch_id: int, *within: str) -> None:
     """Replace the partition of one micro-batch; a replay writes the same place again."""
     (
         df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("batch_id", *within)
         .parquet(folder)
     )

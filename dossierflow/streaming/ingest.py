@@ -6,20 +6,27 @@ so a replayed batch replaces what it wrote before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dossierflow.functions import paths
 from dossierflow.operators import normalize
-from dossierflow.operators.expand import MAX_DEPTH, MAX_ENTRY_BYTES, expand_containers
+from dossierflow.operators.expand import expand_containers
 from dossierflow.schemas import ENTRY, MANIFEST
 from dossierflow.sources import files, stages
 
 _BATCH = T.StructField("batch_id", T.LongType())
 ENTRIES_TABLE = T.StructType(ENTRY.fields + [T.StructField("has_text", T.BooleanType()), _BATCH])
-MANIFEST_TABLE = T.StructType(MANIFEST.fields + [_BATCH])
+MANIFEST_TABLE = T.StructType(MANIFEST.fields + [_BATCH, T.StructField("case_part", T.IntegerType())])
 ARCHIVE_TABLE = T.StructType([T.StructField("path", T.StringType()), T.StructField("archive_path", T.StringType()), _BATCH])
 
+# The manifest is laid out by batch and by a hash of the case; a batch reads the parts of its own cases only.
+CASE_PARTS = 64
+
+
+def case_part() -> Column:
+    return F.pmod(F.xxhash64("case_id"), F.lit(CASE_PARTS)).cast("int")
+
 
 class Staging:
     """The folders one ingest writes: entries with payload, manifest, handled files."""
@@ -40,27 +47,31 @@ class Staging:
         return self._read("manifest", MANIFEST_TABLE)
 
     def manifest(self) -> DataFrame:
-        return self.manifest_batches().drop("batch_id")
+        return self.manifest_batches().drop("batch_id", "case_part")
 
     def archived_files(self) -> DataFrame:
         return self._read("archived_files", ARCHIVE_TABLE)
 
 
-def process_batch(batch: DataFrame, batch_id: int, staging: Staging, scope: str = "case", max_depth: int = MAX_DEPTH, max_entry_bytes: int = MAX_ENTRY_BYTES, archive_root: str | None = None) -> None:
+def process_batch(batch: DataFrame, batch_id: int, staging: Staging, scope: str = "case", archive_root: str | None = None) -> None:
     """One micro-batch: expand, write entries, then derive the manifest from narrow columns."""
     if batch.isEmpty():
         return
     spark = batch.sparkSession
-    found = expand_containers(files.landed(batch), max_depth, max_entry_bytes)
+    found = expand_containers(files.landed(batch))
     stages.write_batch(found.withColumn("has_text", F.col("text").isNotNull()), f"{staging.root}/entries", batch_id)
 
     mine = F.col("batch_id") == batch_id
     entries = staging.entries().filter(mine).drop("data", "text")
     # Only earlier batches count as known, so a replay sees what the first attempt saw.
-    known = staging.manifest_batches().filter(F.col("batch_id") < batch_id)
-    fresh = normalize.manifest_of_batch(entries, known.drop("batch_id"), scope)
-    added = normalize.manifest_additions(known.drop("batch_id"), fresh.drop("batch_id"))
-    stages.write_batch(added.select(*MANIFEST.fieldNames()), f"{staging.root}/manifest", batch_id)
+    earlier = staging.manifest_batches().filter(F.col("batch_id") < batch_id)
+    parts = [r[0] for r in entries.select(case_part()).distinct().collect()]  # at most CASE_PARTS numbers
+    known = earlier.filter(F.col("case_part").isin(*parts)).drop("batch_id", "case_part")
+    same = earlier.drop("batch_id", "case_part") if scope == "global" else known
+    fresh = normalize.manifest_of_batch(entries, same, scope)
+    added = normalize.manifest_additions(known, fresh.drop("batch_id"))
+    added = added.select(*MANIFEST.fieldNames()).withColumn("case_part", case_part())
+    stages.write_batch(added, f"{staging.root}/manifest", batch_id, "case_part")
     if archive_root:
         stages.write_batch(archive_rows(batch, archive_root), f"{staging.root}/archived_files", batch_id)
 

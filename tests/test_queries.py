@@ -40,8 +40,3 @@ def test_trained_labels(spark, sf):
     rows = QUERIES["classified_ml"](spark, sf)
     assert rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert {r[0] for r in rows.select("classificacio").distinct().collect()} <= {"0", "1"}
-
-
-def test_table_files_as_binaries(spark, sf):
-    rows = {r["staged_name"]: r for r in QUERIES["read_binary"](spark, sf).collect()}
-    assert rows["documents.parquet"]["suffix"] == ".parquet" and rows["documents.parquet"]["length"] > 0

@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dossierflow.operators import documents, enrich, normalize, state
+from dossierflow.operators import enrich, normalize, state
 from dossierflow.operators.expand import expand_containers
 from dossierflow.plans.built_files import docx
 from dossierflow.plans.merge_run import classify_and_merge
-from dossierflow.sources.state_store import StateStore
+from dossierflow.sources import runs
 
 T1, T2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
@@ -16,18 +16,28 @@ def at(text):
     return F.lit(text).cast("timestamp")
 
 
-def staged(spark, files):
-    entries = expand_containers(spark.createDataFrame(files, "case_id string, source_path string, content binary"))
-    return normalize.manifest(entries), documents.texts_of(entries)
+class State:
+    """The latest run below a folder, and what the caller put in its place."""
 
+    def __init__(self, spark, tmp_path):
+        self.spark, self.root, self.folder, self.put = spark, str(tmp_path / "state"), None, {}
 
-def merge(spark, store, tmp_path, run, files, **options):
-    manifest, texts = staged(spark, files)
-    rules = enrich.taxonomy_keywords(enrich.default_taxonomy(spark))
-    options["now"] = at(options.get("now", T1))
-    return classify_and_merge(
-        spark, store, manifest, texts, rules, str(tmp_path / f"work-{run}"), run, "me@example.com", **options
-    )
+    def tables(self):
+        return {**runs.read_state(self.spark, self.folder), **self.put}
+
+    def read(self, table):
+        return runs.read_log(self.spark, self.root, table) if table in runs.LOGS else self.tables()[table]
+
+    def merge(self, tmp_path, run, files, **options):
+        entries = expand_containers(self.spark.createDataFrame(files, "case_id string, source_path string, content binary"))
+        rules = enrich.taxonomy_keywords(enrich.default_taxonomy(self.spark))
+        options["now"] = at(options.get("now", T1))
+        written = classify_and_merge(
+            self.spark, self.tables(), normalize.manifest(entries), entries, rules,
+            str(tmp_path / f"work-{run}"), f"{self.root}/{run}", "me@example.com", **options,
+        )
+        self.folder, self.put = written or self.folder, {}
+        return written
 
 
 GOOD = docx(["Resolucion que adjudica un contrato", "Expedient: AB-1"])
@@ -39,8 +49,8 @@ def rows(df, *columns):
 
 
 def test_a_run_fills_all_tables(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=4)
-    assert merge(spark, store, tmp_path, "r1", FILES, run_id=7) == 1
+    store = State(spark, tmp_path)
+    assert store.merge(tmp_path, "r1", FILES, run_id=7) == f"{store.root}/r1"
     assert rows(store.read("cases"), "case_id", "owner", "status", "docs_total", "docs_classified", "docs_error", "last_run_id") == [
         ("E1", "me@example.com", "NEEDS_REVIEW", 2, 1, 1, 7),
         ("E2", "me@example.com", "READY", 1, 1, 0, 7),
@@ -64,13 +74,13 @@ def test_a_run_fills_all_tables(spark, tmp_path):
 
 
 def test_runs_are_repeatable_and_keep_history(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=4)
-    merge(spark, store, tmp_path, "r1", FILES)
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES)
     before = {t: sorted(map(str, store.read(t).collect())) for t in ("cases", "documents", "classifications", "events")}
-    assert merge(spark, store, tmp_path, "r1", FILES) == 1
+    assert store.merge(tmp_path, "r1", FILES) == f"{store.root}/r1"
     assert before == {t: sorted(map(str, store.read(t).collect())) for t in before}
     # A new full run archives every current classification and replaces it.
-    assert merge(spark, store, tmp_path, "r2", FILES[:2], now=T2) == 2
+    assert store.merge(tmp_path, "r2", FILES[:2], now=T2) == f"{store.root}/r2"
     assert rows(store.read("classification_history"), "case_id") == [("E1",)]
     assert store.read("classifications").count() == 2
     assert store.read("events").count() == 5
@@ -78,62 +88,84 @@ def test_runs_are_repeatable_and_keep_history(spark, tmp_path):
 
 
 def test_incremental_run_does_only_what_is_new(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=4)
-    merge(spark, store, tmp_path, "r1", FILES, mode="incremental")
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES, mode="incremental")
     more = FILES + [("E2", "c.docx", docx(["Notificacion oficial"]))]
-    merge(spark, store, tmp_path, "r2", more, mode="incremental", now=T2)
+    store.merge(tmp_path, "r2", more, mode="incremental", now=T2)
     assert store.read("classification_history").isEmpty()
     assert store.read("classifications").count() == 3
-    merge(spark, store, tmp_path, "r3", more, mode="incremental", now=T2, prompt_version="v3")
+    store.merge(tmp_path, "r3", more, mode="incremental", now=T2, prompt_version="v3")
     assert store.read("classification_history").count() == 3
 
 
 def test_failure_and_recovery(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=2)
-    merge(spark, store, tmp_path, "r1", [("E1", "a.docx", b"broken")])
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", [("E1", "a.docx", b"broken")])
     assert rows(store.read("documents"), "status", "error_message") == [("ERROR", state.UNREADABLE)]
-    merge(spark, store, tmp_path, "r2", [("E1", "a.docx", GOOD)], now=T2)
+    store.merge(tmp_path, "r2", [("E1", "a.docx", GOOD)], now=T2)
     assert rows(store.read("documents"), "status", "error_message") == [("CLASSIFIED", None)]
     assert rows(store.read("cases"), "status") == [("READY",)]
 
 
 def test_skipped_entries_on_request(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=2)
-    merge(spark, store, tmp_path, "r1", [("E1", "a.docx", GOOD), ("E1", "n.txt", b"x")], include_skipped=True)
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", [("E1", "a.docx", GOOD), ("E1", "n.txt", b"x")], include_skipped=True)
     assert rows(store.read("documents"), "status") == [("CLASSIFIED",), ("ERROR",)]
 
 
 def test_nothing_staged_changes_nothing(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"))
-    assert merge(spark, store, tmp_path, "r1", [("E1", "n.txt", b"x")]) == 0
+    store = State(spark, tmp_path)
+    assert store.merge(tmp_path, "r1", [("E1", "n.txt", b"x")]) is None
 
 
 def test_closed_cases_stay_closed(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=2)
-    merge(spark, store, tmp_path, "r1", FILES)
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES)
     closed = store.read("cases").withColumn("status", F.when(F.col("case_id") == "E1", "CLOSED").otherwise(F.col("status")))
-    store.commit("close", {"cases": closed})
-    merge(spark, store, tmp_path, "r2", FILES, now=T2)
+    store.put = {"cases": closed}
+    store.merge(tmp_path, "r2", FILES, now=T2)
     assert rows(store.read("cases"), "case_id", "status") == [("E1", "CLOSED"), ("E2", "READY")]
 
 
-def test_unfinished_commit_is_not_seen(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=2)
-    merge(spark, store, tmp_path, "r1", FILES)
-    # Tables of the next version are there, its commit file is not.
-    store.read("cases").limit(0).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{store.root}/cases/v=2")
-    assert store.version() == 1 and store.read("cases").count() == 2
-
-
-def test_deleting_a_case_empties_its_buckets(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=4)
-    merge(spark, store, tmp_path, "r1", FILES)
+def test_two_runs_at_once_lose_nothing(spark, tmp_path):
+    first, second = State(spark, tmp_path), State(spark, tmp_path)
+    first.merge(tmp_path, "base", FILES)
+    second.folder = first.folder
+    first.merge(tmp_path, "a", [("E3", "a.docx", GOOD)], now=T2)
+    second.merge(tmp_path, "b", [("E4", "a.docx", GOOD)], now=T2)
+    seen = lambda s: {r["case_id"] for r in s.read("documents").collect()}
+    assert seen(first) == {"E1", "E2", "E3"} and seen(second) == {"E1", "E2", "E4"}
+    assert {r["case_id"] for r in first.read("events").collect()} == {"E1", "E2", "E3", "E4"}
+    # The later one is run again on what the other left.
+    second.folder = first.folder
+    second.merge(tmp_path, "c", [("E4", "a.docx", GOOD)], now=T2)
+    assert seen(second) == {"E1", "E2", "E3", "E4"}
+
+
+def test_a_run_that_broke_off_is_written_again(spark, tmp_path):
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES)
+    spark.createDataFrame([], state.DOCUMENTS).write.parquet(f"{store.root}/r2/documents")
+    store.merge(tmp_path, "r2", FILES[:2], now=T2)
+    assert store.read("documents").count() == 3
+
+
+def test_an_incremental_run_parses_only_what_is_left(spark, tmp_path, monkeypatch):
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES[::2], mode="incremental")
+    more = FILES[::2] + [("E2", "c.docx", docx(["Notificacion oficial"]))]
+    store.merge(tmp_path, "r2", more, mode="incremental", now=T2)
+    assert spark.read.parquet(str(tmp_path / "work-r2/wanted")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "work-r2/docs_all")).count() == 1
+
+
+def test_deleting_a_case(spark, tmp_path):
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES)
+    names = ("cases", "documents", "classifications")
     gone = spark.createDataFrame([("E1",)], "case_id string")
-    only = store.buckets_of(gone)
-    left = state.delete_cases(gone, *[store.read(t, only) for t in ("cases", "documents", "classifications")])
-    store.commit("drop", dict(zip(("cases", "documents", "classifications"), left)), only=only)
-    for t in ("cases", "documents", "classifications"):
-        assert {r["case_id"] for r in store.read(t).collect()} == {"E2"}
+    left = state.delete_cases(gone, *[store.read(t) for t in names])
+    assert all({r["case_id"] for r in t.collect()} == {"E2"} for t in left)
     assert store.read("events").count() == 3
 
 
@@ -173,4 +205,4 @@ def test_constraints_find_each_kind_of_violation(spark):
 
 def test_unknown_mode(spark, tmp_path):
     with pytest.raises(ValueError):
-        merge(spark, StateStore(spark, str(tmp_path / "s")), tmp_path, "r", FILES, mode="some")
+        State(spark, tmp_path).merge(tmp_path, "r", FILES, mode="some")

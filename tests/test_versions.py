@@ -1,6 +1,6 @@
 """Numbering versions in slices gives what one window gives, hot documents included."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from dossierflow.operators import versions
 
@@ -16,22 +16,32 @@ def log(spark, n=4000):
     return rows
 
 
-def test_sliced_numbering(spark):
+def windowed(rows):
+    by_time = Window.partitionBy("doc_id").orderBy("created_at", "event_id")
+    return rows.withColumns({"version": F.row_number().over(by_time).cast("bigint"), "archived_at": F.lead("created_at").over(by_time)})
+
+
+def test_slices_number_as_one_window_does(spark):
     rows = log(spark)
-    plain = versions.numbered(rows, window_bytes=1 << 40)
-    sliced = versions.numbered(rows, window_bytes=0, hot_share=0.05, slices=16)
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sliced.collect()))
-    assert plain.columns == sliced.columns
+    sliced = versions.numbered(rows, hot_share=0.05, slices=16)
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, windowed(rows).collect()))
+    assert sliced.columns == windowed(rows).columns
 
 
 def test_every_key_hot_or_none(spark):
     rows = log(spark, 600)
-    want = sorted(map(tuple, versions.numbered(rows).collect()))
+    want = sorted(map(tuple, windowed(rows).collect()))
     for share in (0.0, 1.0):
-        got = versions.numbered(rows, window_bytes=0, hot_share=share, slices=4)
+        got = versions.numbered(rows, hot_share=share, slices=4)
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_rows_of_one_time_are_cut_too(spark):
+    rows = log(spark, 900).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    got = versions.numbered(rows, hot_share=0.0, slices=8)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, windowed(rows).collect()))
+
+
 def test_latest_is_the_version_without_successor(spark):
     rows = log(spark, 900)
     latest = {r["doc_id"]: r["event_id"] for r in versions.latest(rows).collect()}
