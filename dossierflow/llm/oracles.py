@@ -39,14 +39,15 @@ with d as (
 ), covered as (
   select row, count(distinct i + k) as n from again, (select unnest(range(0, 8)) as k) group by row
 ), lines as (
-  select row, count(*) as n, count(*) - count(distinct line) as dup
+  select row, count(*) - count(distinct line) as dup, sum(strlen(line)) as bytes,
+    list_sum(list_transform(list(distinct line), lambda x: strlen(x))) as once
   from (select row, unnest(string_split(text, chr(10))) as line from d)
   where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by row
 ), m as (
   select d.row, doc_id, text, w, len(w)::bigint as n_words,
     coalesce(length(array_to_string(w, '')), 0)::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-    coalesce(lines.dup, 0)::bigint as n_dup_lines, coalesce(lines.n, 0)::bigint as n_lines,
+    coalesce(lines.dup, 0)::bigint as n_dup_lines, coalesce(lines.bytes, 0) as line_bytes, coalesce(lines.once, 0) as once,
     coalesce(covered.n, 0)::bigint as n_repeat_words,
     len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::bigint as n_stutters,
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as upper,
@@ -56,7 +57,7 @@ with d as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 100 * n_symbols > 30 * n_words or 100 * n_dup_lines > 30 * n_lines
+  not (base_failed or 100 * n_symbols > 30 * n_words or 100 * (line_bytes - once) > 50 * line_bytes
     or 100 * n_stutters > 20 * n_words or 100 * upper > 50 * letters
     or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
 from v

@@ -58,8 +58,14 @@ class View:
         """Lines with a word."""
         return [line for line in self.slice.text(i).split(b"\n") if line.strip()]
 
-    def n_lines(self) -> np.ndarray:
-        return np.array([len(self.lines(i)) for i in range(len(self.slice))], np.int64)
+    def line_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of lines equal to an earlier one, bytes of all lines with a word."""
+        out = np.zeros((2, len(self.slice)), np.int64)
+        for i in range(len(self.slice)):
+            found = self.lines(i)
+            out[1, i] = sum(map(len, found))
+            out[0, i] = out[1, i] - sum(map(len, set(found)))
+        return out[0], out[1]
 
     def n_dup_lines(self) -> np.ndarray:
         out = np.zeros(len(self.slice), np.int64)
@@ -118,13 +124,18 @@ def _length(v: View) -> np.ndarray:
     return (chars < 2 * n) | (chars > 20 * n)
 
 
+def _lines(v: View) -> np.ndarray:
+    again, all_ = v.line_bytes()
+    return 100 * again > 50 * all_
+
+
 BASE_RULES = (
     Rule("words", lambda v: v.n_words() < 20),
     Rule("repeats", lambda v: 100 * v.n_repeat_words() > 30 * v.n_words()),
 )
 MORE_RULES = (
     Rule("symbols", lambda v: 100 * v.n_symbols() > 30 * v.n_words()),
-    Rule("lines", lambda v: 100 * v.n_dup_lines() > 30 * v.n_lines()),
+    Rule("lines", _lines),
     Rule("stutter", lambda v: 100 * v.n_stutters() > 20 * v.n_words()),
     Rule("capitals", _case),
     Rule("word_length", _length),

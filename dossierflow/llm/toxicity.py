@@ -37,7 +37,7 @@ LEAST = 4
 SEEN = 3  # rows a feature must be seen in
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.1, 0.1
 CATEGORIES = ("dense", "repeated", "toxic")
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
 class Linear(NamedTuple):
