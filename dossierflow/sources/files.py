@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from fnmatch import fnmatchcase
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierflow.functions import paths
@@ -26,14 +29,55 @@ def stream_files(spark: SparkSession, landing: str, glob: str = "*", files_per_b
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """All files below a folder (path, modificationTime, length, content).  Bytes are read only
-    when `content` is used.  Names starting with a dot or underscore are not listed."""
-    return (
+    """All files below a folder (path, modificationTime, length, content), but for those with a dot name in
+    their path.  Bytes are read only when `content` is used.
+
+    Spark's listing leaves out names that start with an underscore; they are listed apart and read in tasks."""
+    listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
     )
+    passed_over = underscored(spark, root, glob)
+    return listed.unionByName(_read_paths(passed_over)) if passed_over is not None else listed
+
+
+def underscored(spark: SparkSession, root: str, glob: str = "*") -> DataFrame | None:
+    """Files (path, modificationTime, length) below a folder that have an underscore name, but no dot name, in
+    their path; None when there are none.  The driver walks the listing and keeps these names only."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return None
+    start = len(system.makeQualified(top).toString().rstrip("/"))
+    walk, found = system.listFiles(top, True), []
+    while walk.hasNext():
+        status = walk.next()
+        path = status.getPath().toString()
+        names = path[start:].strip("/").split("/")
+        if any(n[:1] == "_" for n in names) and not any(n[:1] == "." for n in names) and fnmatchcase(names[-1], glob):
+            found.append((path, datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen()))
+    schema = "path string, modificationTime timestamp, length bigint"
+    return spark.createDataFrame(found, schema) if found else None
+
+
+def _read_paths(names: DataFrame) -> DataFrame:
+    """Files by path, with their content."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                system, bare = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                with system.open_input_stream(bare) as source:
+                    content = pa.array([source.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], [*batch.schema.names, "content"])
+
+    return names.mapInArrow(run, LANDED_FILE)
 
 
 def under_raw(files: DataFrame) -> DataFrame:

@@ -40,6 +40,18 @@ def test_batch_job(spark, folder, tmp_path):
     assert back.columns == list(report.HEADERS.values()) and back.count() == 3
 
 
+def test_underscore_names_are_read_and_dot_names_are_not(spark, tmp_path):
+    for name in ("a.pdf", "_b.pdf", "_in/c.pdf", "in/_d.pdf", ".e.pdf", ".in/f.pdf", "_in/.g.pdf", "_h.txt"):
+        path = tmp_path / "names" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(name.encode())
+    found = files.read_files(spark, str(tmp_path / "names"), "*.pdf").collect()
+    got = {bytes(r["content"]).decode(): r["length"] for r in found}
+    assert got == {n: len(n) for n in ("a.pdf", "_b.pdf", "_in/c.pdf", "in/_d.pdf")}
+    rows = files.below(files.read_files(spark, str(tmp_path / "names")), str(tmp_path / "names"), "E1")
+    assert {r["source_path"] for r in rows.select("source_path").collect()} == {"a.pdf", "_b.pdf", "_in/c.pdf", "in/_d.pdf", "_h.txt"}
+
+
 def test_batch_job_without_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
