@@ -44,8 +44,11 @@ def skip_reason(suffix: Column, reason: Column) -> Column:
 def describe(entries: DataFrame) -> DataFrame:
     """Add raw_kind, original_filename and the candidate staged name to entries.
 
-    Takes a boolean `has_text` when the payload columns have been dropped already.
+    Takes a boolean `has_text` when the payload columns have been dropped already.  Entries that were written
+    with these columns keep them, and so the layout they were written in.
     """
+    if "candidate" in entries.columns:
+        return entries
     has_text = F.col("has_text") if "has_text" in entries.columns else F.col("text").isNotNull()
     repeat = F.col("repeat") if "repeat" in entries.columns else None
     suffix = F.col("suffix")

@@ -57,7 +57,10 @@ def _position(number: Column) -> Column:
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     doc_id = F.col("doc_id")
-    rows = table(spark, sf, "documents").withColumn("suffix", _suffix(doc_id))
+    # No NULL in what documents are joined by: a filter for it would part the readers of one exchange.
+    rows = table(spark, sf, "documents").withColumns(
+        {"suffix": _suffix(doc_id), "source": F.coalesce("source", F.lit(paths.UNASSIGNED_CASE)), "lang": F.coalesce("lang", F.lit(""))}
+    )
     name = F.concat(F.lit("d"), doc_id.cast("string"), F.col("suffix"))
     archive = F.concat(F.col("source"), F.lit(".zip"))
     return rows.select(

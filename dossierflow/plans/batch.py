@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierflow.operators import documents, enrich, normalize, report
 from dossierflow.operators.expand import expand_containers
@@ -12,14 +12,17 @@ from dossierflow.sources import files, stages
 def stage(spark: SparkSession, root: str, prefix: str, case_id: str = "batch") -> tuple[DataFrame, DataFrame]:
     """Entries and manifest of everything below a folder, with one duplicate scope for the run."""
     found = documents.require_rows(files.read_files(spark, root), f"files under {root}")
-    entries = stages.save_stage(expand_containers(files.below(found, root, case_id)), f"{prefix}entries")
-    manifest = stages.save_stage(normalize.manifest(entries, scope="global"), f"{prefix}manifest")
+    opened = expand_containers(files.below(found, root, case_id)).withColumn("has_text", F.col("text").isNotNull())
+    # Hash and staged name are written with the payload, so the manifest reads narrow columns only.  Texts move
+    # once, when they are written by document key, and meet the manifest where they are.
+    entries = stages.save_stage(normalize.describe(opened), f"{prefix}entries")
+    manifest = stages.save_stage(normalize.manifest(entries, scope="global"), f"{prefix}manifest", documents.DOCUMENT_KEY)
     return entries, manifest
 
 
 def result(spark: SparkSession, entries: DataFrame, manifest: DataFrame, rules: DataFrame, prefix: str, **providers) -> DataFrame:
     """Texts, documents, enrichment and result table; each is written once and read back."""
-    texts = stages.save_stage(documents.texts_of(entries), f"{prefix}docs_text")
+    texts = stages.save_stage(documents.texts_of(entries), f"{prefix}docs_text", documents.DOCUMENT_KEY)
     docs = documents.docs_all(texts, manifest)
     docs = documents.require_rows(stages.save_stage(docs, f"{prefix}docs_all"), "document with text")
     enriched = stages.save_stage(enrich.enrich(docs, rules, **providers), f"{prefix}docs_enriched")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierflow import session
-from dossierflow.operators import documents, enrich, parse, report, serving
+from dossierflow.operators import documents, enrich, normalize, parse, report, serving
 from dossierflow.plans import base, batch
 from dossierflow.plans.built_files import docx, pdf as page_file, pptx
 from dossierflow.sources import files, stages
@@ -126,6 +126,22 @@ def test_bucketed_stages_join_without_an_exchange(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_payloads_of_staged_entries_are_read_once_and_texts_move_once(spark, folder):
+    entries, manifest = batch.stage(spark, str(folder), "t4_")
+    texts = stages.save_stage(documents.texts_of(entries), "t4_texts", documents.DOCUMENT_KEY)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = documents.docs_all(texts, manifest)
+        shown = plan(docs)
+        derived = plan(documents.docs_all(documents.texts_of(entries), normalize.manifest(entries)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in shown and docs.count() == 3
+    schemas = [part.split("\n")[0] for part in derived.split("ReadSchema: ")[1:]]
+    assert sum("text:string" in s and "data:binary" in s for s in schemas) <= 1
+    assert sum("data:binary" in s for s in schemas) <= 1
+
+
 def test_entries_are_read_once_for_a_manifest(spark, sf):
     df = base.manifest(spark, sf)
     df.collect()
