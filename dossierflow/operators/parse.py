@@ -40,11 +40,20 @@ def _pptx(data: bytes) -> list[tuple[str, str]]:
     return found
 
 
-_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOWN = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|'|\")", re.S)
-_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
-_ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
-_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)(?=endobj|\Z)", re.S)
+_STREAM = re.compile(rb"^\s*<<(.*)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_PIECE = rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>"
+_SHOWN = re.compile(
+    rb"/([^\s/\[\]()<>]+)\s+[-+.\d]+\s+Tf\b|\[((?:" + _PIECE + rb"|[^\]()<>])*)\]\s*TJ|(" + _PIECE + rb")\s*(?:Tj|'|\")", re.S
+)
+_ITEM = re.compile(rb"(" + _PIECE + rb")|([-+]?[\d.]+)", re.S)
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r\n": b""}
+_FONT_NAMES = re.compile(rb"/([^\s/\[\]()<>]+)\s+(\d+)\s+\d+\s+R")
+_MAPPED = re.compile(rb"begin(bfchar|bfrange)(.*?)endbf", re.S)
+_CODE = re.compile(rb"<([0-9A-Fa-f\s]*)>|(\[)|(\])")
+# Thousandths of the font size that a gap inside a shown line must reach to count as a blank.
+_BLANK = 200
 
 
 def _unescape(raw: bytes) -> bytes:
@@ -55,15 +64,89 @@ def _unescape(raw: bytes) -> bytes:
     return _ESCAPE.sub(one, raw)
 
 
+def _hex(digits: bytes) -> bytes:
+    digits = b"".join(digits.split())
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+
+def _text_of(code: bytes) -> str:
+    return code.decode("utf-16-be", "replace")
+
+
+def _unicode_map(body: bytes) -> dict[bytes, str]:
+    """Character codes to text, from a font's ToUnicode stream."""
+    found: dict[bytes, str] = {}
+    for kind, entries in _MAPPED.findall(body):
+        codes, listed = [], None
+        for digits, opens, closes in _CODE.findall(entries):
+            if opens:
+                listed = []
+            elif closes:
+                codes.append(listed)
+                listed = None
+            elif listed is not None:
+                listed.append(_hex(digits))
+            else:
+                codes.append(_hex(digits))
+        if kind == b"bfchar":
+            found.update((src, _text_of(dst)) for src, dst in zip(codes[::2], codes[1::2]))
+            continue
+        for low, high, dst in zip(codes[::3], codes[1::3], codes[2::3]):
+            for i in range(int.from_bytes(high, "big") - int.from_bytes(low, "big") + 1):
+                src = (int.from_bytes(low, "big") + i).to_bytes(len(low), "big")
+                if isinstance(dst, list):
+                    found[src] = _text_of(dst[i]) if i < len(dst) else ""
+                else:
+                    found[src] = _text_of(dst[:-2] + (int.from_bytes(dst[-2:], "big") + i).to_bytes(2, "big"))
+    return found
+
+
+def _decoded(raw: bytes, codes: dict[bytes, str] | None) -> str:
+    if not codes:
+        return raw.decode("cp1252", "replace")
+    n = len(next(iter(codes)))
+    return "".join(codes.get(raw[i : i + n], "") for i in range(0, len(raw), n))
+
+
+def _string(piece: bytes) -> bytes:
+    return _hex(piece[1:-1]) if piece[:1] == b"<" else _unescape(piece[1:-1])
+
+
 def _pdf(data: bytes) -> list[tuple[str, str]]:
-    """Text-showing operators of plain and deflated content streams with single-byte fonts."""
+    """Text-showing operators of plain and deflated content streams.  Strings are literal or hex; a font's
+    ToUnicode map is used where it has one.  A stream that does not inflate is left out, unless none does."""
+    streams, fonts, names, broken = {}, {}, {}, None
+    for number, body in _OBJECT.findall(data):
+        m = _STREAM.match(body)
+        if m and b"/Image" not in m[1]:
+            try:
+                streams[number] = zlib.decompressobj().decompress(m[2]) if b"FlateDecode" in m[1] else m[2]
+            except zlib.error as e:
+                broken = e
+        head = m[1] if m else body
+        if found := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", head):
+            fonts[number] = found[1]
+        for group in re.findall(rb"/Font\s*<<(.*?)>>", head, re.S):
+            names.update(_FONT_NAMES.findall(group))
+    if broken is not None and not streams:
+        raise broken
+    maps = {name: _unicode_map(streams[fonts[font]]) for name, font in names.items() if fonts.get(font) in streams}
     found = []
-    for head, stream in _STREAM.findall(data):
-        if b"FlateDecode" in head:
-            stream = zlib.decompressobj().decompress(stream)
-        for many, single in _SHOWN.findall(stream):
-            text = b"".join(_unescape(s) for s in _STRING.findall(many or single))
-            found.append(("text", text.decode("cp1252", "replace")))
+    for number, stream in streams.items():
+        if number in fonts.values():
+            continue
+        codes = None
+        for font, many, single in _SHOWN.findall(stream):
+            if font:
+                codes = maps.get(font)
+                continue
+            text = ""
+            for piece, gap in _ITEM.findall(many or single):
+                if piece:
+                    text += _decoded(_string(piece), codes)
+                elif -float(gap) >= _BLANK and not text.endswith(" "):
+                    text += " "
+            found.append(("text", text))
     return found
 
 

@@ -1,5 +1,7 @@
 """The batch job, readers, parameters and plan shapes."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,21 @@ def test_parsers(spark):
     assert [r["parse_error"] for r in rows] == [None, None, None, "unsupported-format:.doc", "unsupported-format:.png", "unreadable:BadZipFile"]
 
 
+def test_page_files_of_other_writers(spark):
+    """Hex strings, ToUnicode maps, gaps, escapes over lines, a picture and a stream that does not inflate."""
+    cmap = b"/CMapName /X def 1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0003> <0020> <0005> <00660069> endbfchar 1 beginbfrange <0024> <0026> <0041> <0030> <0031> [<00E9> <20AC>] endbfrange"
+    page = b"BT /F1 12 Tf <48656C6C6F> Tj [(Hel\\\nlo) -600 (wor) 20 (ld) -100 (!)] TJ (a\\(b\\)\\051) ' /F2 9 Tf <002400250003002600300031> Tj [<0005> -300 <0024>] TJ ET"
+    stream = lambda n, head, body: b"%d 0 obj\n<< %s /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (n, head, len(body), body)
+    data = (
+        b"%PDF-1.4\n1 0 obj\n<< /Type /Page /Resources << /Font << /F1 2 0 R /F2 3 0 R >> >> >>\nendobj\n"
+        b"2 0 obj\n<< /Type /Font >>\nendobj\n3 0 obj\n<< /Type /Font /ToUnicode 4 0 R >>\nendobj\n"
+        + stream(4, b"", cmap) + stream(5, b"/Filter /FlateDecode", b"broken") + stream(6, b"/Subtype /Image", b"(no) Tj")
+        + stream(7, b"/Filter /FlateDecode", zlib.compress(page)) + b"%%EOF"
+    )
+    got = parse.parse_documents(spark.createDataFrame([(".pdf", data)], "suffix string, data binary")).first()
+    assert got["text_blocks"].split("\n") == ["Hello", "Hello world!", "a(b))", "AB Cé€", "fi A"] and got["parse_error"] is None
+
+
 def test_parameters(spark):
     spark.conf.set("dossierflow.volume", "v1")
     assert session.param(spark, "volume") == "v1"
