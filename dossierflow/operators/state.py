@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossierflow.functions import rules
 from dossierflow.operators.enrich import stamp
@@ -211,7 +211,7 @@ def archive_classifications(current: DataFrame, incoming: DataFrame, now: Column
     replaced = current.join(incoming.select("doc_id"), "doc_id", "left_semi")
     rows = replaced.withColumns(
         {
-            "history_id": F.xxhash64("doc_id", F.col("created_at").cast("string")),
+            "history_id": identity(F.col("doc_id"), F.col("created_at").cast("string")),
             "archived_at": now,
         }
     )
@@ -227,17 +227,19 @@ def replace_classifications(current: DataFrame, incoming: DataFrame) -> DataFram
 # --- events ------------------------------------------------------------------------------
 
 
-def event_rows(rows: DataFrame, kind: str, user: Column, payload: Column, now: Column) -> DataFrame:
-    """Events with an id that a repeated run computes again."""
+def identity(*parts: Column) -> Column:
+    """A SHA-256 that a repeated run computes again; NULLs count as such."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def event_rows(rows: DataFrame, kind: str, user: Column, payload: Column, now: Column, nth: Column | None = None) -> DataFrame:
+    """Events with an id that a repeated run computes again.  `nth` tells apart rows that are equal otherwise."""
     doc = F.col("doc_id") if "doc_id" in rows.columns else F.lit(None).cast("string")
     return conform(
         rows.select(
             "case_id", doc.alias("doc_id"), user.alias("user"), F.lit(kind).alias("type"),
-            payload.alias("payload_json"), now.alias("ts"),
-        ).withColumn(
-            "event_id",
-            F.xxhash64("case_id", F.coalesce("doc_id", F.lit("")), "type", "payload_json", F.col("ts").cast("string")),
-        ),
+            payload.alias("payload_json"), now.alias("ts"), (F.lit(1) if nth is None else nth).alias("nth"),
+        ).withColumn("event_id", identity(*[F.col(c) for c in ("case_id", "doc_id", "user", "type", "payload_json", "ts", "nth")])),
         EVENTS,
     )
 
@@ -279,7 +281,8 @@ def register_uploads(cases: DataFrame, files: DataFrame, now: Column):
     case side is unique, so only the file side can be skewed, and the cases to change are
     made distinct with partial combine."""
     status = cases.select("case_id", F.col("status").alias("case_status"))
-    named = files.withColumn("filename", rules.safe_file_name(F.col("filename")))
+    alike = Window.partitionBy(*files.columns).orderBy(F.lit(0))
+    named = files.withColumn("nth", F.row_number().over(alike)).withColumn("filename", rules.safe_file_name(F.col("filename")))
     judged = named.join(status, "case_id", "left").withColumn(
         "outcome",
         F.when(~rules.valid_case_id(F.col("case_id")), "invalid")
@@ -291,8 +294,10 @@ def register_uploads(cases: DataFrame, files: DataFrame, now: Column):
     ).drop("case_status")
     accepted = judged.filter("outcome = 'accepted'")
     events = event_rows(
-        accepted, "FILES_UPLOADED", F.col("owner"), rules.payload(filename=F.col("filename"), bytes=F.col("bytes")), now
+        accepted, "FILES_UPLOADED", F.col("owner"), rules.payload(filename=F.col("filename"), bytes=F.col("bytes")), now,
+        F.col("nth"),
     )
+    judged = judged.drop("nth")
     opened = accepted.select("case_id").distinct().withColumns({"status": F.lit("PROCESSING"), "updated_at": now})
     changed = upsert(cases, opened, ["case_id"], {"status": "source", "updated_at": "source"})
     return changed, events, judged

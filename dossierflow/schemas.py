@@ -86,12 +86,12 @@ _VALUES = (
 )
 CLASSIFICATIONS = _struct(f"doc_id string, case_id string, {_VALUES}, created_at timestamp")
 HISTORY = _struct(
-    f"history_id bigint, doc_id string, case_id string, {_VALUES}, archived_at timestamp"
+    f"history_id string, doc_id string, case_id string, {_VALUES}, archived_at timestamp"
 )
 VALUE_COLUMNS = tuple(_struct(_VALUES).fieldNames())
 
 EVENTS = _struct(
-    "event_id bigint, case_id string, doc_id string, user string, type string, "
+    "event_id string, case_id string, doc_id string, user string, type string, "
     "payload_json string, ts timestamp"
 )
 

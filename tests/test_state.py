@@ -189,6 +189,8 @@ def test_requests(spark):
     assert sorted(r["outcome"] for r in judged.collect()) == ["accepted", "closed", "empty", "no-name", "unknown-case"]
     assert rows(after, "case_id", "status") == [("E1", "CLOSED"), ("E2", "PROCESSING")]
     assert rows(told, "payload_json") == [('{"filename":"_x_a.pdf","bytes":5}',)]
+    _, twice, _ = state.register_uploads(cases, uploads.unionByName(uploads), at(T2))
+    assert twice.count() == 2 == twice.select("event_id").distinct().count()
 
 
 def test_constraints_find_each_kind_of_violation(spark):
