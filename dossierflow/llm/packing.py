@@ -14,8 +14,12 @@ their own; keys may be null.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +31,7 @@ from dossierflow.llm import texts
 from dossierflow.llm.token_counts import library
 
 MOST_TEXTS = 4096  # in a block; the choice among them takes time with its square
-MEMO = 1 << 20
+MEMO = 1 << 20  # words remembered before a task forgets them all
 
 
 class Limits(NamedTuple):
@@ -99,24 +103,76 @@ def fill(examples: Examples, limits: Limits, first: int, last: bool) -> tuple[li
     return pieces, sequence
 
 
+# Words of printable ASCII and Latin-1 letters: composed already, one lower-case letter for each capital, and the
+# same classes of characters in every Unicode version.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class Ids:
-    """Ids of whole texts.  White space separates words for this tokenizer and is dropped, so each distinct word
-    is encoded once in a task and remembered."""
+    """Ids of whole texts, for a tokenizer that folds case, drops white space and maps bytes to letters.
+
+    White space separates words, so each distinct word is encoded once in a task and remembered.  Plain words are
+    cut here by the tokenizer's own pattern, and its model encodes each distinct part; other words go through the
+    whole tokenizer."""
 
     def __init__(self, path: str, end: int):
-        self.tokenizer, self.end, self.memo = library(path), np.uint32(end).tobytes(), {}
+        from tokenizers import Tokenizer
+
+        self.whole, self.end = library(path), np.uint32(end).tobytes()
+        self.bare = Tokenizer(self.whole.model)  # no normaliser, no pattern
+        self.numbers: dict[bytes, int] = defaultdict()  # of words in the order of their first use
+        self.numbers.default_factory = self.numbers.__len__
+        self.ids: list[bytes] = []  # by number
+        self.parts: dict[str, bytes] = {}
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or "(?!)")
+        # As byte-level tokenizers do: printable bytes stand for themselves, the others for letters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in set(shown)]
+        self.letters = {x: x for x in shown} | {x: 256 + i for i, x in enumerate(hidden)}
+
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of many parts from one call, cut by the word that each id belongs to."""
+        if not parts:
+            return []
+        shown = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+        found = self.bare.encode(shown, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        edge = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(parts) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(edge, edge[1:])]
+
+    def _learn(self, new: list[bytes]) -> None:
+        cut: list[list[str] | str] = []
+        for word in map(bytes.decode, new):
+            if word.isascii() and word.isalpha():
+                cut.append([word.lower()])
+                continue
+            plain = PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word))
+            cut.append(PLAIN_PARTS.findall(word.lower()) if plain else word)
+        parts = list({p for ps in cut if type(ps) is list for p in ps if p not in self.parts})
+        self.parts.update(zip(parts, self._part_ids(parts)))
+        other = [ps for ps in cut if type(ps) is str]
+        encoded = self.whole.encode_batch_fast(other, add_special_tokens=False)
+        whole = {w: array("I", e.ids).tobytes() for w, e in zip(other, encoded)}
+        known = self.parts
+        for ps in cut:
+            if type(ps) is str:
+                self.ids.append(whole[ps])
+            else:
+                self.ids.append(known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]))
 
     def of(self, s: texts.Slice, low: int, high: int) -> list[bytes]:
-        split = [s.text(i).split() for i in range(low, high)]
-        new = list({w for ws in split for w in ws if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list({w for ws in split for w in ws})
+        if len(self.ids) > MEMO:
+            self.numbers.clear()
+            self.ids.clear()
+            self.parts.clear()
+        number = self.numbers.__getitem__
+        numbers = [list(map(number, s.text(i).split())) for i in range(low, high)]
+        new = list(islice(self.numbers, len(self.ids), None))
         for part in range(0, len(new), 1 << 15):
-            some = new[part : part + (1 << 15)]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded))
-        return [b"".join(map(self.memo.__getitem__, ws)) + self.end for ws in split]
+            self._learn(new[part : part + (1 << 15)])
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, ns)) + self.end for ns in numbers]
 
 
 def packed(
