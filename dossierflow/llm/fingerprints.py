@@ -90,14 +90,11 @@ def with_next(docs: DataFrame, key: str) -> DataFrame:
     order = [F.desc_nulls_last("key"), F.asc("text")]
     within = Window.partitionBy("bucket").orderBy(*order)
     following = rows.select(
-        "bucket", "key", "text", F.lead("text").over(within).alias("next_text"), F.lead("key").over(within).alias("next_key"),
+        "bucket", "key", "text", F.row_number().over(within).alias("place"), F.lead("text").over(within).alias("next_text"), F.lead("key").over(within).alias("next_key"),
         F.lead(F.lit(True), 1, False).over(within).alias("inside"),
     )
-    heads = rows.groupBy("bucket").agg(F.max("key").alias("head_key"))
-    head_rows = rows.alias("r").join(
-        heads.alias("h"), (F.col("r.bucket") == F.col("h.bucket")) & F.col("r.key").eqNullSafe(F.col("h.head_key"))
-    )
-    heads = head_rows.groupBy("h.bucket", "head_key").agg(F.min("text").alias("head_text"))
+    # The first row of each bucket; both branches start from one exchange of the texts.
+    heads = following.where("place = 1").select("bucket", F.col("key").alias("head_key"), F.col("text").alias("head_text"))
     after = _next(heads.select("bucket"), "bucket")
     heads = after.join(heads.withColumnRenamed("bucket", "after"), "after").select("bucket", "head_key", "head_text")
     return following.join(heads, "bucket").select(
