@@ -2,15 +2,19 @@
 
 The join is the product of the sparse document by n-gram matrix with its transpose, never written out:
 
-1. Rows.  A text becomes its set of n-grams; equal sets are one row from here on.  A fixed-size table of hashed
-   counts over all texts orders the columns from rare to frequent.
+1. Rows.  A text becomes its set of n-grams; equal sets are one row from here on.  Two fixed-size tables of
+   hashed counts over all texts order the columns from rare to frequent: columns whose own count stands out of the
+   table's noise last, the others by the product of their words' counts.
+   A row also gets its parities, one bit per bucket of columns: two rows differ in at least as many columns as in
+   parities, which bounds the overlap of a pair without its columns.
 2. First block of columns.  A pair can only reach the bound if it meets in the rarest columns of both rows:
    ``size - needed + 1`` of them, where ``needed`` is the least overlap that the size allows.  Other products are
    never made, nor those whose sizes differ too much.
 3. Stars.  In each column the row that shares most of its columns is the centre; the others are multiplied with it,
-   which takes one product per row and not one per pair.  Overlaps are counted exactly over all columns, and pairs
-   below the bound are dropped.  Links make components.
-4. The rest.  Where a column still holds rows of several components, the pairs across components are multiplied.
+   which takes one product per row and not one per pair.  Pairs that their parities keep below the bound are
+   dropped; for the others overlaps are counted exactly over all columns.  Links make components.
+4. The rest.  Where a column still holds rows of several components, the pairs across components are multiplied
+   in the same way.
    Pairs inside a component would change nothing.  So no link between different components is lost, and a group of
    near copies never becomes all its pairs.
 
@@ -27,19 +31,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.llm import texts
 
 GRAM = 3
 PERCENT = 90
-SLOTS = 1 << 20  # hashed counts; their number is fixed, so the table that tasks get has 1 MB at any size
+SLOTS = 1 << 20  # hashed counts; their number is fixed, so the tables that tasks get have 2 MB at any size
 CHUNK = 1 << 14
+NARROW, WIDE, LONG = 512, 4096, 1800  # parities of a set, and of one with at least so many grams
 PARTNERS = 256  # partners of a centre that one task compares
 
 
@@ -48,75 +53,151 @@ def needed(size, percent: int):
     return (size * percent + 99) // 100
 
 
-def gram_sets(s: texts.Slice, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct gram hashes of all texts, sorted within each, and where each text begins."""
+def most_differing(a, b, percent: int):
+    """Most columns that two linked sets of these sizes can differ in."""
+    return F.floor((a + b) * (100 - percent) / (100 + percent))
+
+
+class Ranks(NamedTuple):
+    """By slot of the hash, in quarter powers of two: counts of words, and of grams where they stand out, else 0."""
+
+    words: np.ndarray
+    grams: np.ndarray
+
+
+def gram_sets(s: texts.Slice, n: int, by_slot: Ranks | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct gram hashes of all texts, sorted within each; their ranks, those of their words added up where their
+    own does not stand out; and where each text begins."""
     data = texts.lower_ascii(s.data)
     w = texts.words(s, data)
     hashes = texts.span_hashes(data, w.start, w.end)
+    ranks = np.zeros(len(hashes), np.int16) if by_slot is None else by_slot.words[slot(hashes)].astype(np.int16)
     count = np.diff(w.first)
+
+    def of(k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int16)
+        return texts.chained(hashes, k)[at], sum(ranks[at + j] for j in range(k))
+
     at, text = texts.owners(w.first, n - 1)
-    grams = texts.chained(hashes, n)[at] if len(at) else np.zeros(0, np.uint64)
+    grams, rank = of(n, at)
     for k in range(1, n):  # short texts
         short = np.flatnonzero(count == k)
         if len(short):
-            grams = np.concatenate([grams, texts.chained(hashes, k)[w.first[:-1][short]] ^ np.uint64(k)])
-            text = np.concatenate([text, short])
+            more, its = of(k, w.first[:-1][short])
+            grams, rank, text = np.concatenate([grams, more ^ np.uint64(k)]), np.concatenate([rank, its]), np.concatenate([text, short])
     order = np.lexsort((grams, text))
-    grams, text = grams[order], text[order]
+    grams, rank, text = grams[order], rank[order], text[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-    grams, text = grams[new], text[new]
-    return grams, np.searchsorted(text, np.arange(len(s) + 1))
+    grams, rank, text = grams[new], rank[new], text[new]
+    if by_slot is not None:
+        rank = rank + (by_slot.grams[slot(grams)].astype(np.int16) << 7)  # above any sum of word ranks that matters
+    return grams, rank, np.searchsorted(text, np.arange(len(s) + 1))
 
 
-def slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - 20)).astype(np.int64)
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
 
 
-def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """How frequent the columns of each slot are, as quarter powers of two in a byte."""
+def column_ranks(docs: DataFrame, n: int) -> Ranks:
+    """Count words and grams of all texts by slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(2 * SLOTS, np.int64)
         for s in texts.slices(batches):
-            total += np.bincount(slot(gram_sets(s, n)[0]), minlength=SLOTS)
-        parts = [pa.compress(total[low : low + CHUNK].tobytes(), codec="zstd", asbytes=True) for low in range(0, SLOTS, CHUNK)]
+            data = texts.lower_ascii(s.data)
+            w = texts.words(s, data)
+            hashes = texts.span_hashes(data, w.start, w.end)
+            total[:SLOTS] += np.bincount(slot(hashes), minlength=SLOTS)
+            total[SLOTS:] += np.bincount(slot(texts.chained(hashes, n)[texts.owners(w.first, n - 1)[0]]), minlength=SLOTS)
+        parts = [pa.compress(total[low : low + CHUNK].tobytes(), codec="zstd", asbytes=True) for low in range(0, 2 * SLOTS, CHUNK)]
         yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), parts], ["chunk", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for part in rows.column("counts").to_pylist():
             total += np.frombuffer(pa.decompress(part, 8 * CHUNK, codec="zstd"), np.int64)
+        if rows.column("chunk")[0].as_py() * CHUNK >= SLOTS:
+            usual = float(np.median(total))
+            total[total <= usual + 8 * np.sqrt(usual) + 16] = 0
         rank = np.round(4 * np.log2(total + 1)).astype(np.uint8)
         return pa.table({"chunk": rows.column("chunk")[:1], "ranks": [rank.tobytes()]})
 
     counted = docs.select("text").mapInArrow(count, "chunk int, counts binary")
-    found = counted.groupBy("chunk").applyInArrow(add, "chunk int, ranks binary").collect()  # 1 MB in all
-    ranks = np.zeros(SLOTS, np.uint8)
+    found = counted.groupBy("chunk").applyInArrow(add, "chunk int, ranks binary").collect()  # 2 MB in all
+    ranks = np.zeros(2 * SLOTS, np.uint8)
     for r in found:
         ranks[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["ranks"], np.uint8)
-    return ranks
-
-
-def rows_of(docs: DataFrame, key: str, ranks: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``id, size, same, rarest``: a name for the set, equal for equal sets, and its rarest grams."""
+    return Ranks(ranks[:SLOTS], ranks[SLOTS:])
+
+
+def parities(grams: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of each set, how often its grams fall into each bucket, modulo two, packed into longs."""
+    out: list[np.ndarray] = []
+    mixed = texts.mix(grams)
+    for low in range(0, len(at) - 1, 2048):
+        high = min(low + 2048, len(at) - 1)
+        size = np.diff(at[low : high + 1])
+        long = size >= LONG
+        row = np.repeat(np.arange(high - low), size)
+        bucket = mixed[at[low] : at[high]]
+        key = row * NARROW + (bucket & np.uint64(NARROW - 1)).astype(np.int64)
+        odd = (np.bincount(key, minlength=(high - low) * NARROW) & 1).astype(np.uint8)
+        packed = np.packbits(odd).view("<i8").reshape(high - low, NARROW // 64)
+        for i in range(high - low):
+            if long[i]:
+                own = (mixed[at[low + i] : at[low + i + 1]] & np.uint64(WIDE - 1)).astype(np.int64)
+                out.append(np.packbits((np.bincount(own, minlength=WIDE) & 1).astype(np.uint8)).view("<i8"))
+            else:
+                out.append(packed[i])
+    return out
+
+
+def rows_of(docs: DataFrame, key: str, ranks: Ranks, n: int, percent: int) -> DataFrame:
+    """``id, size, same, parity, rarest``: a name for the set, equal for equal sets, its parities, and its rarest
+    grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in texts.slices(batches):
-            grams, at = gram_sets(s, n)
+            grams, rank, at = gram_sets(s, n, ranks)
             size = np.diff(at)
             text = np.repeat(np.arange(len(s)), size)
-            order = np.lexsort((grams, ranks[slot(grams)], text))
+            order = np.lexsort((grams, rank, text))
             place = np.arange(len(grams)) - np.repeat(at[:-1], size)
             front = size - needed(size, percent) + (size > 0)
             first = grams[order][place < np.repeat(front, size)].view(np.int64)
             same = [hashlib.blake2b(grams[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(front)]), pa.int32()), pa.array(first))
-            ids = s.batch.column(s.batch.schema.get_field_index(key))
-            yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(same, pa.binary()), lists], ["id", "size", "same", "rarest"])
+            bits = parities(grams, at)
+            lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+            columns = [
+                s.batch.column(s.batch.schema.get_field_index(key)),
+                pa.array(size, pa.int64()),
+                pa.array(same, pa.binary()),
+                lists(np.concatenate(bits), [len(x) for x in bits]),
+                lists(first, front),
+            ]
+            yield pa.record_batch(columns, ["id", "size", "same", "parity", "rarest"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"id {kind}, size long, same binary, rarest array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"id {kind}, size long, same binary, parity array<long>, rarest array<long>")
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parities of two rows (column prefixes ``a``, ``b``) allow a link.  Parities of different
+    width tell nothing."""
+    size_a, size_b = F.col(f"{a}size"), F.col(f"{b}size")
+    differing = F.aggregate(
+        F.zip_with(f"{a}parity", f"{b}parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    fits = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
+    return fits & ((F.size(f"{a}parity") != F.size(f"{b}parity")) | (differing <= most_differing(size_a, size_b, percent)))
+
+
+def sieved(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose parities allow a link."""
+    of = lambda name: sets.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "parity")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(may_link("a_", "b_", percent)).select("a", "b")
 
 
 def shared_columns(sets: DataFrame, percent: int) -> DataFrame:
@@ -177,6 +258,7 @@ def stars(columns: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, key: str, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose texts link, by whole sets."""
     kind = docs.schema[key].dataType.simpleString()
+    pairs = texts.stored(pairs, "pairs")
     often = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("often"))
     weighed = pairs.join(often.select(F.col("id").alias("a"), F.col("often").alias("of_a")), "a").join(
         often.select(F.col("id").alias("b"), F.col("often").alias("of_b")), "b"
@@ -194,7 +276,7 @@ def linked(docs: DataFrame, key: str, pairs: DataFrame, n: int, percent: int) ->
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in texts.slices(batches):
-            grams, at = gram_sets(s, n)
+            grams, _, at = gram_sets(s, n)
             blobs = pa.array([grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
             of = lambda name: s.batch.column(s.batch.schema.get_field_index(name))
             yield pa.record_batch([of("centre"), of("part"), of("role"), of("id"), blobs], ["centre", "part", "role", "id", "grams"])
@@ -244,28 +326,30 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
             return label
 
 
-def across(columns: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of fitting sizes that share a column but no component."""
-    labelled = columns.join(label, "id", "left").select("gram", "size", "id", F.coalesce("component", "id").alias("component"))
+def across(columns: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that share a column but no component, and that their parities allow to link."""
+    labelled = columns.join(label, "id", "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
     labelled = texts.stored(labelled, "labelled")
     mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    left = labelled.join(mixed, "gram", "left_semi")
+    left = labelled.join(mixed, "gram", "left_semi").join(sets.select("id", "size", "parity"), "id")
+    left = texts.stored(left, "mixed")
     x, y = left.alias("x"), left.alias("y")
-    fits = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits)
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & apart & may_link("x.", "y.", percent))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def joined(docs: DataFrame, key: str = "doc_id", n: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id`` of every row."""
-    ranks = column_ranks(docs, n)
-    rows = texts.stored(rows_of(docs, key, ranks, n, percent), "gram-rows")
+    rows = texts.stored(rows_of(docs, key, column_ranks(docs, n), n, percent), "gram-rows")
     named = rows.where("id is not null and size > 0")
-    sets = named.groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "rarest"), "id").alias("row"))
-    equal = sets.select("same", F.col("id").alias("first"))
-    columns = texts.stored(shared_columns(sets.select("id", "row.size", "row.rarest"), percent), "columns")
-    near = texts.stored(linked(docs, key, texts.stored(stars(columns, percent), "star-pairs"), n, percent), "near")
-    rest = texts.stored(linked(docs, key, texts.stored(across(columns, components(near, "star"), percent), "rest-pairs"), n, percent), "rest")
+    first = named.groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "parity", "rarest"), "id").alias("row"))
+    equal = first.select("same", F.col("id").alias("first"))
+    sets = texts.stored(first.select("id", "row.*"), "sets")
+    columns = texts.stored(shared_columns(sets, percent), "columns")
+    near = texts.stored(linked(docs, key, sieved(stars(columns, percent), sets, percent), n, percent), "near")
+    left = across(columns, sets, components(near, "star"), percent)
+    rest = texts.stored(linked(docs, key, left, n, percent), "rest")
     same = named.join(equal, "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     label = components(near.union(rest).union(same), "all")
     return rows.join(label, "id", "left").select(
