@@ -344,8 +344,8 @@ def joined(docs: DataFrame, key: str = "doc_id", n: int = GRAM, percent: int = P
     rows = texts.stored(rows_of(docs, key, column_ranks(docs, n), n, percent), "gram-rows")
     named = rows.where("id is not null and size > 0")
     first = named.groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("size", "parity", "rarest"), "id").alias("row"))
-    equal = first.select("same", F.col("id").alias("first"))
-    sets = texts.stored(first.select("id", "row.*"), "sets")
+    sets = texts.stored(first.select("same", "id", "row.*"), "sets")
+    equal = sets.select("same", F.col("id").alias("first"))  # read as stored, so that a skewed join can be split
     columns = texts.stored(shared_columns(sets, percent), "columns")
     near = texts.stored(linked(docs, key, sieved(stars(columns, percent), sets, percent), n, percent), "near")
     left = across(columns, sets, components(near, "star"), percent)
