@@ -19,7 +19,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -142,24 +142,30 @@ class Ids:
         return [ids[a:b] for a, b in zip(edge, edge[1:])]
 
     def _learn(self, new: list[bytes]) -> None:
-        cut: list[list[str] | str] = []
+        cut: list[str | list[str] | None] = []  # one part, several, or none for a word that is not plain
+        other = []
         for word in map(bytes.decode, new):
             if word.isascii() and word.isalpha():
-                cut.append([word.lower()])
-                continue
-            plain = PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word))
-            cut.append(PLAIN_PARTS.findall(word.lower()) if plain else word)
-        parts = list({p for ps in cut if type(ps) is list for p in ps if p not in self.parts})
-        self.parts.update(zip(parts, self._part_ids(parts)))
-        other = [ps for ps in cut if type(ps) is str]
-        encoded = self.whole.encode_batch_fast(other, add_special_tokens=False)
-        whole = {w: array("I", e.ids).tobytes() for w, e in zip(other, encoded)}
+                cut.append(word.lower())
+            elif PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word)):
+                cut.append(PLAIN_PARTS.findall(word.lower()))
+            else:
+                cut.append(None)
+                other.append(word)
+        parts = {c for c in cut if c.__class__ is str}
+        parts.update(chain.from_iterable(c for c in cut if c.__class__ is list))
+        parts = list(parts.difference(self.parts))
         known = self.parts
-        for ps in cut:
-            if type(ps) is str:
-                self.ids.append(whole[ps])
+        known.update(zip(parts, self._part_ids(parts)))
+        whole = iter(self.whole.encode_batch_fast(other, add_special_tokens=False))
+        add = self.ids.append
+        for c in cut:
+            if c.__class__ is str:
+                add(known[c])
+            elif c is None:
+                add(array("I", next(whole).ids).tobytes())
             else:
-                self.ids.append(known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]))
+                add(b"".join([known[p] for p in c]))
 
     def of(self, s: texts.Slice, low: int, high: int) -> list[bytes]:
         if len(self.ids) > MEMO:
