@@ -1,14 +1,14 @@
 """Main text of web pages by the distribution of text over lines.
 
 1. Markup is stripped: every block element starts a new line; inline markup vanishes; references are decoded and
-   white space becomes one space.  Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-   reader comments are marked as surroundings, by element, role and the words of class and id; scripts, styles and
-   the like leave no line at all.
-2. Every line gets the sum of text lengths over a sliding window of lines; text of surroundings and of lines that
-   are mostly links counts nothing.
+   white space becomes one space.  Lines inside menus, headers, footers, sidebars, notices, adverts and reader
+   comments are surroundings, by element, role and the names in class and id, and so are forms, but for those around
+   most of the page's text; scripts, styles and the like leave no line at all.
+2. Surroundings are left out.  Every other line gets the sum of text lengths over a sliding window of lines; lines
+   that are mostly links count nothing.
 3. A surge is where the sum rises over the limit, a dive where it falls to nothing.  Where the page marks its
-   article the limit is one character, as everything between the first surge and the last dive inside the mark is
-   wanted.  Elsewhere the stretch with most text wins.  Lines between surge and dive are kept, without surroundings.
+   article the limit is one character, as everything inside the mark is wanted.  The lines of every stretch between
+   a surge and the next dive are kept.
 
 A null or empty page, and a page without text, gives an empty text.  A page is handled alone in one pass over its
 characters, so repeated pages and null keys are no special case.  An unclosed advert ends where its parent ends or
@@ -34,7 +34,7 @@ SURGE = 80  # characters within a window, where nothing marks the article
 # Elements by their part in a page.
 SILENT = set("script style noscript template svg math iframe object canvas audio video select option textarea title head".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
-AROUND = set("nav footer aside form menu dialog button header".split())
+AROUND = set("nav footer aside menu dialog button header".split())
 MAIN = set("article main".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -43,22 +43,24 @@ BLOCK = set(
     " thead tr ul".split()
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-# Words of class and id, and roles, that mark surroundings.
+# Words of class and id, and roles, that mark surroundings; and what may stand before and behind the words.
 AROUND_WORDS = set(
     "ad ads adbox adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments"
     " commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation"
     " newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond"
     " share sharing sidebar signup skip social sponsor sponsored subscribe topbar widget widgets".split()
 )
-AROUND_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+BEFORE = set("bottom global main page primary secondary site top".split())
+BEHIND = set("area bar block box button buttons link links list posts section slot".split())
+AROUND_ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none", re.I)
-WORD = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!|;|$)")
+WORD = re.compile(r"[^\W\d_]{2,}")
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -67,6 +69,7 @@ class Line(NamedTuple):
     linked: int  # characters inside links
     around: bool
     main: bool
+    form: bool
 
 
 class Open(NamedTuple):
@@ -74,6 +77,17 @@ class Open(NamedTuple):
     around: bool
     silent: bool
     main: bool
+    form: bool
+
+
+def names_surroundings(token: str) -> bool:
+    """Whether a name in class or id says surroundings as a whole: ``site-header``, but not ``has-sidebar``."""
+    words = WORD.findall(token)
+    while words and words[0] in BEFORE:
+        del words[0]
+    while words and words[-1] in BEHIND:
+        del words[-1]
+    return bool(words) and AROUND_WORDS.issuperset(words)
 
 
 def marks(name: str, attributes: str) -> bool:
@@ -82,17 +96,19 @@ def marks(name: str, attributes: str) -> bool:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and name not in MAIN and not AROUND_WORDS.isdisjoint(WORD.findall(value)):
+        if key in ("class", "id") and name not in MAIN and any(map(names_surroundings, value.split())):
             return True
         if key == "role" and value.strip() in AROUND_ROLES:
             return True
-    return bool(HIDDEN.search(ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "style" else m[1] + "=", attributes)))
+        if key == "hidden" and value.strip() != "until-found" or key == "style" and HIDDEN.search(value):
+            return True
+    return False
 
 
 def lines(page: str) -> list[Line]:
     """The page's lines of text in order."""
     out: list[Line] = []
-    stack = [Open("", False, False, False)]
+    stack = [Open("", False, False, False, False)]
     parts: list[str] = []
     linked, links, at = 0, 0, 0
     opened: Counter[str] = Counter()  # names on the stack
@@ -101,7 +117,7 @@ def lines(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Line(text, min(linked, len(text)), stack[-1].around, stack[-1].main))
+            out.append(Line(text, min(linked, len(text)), stack[-1].around, stack[-1].main, stack[-1].form))
         parts.clear()
         linked = 0
 
@@ -156,8 +172,9 @@ def lines(page: str) -> list[Line]:
             if around and not top.around:
                 end_line()
             main = top.main or (name in MAIN or 'role="main"' in attributes) and not around
+            form = (top.form or name == "form") and top.main >= main  # not of an article inside the form
             opened[name] += 1
-            stack.append(Open(name, around, top.silent or name in SILENT, main))
+            stack.append(Open(name, around, top.silent or name in SILENT, main, form))
             if name in RAW:
                 end = CLOSING[name].search(page, at)
                 at = end.start() if end else len(page)
@@ -166,29 +183,25 @@ def lines(page: str) -> list[Line]:
 
 
 def kept(found: list[Line]) -> list[str]:
-    """Text between surge and dive."""
+    """Text between surges and dives."""
+    found = [x for x in found if not x.around]
     marked = any(x.main for x in found)
-    weight = [0 if x.around or x.main < marked else len(x.text) if marked else len(x.text) * (2 * x.linked <= len(x.text)) for x in found]
+    found = [x for x in found if x.main >= marked]
+    weigh = lambda x: len(x.text) * (marked or 2 * x.linked <= len(x.text))
+    if 2 * sum(weigh(x) for x in found if x.form) <= sum(map(weigh, found)):
+        found = [x for x in found if not x.form]
+    weight = list(map(weigh, found))
     limit = 1 if marked else SURGE
-    stretches: list[tuple[int, int, int]] = []
-    start, total = -1, 0
+    out: list[str] = []
+    start = -1
     for i in range(len(found) + 1):
         window = sum(weight[i : i + WINDOW])
         if start < 0 and window >= limit and i < len(found) and weight[i]:
-            start, total = i, 0  # surge
-        if start >= 0:
-            if window == 0:  # dive
-                stretches.append((total, start, i))
-                start = -1
-            else:
-                total += weight[i]
-    if marked and stretches:
-        low, high = stretches[0][1], stretches[-1][2]
-    elif stretches:
-        _, low, high = max(stretches, key=lambda x: (x[0], -x[1]))
-    else:
-        return [x.text for x, w in zip(found, weight) if w]  # a page of few words
-    return [x.text for x in found[low:high] if not x.around and x.main >= marked]
+            start = i  # surge
+        if start >= 0 and window == 0:  # dive
+            out += [x.text for x in found[start:i]]
+            start = -1
+    return out or [x.text for x, w in zip(found, weight) if w]  # a page of few words
 
 
 def main_text(page: str) -> str:

@@ -171,6 +171,29 @@ def test_html_region():
     assert html_text.main_text(page) == "\n".join([long.strip(), "short", long.strip()])
 
 
+WORDS = [f"paragraph {i} of a text that has some more words in it than a menu, a share box or an advert has" for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    "page, lines",
+    [
+        ("{0}{1}<div class=ad><p>buy<p>this<p>now</div>{2}{3}", WORDS),
+        ("{0}{1}<ul><li><a>x</a><li><a>y</a><li><a>z</a></ul>{2}{3}", WORDS),
+        ("<div class='content has-sidebar'>{0}</div><div class=sidebar>s</div>", WORDS[:1]),
+        ("<div id='page-header-fixed'><div class='site-header'>h</div><div class='c-cookie-banner'>c</div>{0}</div><p class='ad-300x250'>a", WORDS[:1]),
+        ("<form id=aspnetForm role=form><nav>menu</nav>{0}{1}</form>", WORDS[:2]),
+        ("<main><form>{0}{1}</form></main>", WORDS[:2]),
+        ("<form>{0}<article>{1}</article></form>", WORDS[1:2]),
+        ("{0}{1}<form>name <input> mail <input></form>", WORDS[:2]),
+        ("<div aria-hidden=false data-hidden style='overflow: hidden'>{0}</div>", WORDS[:1]),
+        ("<div title='hidden' class='display:none' hidden=until-found>{0}</div>", WORDS[:1]),
+        ("{0}<div HIDDEN>{1}</div><div hidden=''>{1}</div><div style='color:red;DISPLAY : none !important'>{1}</div>", WORDS[:1]),
+    ],
+)
+def test_html_loses_no_text(page, lines):
+    assert html_text.main_text(page.format(*(f"<p>{x}</p>" for x in WORDS))) == "\n".join(lines)
+
+
 def test_html_odd(spark):
     schema = "page_id long, url string, html string, text string"
     table = spark.createDataFrame([(1, "u", None, "t"), (None, None, "<p>a</p>", "t"), (1, "u", None, "t")], schema)
