@@ -6,7 +6,8 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dossierflow.llm import ngram_join, packing, quality_rules, texts, toxicity
 from dossierflow.llm.queries import tokenizer_file
@@ -24,11 +25,20 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean_rows(docs, toxicity.fit(docs, texts.table(spark, sf_dir, "labels")))
 
 
+def node() -> Column:
+    """A name for id and text together, which sorts by id, rows without one last."""
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.concat(F.coalesce(number, F.lit("F" * 18)), F.coalesce(F.substring(F.sha2("text", 256), 1, 32), F.lit(""))))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies; rows without an id all stay."""
-    first = ngram_join.joined(docs, "doc_id", GRAM, PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """The document with the smallest id of every group of near copies.  Rows equal in id and text are one document;
+    different texts are different documents, whatever their ids."""
+    others = F.min(F.struct(*(c for c in docs.columns if c != "text"))).alias("others")
+    whole = docs.groupBy(node().alias("node")).agg(others, F.first("text").alias("text"))
+    whole = texts.stored(whole.select("node", "others.*", "text"), "distinct-rows")
+    first = ngram_join.joined(whole, "node", GRAM, PERCENT).where("node = component_id").select("node")
+    return whole.join(first, "node", "left_semi").select(docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

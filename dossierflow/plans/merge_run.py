@@ -49,12 +49,11 @@ def classify_and_merge(
         wanted = documents.todo(staged, previous["classifications"].join(read, "doc_id"), prompt_version)
     wanted = stages.write_folder(wanted, f"{work}/wanted")
     docs = stages.write_folder(documents.docs_all(documents.texts_of(entries, wanted), wanted), f"{work}/docs_all")
-    skipped = manifest.filter(F.col("kind") == "skipped").select(*wanted.columns)
+    skipped = skipped_documents(manifest, entries).select(*wanted.columns)
+    failed = documents.docs_failed(wanted.unionByName(skipped), docs, include_skipped)
+    same = F.min(F.struct(*failed.columns)).alias("row")  # of a file that was delivered twice
     failed = stages.write_folder(
-        documents.docs_failed(wanted.unionByName(skipped), docs, include_skipped)
-        # A skipped entry has no staged name; its lineage stands in as the key, once.
-        .withColumn("staged_name", F.coalesce("staged_name", "lineage")).dropDuplicates(["case_id", "staged_name"]),
-        f"{work}/docs_failed",
+        failed.groupBy("case_id", "staged_name").agg(same).select("row.*"), f"{work}/docs_failed"
     )
     enriched = stages.write_folder(enrich.enrich(docs, rules, **providers), f"{work}/enriched")
 
@@ -74,3 +73,12 @@ def classify_and_merge(
             "events": state.run_events(enriched, failed, F.lit(owner), now),
         },
     )
+
+
+def skipped_documents(manifest: DataFrame, entries: DataFrame) -> DataFrame:
+    """Manifest rows of skipped entries.  They have no staged name; lineage and repeat number stand in as the key."""
+    skipped = manifest.filter(F.col("kind") == "skipped")
+    place = ["case_id", "source_path", "entry_path"]
+    repeated = entries.filter(F.col("repeat") > 0).select(*place, "repeat").distinct()
+    key = F.concat("lineage", F.coalesce(F.concat(F.lit("#"), F.col("repeat").cast("string")), F.lit("")))
+    return skipped.drop("repeat").join(repeated, place, "left").withColumn("staged_name", key)

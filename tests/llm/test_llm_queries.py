@@ -46,3 +46,13 @@ def test_pipeline_without_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_pipeline_keeps_every_text_of_an_id(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    made = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more"), (-4, c), (None, d), (None, d), (None, c), (None, None), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", str(i), 1) for i, (k, t) in enumerate(made)], plain.empty(spark).schema)
+    want = {(1, a, "0"), (1, b, "1"), (-4, c, "5"), (None, d, "6"), (None, None, "9"), (5, None, "10")}
+    for n in (1, 5):
+        got = corpus_pipeline.one_of_each_group(spark, docs.repartition(n), sf).select("doc_id", "text", "source").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -8,6 +8,7 @@ from dossierflow.operators.expand import expand_containers
 from dossierflow.plans.built_files import docx
 from dossierflow.plans.merge_run import classify_and_merge
 from dossierflow.sources import runs
+from samples import zipped
 
 T1, T2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
@@ -113,6 +114,17 @@ def test_skipped_entries_on_request(spark, tmp_path):
     assert rows(store.read("documents"), "status") == [("CLASSIFIED",), ("ERROR",)]
 
 
+def test_skipped_members_of_equal_lineage_stay_apart(spark, tmp_path):
+    store = State(spark, tmp_path)
+    files = [("E1", "a.docx", GOOD), ("E1", "z.zip", zipped([("n.txt", b"x"), ("n.txt", b"y"), ("n.txt", b"x")]))]
+    for run, now in (("r1", T1), ("r2", T2)):
+        store.merge(tmp_path, run, files, include_skipped=True, now=now)
+        keys = ["z.zip > n.txt", "z.zip > n.txt#1", "z.zip > n.txt#2"]
+        assert [r[0] for r in rows(store.read("documents").where("status = 'ERROR'"), "staged_name")] == keys
+        assert rows(store.read("cases"), "docs_total", "docs_error") == [(4, 3)]
+    assert store.read("events").where("type = 'DOC_ERROR'").count() == 6
+
+
 def test_nothing_staged_changes_nothing(spark, tmp_path):
     store = State(spark, tmp_path)
     assert store.merge(tmp_path, "r1", [("E1", "n.txt", b"x")]) is None
