@@ -51,3 +51,15 @@ def test_trained_labels_on_held_out_rows(spark, sf):
     pairs = [(r["classificacio"], r["lang"]) for r in enrich.classify_trained(vectors.where("doc_id % 4 = 0"), model).collect()]
     common = max(sum(truth == one for _, truth in pairs) for one in ("en", "fr", "de", "es"))
     assert sum(a == b for a, b in pairs) > (len(pairs) + common) / 2
+
+
+@pytest.mark.xfail(reason="word counts hardly tell quality: see classified_ml in the README", strict=False)
+def test_trained_quality_on_held_out_rows(spark, sf):
+    """Both classes of the registered target, counted alike: always the same answer would give one half."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text as text_blocks")
+    marks = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "cast(quality as string) as quality")
+    vectors = enrich.word_vectors(docs).join(marks, "doc_id").cache()
+    model = enrich.train_classifier(vectors.where("doc_id % 4 <> 0"), "quality")
+    pairs = [(r["classificacio"], r["quality"]) for r in enrich.classify_trained(vectors.where("doc_id % 4 = 0"), model).collect()]
+    found = [sum(a == b == v for a, b in pairs) / sum(b == v for _, b in pairs) for v in "01"]
+    assert sum(found) / 2 > 0.6
