@@ -110,7 +110,51 @@ left join (select row, string_agg(distinct label, ',' order by label) filter (ba
 left join (select row, max(cover) as score from covers group by row) c using (row)
 """
 
-SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6, "op10_licenses": OP10}
+# A CRC-32 of the decimal key, bit by bit: code points and eight shifts each.
+OP11 = f"""
+with d as (
+  select row_number() over () as row, doc_id, {WORDS} as w from documents
+), hashed as (
+  select *, len(w) as n, xor(4294967295, list_reduce(
+    list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c:
+      [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, e: case when e >= 0 then xor(c, e) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as h
+  from d
+), places as (
+  select *, case when n > 0 then (h // 10) % n end as a from hashed
+), c as (
+  select row, doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) end])
+    else w end as w
+  from places
+), words as (
+  select row, n, i, w[i + 1] as word from (select row, n, w, unnest(range(n)) as i from c where n > 0)
+), same as (
+  select x.row, y.i - x.i as q, x.i as i
+  from words x join words y on x.row = y.row and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+), stretches as (
+  select row, q, min(i) as s, count(*) + q as size
+  from (select *, i - row_number() over (partition by row, q order by i) as island from same)
+  group by row, q, island having count(*) + q >= greatest(6, 4 * q)
+), runs as (
+  select * from stretches x where not exists (
+    from stretches y where y.row = x.row and y.q < x.q and y.s <= x.s and y.s + y.size >= x.s + x.size)
+), dropped as (
+  select distinct row, unnest(range(s + q, s + size)) as i from runs
+), kept as (
+  select row, string_agg(word, ' ' order by i) as text from words anti join dropped using (row, i) group by row
+), best as (
+  select * from runs qualify row_number() over (partition by row order by size::decimal(38, 18) / q desc, s, q) = 1
+), listed as (
+  select row, count(*) as n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' order by s, q) as body from runs group by row
+)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, size::bigint as length, q::bigint as period,
+  ((1000 * size) // q)::bigint as exponent_milli, sha256(coalesce(body, '')) as runs_sha256,
+  sha256(coalesce(kept.text, '')) as collapsed_sha256
+from c left join listed using (row) left join best using (row) left join kept using (row)
+"""
+
+SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6, "op10_licenses": OP10, "op11_periodic_runs": OP11}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierflow.llm import fingerprints, html_text, licenses, ngram_join, packing, quality_model, quality_rules, sentence_pieces, token_counts, toxicity
+from dossierflow.llm import fingerprints, html_text, licenses, ngram_join, packing, periodic_runs, quality_model, quality_rules, sentence_pieces, token_counts, toxicity
 from dossierflow.llm.texts import table
 
 
@@ -57,6 +57,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.found(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
@@ -68,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_licenses": op10_licenses,
+    "op11_periodic_runs": op11_periodic_runs,
 }

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
+from fractions import Fraction
 
+import numpy as np
 import xxhash
 
 # One text per kind of trouble: none, no word, white space of all kinds, marks of the tokenizers, other scripts.
@@ -104,3 +107,40 @@ def measures(text) -> tuple:
         where[tuple(w[i : i + 8])].append(i)
     covered = {i + k for places in where.values() if len(places) > 1 for i in places for k in range(8)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def changed(key, w: list[str]) -> list[str]:
+    """The words with the period that the key plants."""
+    h = zlib.crc32(str(key).encode()) if key is not None else 1
+    if h % 10 or not w:
+        return w
+    a = h // 10 % len(w)
+    p = 1 + (len(w) - a) // (3 + h // 10 % 8)
+    return [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+
+
+def runs(w: list[str]) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs: every period, every maximal stretch, smallest period of each."""
+    n, spans = len(w), {}
+    ids = np.unique(np.array(w, object), return_inverse=True)[1] if w else np.zeros(0, int)
+    for q in range(1, n // 4 + 1):
+        same = np.concatenate([[0], (ids[:-q] == ids[q:]).astype(int), [0]])
+        starts, ends = np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            if e - s + q >= max(6, 4 * q):
+                spans.setdefault((s, e - s + q), q)
+    return sorted((s, m, q) for (s, m), q in spans.items())
+
+
+def periodic(rows):
+    out = []
+    for key, text in rows:
+        w = changed(key, words(text))
+        found = sorted(runs(w), key=lambda r: (r[0], r[2]))
+        top = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        gone = {i for s, m, q in found for i in range(s + q, s + m)}
+        listed = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        head = (top[0], top[1], top[2], 1000 * top[1] // top[2]) if top else (None,) * 4
+        out.append((key, len(found), *head, *(hashlib.sha256(x.encode()).hexdigest() for x in (listed, kept))))
+    return sorted(out, key=str)
