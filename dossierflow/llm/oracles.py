@@ -154,7 +154,57 @@ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, size::
 from c left join listed using (row) left join best using (row) left join kept using (row)
 """
 
-SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6, "op10_licenses": OP10, "op11_periodic_runs": OP11}
+FOLDED = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+
+OP12 = f"""
+with d as (
+  select row_number() over () as row, doc_id, {FOLDED} as w from documents
+), b as (
+  select item_id, w, least(len(w), 10) as size from (select item_id, {FOLDED} as w from benchmark) where len(w) > 0
+), held as (
+  select distinct item_id::varchar as item, size, array_to_string(w[i + 1 : i + size], ' ') as gram
+  from (select *, unnest(range(0, len(w) - size + 1)) as i from b)
+), placed as (
+  select row, size, i, array_to_string(w[i + 1 : i + size], ' ') as gram
+  from (select row, w, size, unnest(range(0, len(w) - size + 1)) as i from d, (select distinct size from b) where len(w) >= size)
+), hits as (
+  select row, i, size, item from placed join held using (size, gram)
+), marked as (
+  select row, count(distinct place) as n from (select row, unnest(range(i, i + size)) as place from hits) group by row
+), named as (
+  select row, count(item) as n, string_agg(item, ',' order by item) as items from (select distinct row, item from hits) group by row
+)
+select doc_id, len(w)::bigint as n_words, coalesce(marked.n, 0)::bigint as n_hit, coalesce(named.n, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, marked.n is not null as contaminated
+from d left join marked using (row) left join named using (row)
+"""
+
+OP13 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), met as (
+  select a.vec_id as anchor_id, a.label = v.label as same, v.vec_id as id,
+    list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * v.e[i]))::bigint as score
+  from v a join v on a.vec_id <> v.vec_id where a.vec_id % 50 = 0
+), positive as (
+  select anchor_id, id, score from met where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.id as positive_id, row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id)::int as rank,
+  n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positive p join met n on n.anchor_id = p.anchor_id and not n.same
+  and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify rank <= 3
+"""
+
+SQL = {"op1_ngram_join": OP1, "op6_quality_rules": OP6, "op10_licenses": OP10, "op11_periodic_runs": OP11, "op12_decontamination": OP12, "op13_hard_negatives": OP13}
 
 
 def oracle_sql() -> dict[str, str]:

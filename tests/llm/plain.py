@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -144,3 +145,39 @@ def periodic(rows):
         head = (top[0], top[1], top[2], 1000 * top[1] // top[2]) if top else (None,) * 4
         out.append((key, len(found), *head, *(hashlib.sha256(x.encode()).hexdigest() for x in (listed, kept))))
     return sorted(out, key=str)
+
+
+def contaminated(docs, items):
+    fold = lambda t: re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    holders = defaultdict(set)
+    for key, text in items:
+        w = fold(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            holders[tuple(w[i : i + 10])].add(key)
+    sizes = {len(x) for x in holders}
+    out = []
+    for key, text in docs:
+        w, hit, names = fold(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                own = holders.get(tuple(w[i : i + n]))
+                if own:
+                    hit.update(range(i, i + n))
+                    names |= own
+        listed = sorted(str(x) for x in names if x is not None)
+        out.append((key, len(w), len(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=str)
+
+
+def hard_negatives(rows, anchor, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95):
+    """Rows (id, vector, label), equal ones once; every pair is scored."""
+    sound = {(k, tuple(math.floor(256 * x) for x in v), g) for k, v, g in rows if None not in (k, v, g) and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for a in sound:
+        if not anchor(a[0]):
+            continue
+        scored = {(-sum(x * y for x, y in zip(a[1], b[1])), b[0], b[2] == a[2]) for b in sound if b != a}
+        for ps, p, _ in sorted(x for x in scored if x[2])[:positives]:
+            fit = sorted((ns, n) for ns, n, same in scored if not same and low * -ps <= 100 * -ns <= high * -ps)
+            out += [(a[0], p, i + 1, n, -ps, -ns) for i, (ns, n) in enumerate(fit[:negatives])]
+    return sorted(out, key=str)
