@@ -1,11 +1,13 @@
 """Benchmark passages in documents by winnowing, in DataFrame operations only.
 
 A window is ``WINDOW`` consecutive words of an item; an item of fewer words is one window of its own length.  For
-windows of ``size`` words, texts are hashed by k-grams and the smallest hash of each window of ``size - k + 1``
-k-grams is its fingerprint, so equal windows have equal fingerprints: every shared span of ``size`` words is met.
-Consecutive windows with one fingerprint are kept as one row, with the words they cover.
+windows of ``size`` words, texts are hashed by k-grams (k a power of two, 4 where the window has as many words) and the
+smallest hash of each window of ``size - k + 1`` k-grams is its fingerprint, so equal windows have equal fingerprints:
+every shared span of ``size`` words is met.  Consecutive windows with one fingerprint are kept as one row, with the
+words they cover.
 
-1. Fingerprints of the items are joined to those of the documents (semi join).
+1. Fingerprints of the items are joined to those of the documents (semi join).  A bit array of the items' (128 KB
+   at most) lets a document's pass first, so that hardly any other becomes a row.
 2. What is left is extended to its windows, and these are compared with the windows of the items word by word.
 3. Windows met mark their words; items of a document are its distinct windows joined to the items that hold them.
 
@@ -19,12 +21,16 @@ gives an empty result, an empty table of items no hits.  An array of one text's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossierflow.functions import bloom
 from dossierflow.llm import texts
 
-WINDOW, GRAM = 10, 5
+WINDOW, GRAM = 10, 4
+BITS_PER_PRINT, MOST_BITS = 64, 1 << 20  # at most 128 KB, which every row of documents carries once
 SEPARATORS = "[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"
 SEPARATORS_OF_ANY_CASE = "[\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,27 +41,61 @@ def words(column: str):
     return F.expr(f"array_remove(split(translate(coalesce({column}, ''), '{CAPITALS}', '{SMALL}'), '{SEPARATORS}'), '')")
 
 
-def fingerprinted(rows: DataFrame, sizes: list[int], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``rows`` with an array ``words``, which gives way to: size, print, first and last window that have it in a
-    row, and their words.  One row for each stretch of windows with one fingerprint."""
-    kept = [c for c in rows.columns if c != "words"]
-    for size in sizes:
-        k = min(gram, size)
-        grams = ", ".join(f"get(words, i + {j})" for j in range(k))
-        width = size - k + 1
-        smallest = ", ".join(f"get(grams_{size}, i + {j})" for j in range(width))
-        rows = (
-            rows.select("*", F.expr(f"if(size(words) < {size}, array(), transform(sequence(0, size(words) - {k}), i -> xxhash64({grams})))").alias(f"grams_{size}"))
-            .select("*", F.expr(f"if(size(grams_{size}) = 0, array(), transform(sequence(0, size(grams_{size}) - {width}), i -> {f'least({smallest})' if width > 1 else smallest}))").alias(f"least_{size}"))
-            .select("*", F.expr(f"filter(sequence(0, greatest(size(least_{size}) - 1, 0)), i -> i < size(least_{size}) and (i = 0 or get(least_{size}, i) <> get(least_{size}, i - 1)))").alias(f"begin_{size}"))
-            .select("*", F.expr(f"transform(begin_{size}, (b, j) -> struct(b as first, coalesce(get(begin_{size}, j + 1), size(least_{size})) - 1 as last, get(least_{size}, b) as print))").alias(f"prints_{size}"))
-        )
-    stretches = [
-        f"transform(prints_{size}, p -> struct({size} as size, p.print as print, p.first as first, p.last as last,"
-        f" array_join(slice(words, p.first + 1, p.last - p.first + {size}), ' ') as words))"
-        for size in sizes
-    ]
-    return rows.select(*kept, F.expr(f"inline(concat({', '.join(stretches)}))"))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A value with a name.  Within one expression arrays stay as they are; as columns each would be written out."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def with_next(values: Column, step: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with the one ``step`` places on."""
+    return F.transform(values, lambda x, i: join(x, F.get(values, i + step)))
+
+
+def hashed(values: Column, k: int, gram: int, then: Callable[[Column, int], Column]) -> Column:
+    """Hashes of ``gram`` words from hashes of ``k``, as many as make a power of two."""
+    if 2 * k > gram:
+        return then(values, k)
+    return let(with_next(values, k, F.xxhash64), lambda grams: hashed(grams, 2 * k, gram, then))
+
+
+def smallest(values: Column, p: int, width: int, then: Callable[[Column], Column]) -> Column:
+    """Minima of ``width`` values from minima of ``p``."""
+    if p >= width:
+        return then(values)
+    step = min(p, width - p)
+    return let(with_next(values, step, F.least), lambda found: smallest(found, p + step, width, then))
+
+
+def stretches(words: Column, size: int, gram: int, bits: int) -> Column:
+    """Stretches of windows with one fingerprint: size, print, first and last window, and their words."""
+    told = lambda p: F.struct(
+        F.lit(size).alias("size"), p["print"].alias("print"), p["first"].alias("first"), p["last"].alias("last"),
+        F.array_join(F.slice(words, p["first"] + 1, p["last"] - p["first"] + size), " ").alias("words"),
+    )
+
+    def listed(prints: Column) -> Column:
+        begin = F.array_compact(F.transform(prints, lambda x, i: F.when((i == 0) | (F.get(prints, i - 1) != x), i)))
+        end = lambda begins, j: F.coalesce(F.get(begins, j + 1), F.size(prints)) - 1
+        found = let(begin, lambda begins: F.transform(
+            begins, lambda b, j: F.struct(F.get(prints, b).alias("print"), b.alias("first"), end(begins, j).alias("last"))
+        ))
+        if bits:
+            found = F.filter(found, lambda p: bloom.may_hold(F.col("bits"), [F.lit(size), p["print"]], bits, 1))
+        return F.transform(found, told)
+
+    # What stands at the end, where words are missing, is cut off.
+    whole = lambda found: let(F.slice(found, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0))), listed)
+    one = F.transform(words, lambda w: F.xxhash64(w)) if min(gram, size) == 1 else words
+    return hashed(one, 1, min(gram, size), lambda grams, k: smallest(grams, 1, size - k + 1, whole))
+
+
+def fingerprinted(rows: DataFrame, sizes: list[int], gram: int = GRAM, bits: int = 0) -> DataFrame:
+    """``rows`` with their ``text``, which gives way to: size, print, first and last window that have it in a row, and
+    their words.  One row for each stretch of windows with one fingerprint; with ``bits``, of those that the Bloom
+    filter in the column of that name may hold.  Hashes of k words and minima over a window come from pairs of pairs,
+    so each takes a few passes."""
+    every = let(words("text"), lambda w: F.concat(*(stretches(w, size, gram, bits) for size in sizes)))
+    return rows.select(*(c for c in rows.columns if c not in ("text", "bits")), F.inline(every))
 
 
 def windows_of(stretches: DataFrame) -> DataFrame:
@@ -68,19 +108,22 @@ def windows_of(stretches: DataFrame) -> DataFrame:
 
 def item_windows(items: DataFrame, key: str, window: int, gram: int) -> tuple[DataFrame, list[int]]:
     """(size, print, window, item) of all items, and the sizes that occur (at most ``window``)."""
-    cut = items.select(F.col(key).cast("string").alias("item"), words("text").alias("words"))
-    cut = cut.where(F.size("words") > 0).select("item", "words", F.least(F.size("words"), F.lit(window)).alias("own"))
+    cut = items.select(F.col(key).cast("string").alias("item"), "text", F.least(F.size(words("text")), F.lit(window)).alias("own"))
+    cut = cut.where("own > 0")
     sizes = sorted(r[0] for r in cut.select("own").distinct().collect())
     if not sizes:
         return items.sparkSession.createDataFrame([], "size int, print long, window string, item string"), sizes
-    found = windows_of(fingerprinted(cut, sizes, window, gram).where("size = own"))
+    found = windows_of(fingerprinted(cut, sizes, gram).where("size = own"))
     return texts.stored(found.select("size", "print", "window", "item").distinct(), "benchmark-windows"), sizes
 
 
-def hit_windows(docs: DataFrame, held: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
+def hit_windows(docs: DataFrame, held: DataFrame, sizes: list[int], gram: int) -> DataFrame:
     """(key, mark, size, place, window) of all windows of documents that an item holds."""
-    stretches = fingerprinted(docs.select("key", "mark", words("text").alias("words")), sizes, window, gram)
-    met = stretches.join(held.select("size", "print").distinct(), ["size", "print"], "left_semi")
+    prints = held.select("size", "print").distinct()
+    bits = bloom.size_for(prints.count(), BITS_PER_PRINT, MOST_BITS)
+    known = bloom.bits_of(prints, ["size", "print"], bits, 1)
+    found = fingerprinted(docs.select("key", "mark", "text", known.alias("bits")), sizes, gram, bits)
+    met = found.join(prints, ["size", "print"], "left_semi")
     cut = windows_of(met).select("key", "mark", "size", "place", "window").distinct()
     return texts.stored(cut.join(held.select("size", "window").distinct(), ["size", "window"], "left_semi"), "benchmark-hits")
 
@@ -94,7 +137,7 @@ def scanned(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
     nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     if not sizes:
         return rows.select(F.col("key").alias(key), "n_words", *(v.alias(c) for c, v in nothing.items()), F.lit(False).alias("contaminated"))
-    hits = hit_windows(named, held, sizes, window, gram)
+    hits = hit_windows(named, held, sizes, gram)
     # Words under sorted windows: each adds what lies beyond those before it.
     covered = F.expr(
         "aggregate(array_sort(collect_set(struct(place, size))), struct(0 as done, 0L as n), (a, x) -> struct("
