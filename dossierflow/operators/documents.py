@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from dossierflow.functions import bloom
 from dossierflow.operators.normalize import KEPT_KINDS, describe, narrow
 from dossierflow.operators.parse import parse_document, text_blocks
 
@@ -30,18 +31,30 @@ def staged_entries(entries: DataFrame) -> DataFrame:
 
 def texts_of(entries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Text of every staged entry (case_id, staged_name, text_blocks), parsed or as read; of the `wanted` keys
-    only, which are picked before anything is parsed.
+    only, which are picked where entries are read, before anything is parsed.
 
-    One scan serves both kinds, and bytes become text where they are read, so what a later
-    join moves is text and never a payload.
+    One scan serves both kinds, and bytes become text where they are read, so what later joins move is text and
+    never a payload.  The wanted keys, and which delivery of a file is the last, are found from narrow columns; a
+    Bloom filter of them decides in the scan, and the few rows too many that it lets pass go with the exact join on
+    the texts.  The caller writes the texts before it filters them: a filter on the text would be pushed below that
+    join and take the parser along.
     """
     binary = F.col("raw_kind") == "binary"
-    staged = staged_entries(entries)
+    staged = describe(entries).filter(F.col("raw_kind").isin(*KEPT_KINDS)).withColumnRenamed("candidate", "staged_name")
+    delivered = "batch_id" in entries.columns
+    key = [*DOCUMENT_KEY, "batch_id"] if delivered else DOCUMENT_KEY
+    keys = wanted.select(*DOCUMENT_KEY) if wanted is not None else None
+    if delivered:
+        names = describe(narrow(entries)).filter(F.col("raw_kind").isin(*KEPT_KINDS))
+        last = names.groupBy("case_id", F.col("candidate").alias("staged_name")).agg(F.max("batch_id").alias("batch_id"))
+        keys = last if keys is None else last.join(keys, DOCUMENT_KEY, "left_semi")
     if wanted is not None:
-        staged = staged.join(wanted.select(*DOCUMENT_KEY), DOCUMENT_KEY, "left_semi")
+        size = bloom.size_for(wanted.count())
+        staged = staged.filter(bloom.may_hold(bloom.bits_of(keys, key, size), [F.col(c) for c in key], size))
     parsed = staged.withColumn("parsed", parse_document(F.when(binary, F.col("data")), F.col("suffix")))
     blocks = F.when(binary, text_blocks(F.col("parsed"))).otherwise(F.col("text"))
-    return parsed.select(*DOCUMENT_KEY, blocks.alias("text_blocks"))
+    texts = parsed.select(*key, blocks.alias("text_blocks"))
+    return texts if keys is None else texts.join(keys, key, "left_semi").select(*DOCUMENT_KEY, "text_blocks")
 
 
 def kept(manifest: DataFrame) -> DataFrame:

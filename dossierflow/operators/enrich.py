@@ -127,48 +127,64 @@ def taxonomy_keywords(taxonomy: DataFrame, least_word: int = 4) -> DataFrame:
     return found.join(telling.select("keyword"), "keyword").select("label", "keyword", "sort_order")
 
 
-def token_text(text: Column) -> Column:
-    """Lower-case words, each between its own two blanks, so equal neighbours count apart."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-
+def plain_words(text: Column) -> Column:
+    """Lower-case words of a text, whatever stands between them."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+class Keywords:
+    """Keyword rules as a hash map: first word to (further words, label numbers).  A word is looked up once, at a cost
+    that does not depend on the number of keywords; of keywords with several words only those that begin with it are
+    compared."""
+
+    word = re.compile(r"[^\W_]+")
+
+    def __init__(self, rules: list[tuple[str, str, int | None]]):
+        order = lambda r: (r[1] is None, r[1] or 0, r[0] or "")
+        self.labels = sorted({(label, place) for label, _, place in rules}, key=order)
+        number = {label: n for n, label in enumerate(self.labels)}
+        self.by_first: dict[str, dict[tuple[str, ...], set[int]]] = {}
+        for label, keyword, place in rules:
+            first, *rest = self.word.findall((keyword or "").lower()) or [None]
+            if first:
+                self.by_first.setdefault(first, {}).setdefault(tuple(rest), set()).add(number[label, place])
+
+    def verdict(self, text: str | None) -> tuple[str | None, int, float | None]:
+        """Label with most hits (ties: lower order), its hits, and their share of all."""
+        words = self.word.findall(text or "")
+        hits: Counter = Counter()
+        for at, word in enumerate(words):
+            for rest, numbers in self.by_first.get(word, {}).items():
+                if not rest or tuple(words[at + 1 : at + 1 + len(rest)]) == rest:
+                    hits.update(numbers)
+        if not hits:
+            return None, 0, None
+        best = min(hits, key=lambda n: (-hits[n], n))
+        return self.labels[best][0], hits[best], hits[best] / hits.total()
+
+
+# A taxonomy is kept by hand; more keywords than this are refused rather than shipped to every task.
+MOST_KEYWORDS = 1 << 20
+
+
+def classify(docs: DataFrame, rules: DataFrame, text_col: str = "text_blocks", most: int = MOST_KEYWORDS) -> DataFrame:
+    """Add `classificacio`, `score` and `confidence`; the label with most keyword hits wins, ties go to the lower
+    sort order, no hit at all gives NULL.  A keyword of several words counts where they follow one another.
+
+    The rules become one hash map, which tasks receive once: one pass over each text, and no exchange.  The function
+    is not deterministic for Spark, so a later filter on the label stays above it instead of repeating the counting.
+    """
+    found = [tuple(r) for r in rules.select("label", "keyword", "sort_order").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} keywords")
+    keywords = docs.sparkSession.sparkContext.broadcast(Keywords(found))
 
-def classify(docs: DataFrame, rules: DataFrame, text_col: str = "text_blocks") -> DataFrame:
-    """Add `classificacio`, `score` and `confidence`; the label with most keyword hits wins,
-    ties go to the lower sort order, no hit at all gives NULL.
+    @F.pandas_udf("classificacio string, score bigint, confidence double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([keywords.value.verdict(t) for t in texts], columns=["classificacio", "score", "confidence"])
 
-    The rules come in as two scalars, all keywords and the keywords of each label.  A text is cut into words
-    once, words that are no keyword go at once, and the rest is counted by label: one pass over the text and no
-    exchange for any number of rules.  The verdict comes out of a generator, so a later filter on the label
-    stays above it instead of repeating the counting.
-    """
-    rules = rules.select("label", F.lower("keyword").alias("keyword"), "sort_order").distinct()
-    keywords = rules.agg(F.collect_set("keyword").alias("keywords")).scalar()
-    by_label = rules.groupBy("label", "sort_order").agg(F.collect_set("keyword").alias("keywords"))
-    labels = by_label.agg(F.collect_list(F.struct("label", "sort_order", "keywords")).alias("labels")).scalar()
-
-    def verdict(hits: Column) -> Column:
-        scores = F.transform(
-            F.col("_labels"),
-            lambda one: F.struct(
-                F.size(F.filter(hits, lambda w: F.array_contains(one["keywords"], w))).cast("bigint").alias("score"),
-                (-one["sort_order"]).alias("preference"),
-                one["label"].alias("label"),
-            ),
-        )
-        total = lambda found: F.aggregate(found, F.lit(0).cast("bigint"), lambda a, s: a + s["score"])
-        return F.inline_outer(F.transform(F.array(scores), lambda found: F.struct(F.array_max(found).alias("winner"), total(found).alias("total"))))
-
-    found = F.filter(F.split(token_text(F.col(text_col)), " +"), lambda w: F.array_contains(F.col("_keywords"), w))
-    known = docs.select("*", keywords.alias("_keywords"), labels.alias("_labels"))
-    hits = known.select("*", F.inline_outer(F.array(F.struct(found.alias("_hits")))))
-    hit = F.col("winner.score") > 0
-    return hits.select("*", verdict(F.col("_hits"))).withColumns(
-        {
-            "classificacio": F.when(hit, F.col("winner.label")),
-            "score": F.coalesce(F.col("winner.score"), F.lit(0).cast("bigint")),
-            "confidence": F.when(hit, F.col("winner.score") / F.col("total")),
-        }
-    ).drop("winner", "total", "_hits", "_keywords", "_labels")
+    judged = docs.withColumn("_verdict", judge.asNondeterministic()(F.lower(F.col(text_col))))
+    return judged.select("*", "_verdict.*").drop("_verdict")
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text_blocks", features: int = 1 << 16) -> DataFrame:
@@ -176,7 +192,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text_blocks", features: int =
     are joined, cached or shuffled."""
     from pyspark.ml.feature import HashingTF
 
-    tokens = docs.withColumn("_words", F.split(F.trim(token_text(F.col(text_col))), " +")).drop(text_col)
+    tokens = docs.withColumn("_words", plain_words(F.col(text_col))).drop(text_col)
     return HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features).transform(tokens).drop("_words")
 
 
@@ -213,6 +229,78 @@ def classify_trained(vectors: DataFrame, model) -> DataFrame:
     )
 
 
+# What a text looks like, whatever it says.
+SHAPES = (
+    "log_words", "word_length", "longest_word", "distinct_words", "distinct_pairs", "letters", "upper", "digits", "marks", "symbols",
+    "log_lines", "line_length", "distinct_lines", "sentence_words", "vowels", "short_words",
+)
+
+
+def text_shapes(docs: DataFrame, text_col: str = "text_blocks") -> DataFrame:
+    """Replace the text by its shape, `SHAPES` as an array of numbers: shares, mean lengths and how much is repeated.
+    A projection of built-in functions."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rest = [c for c in docs.columns if c != text_col]
+    cut = docs.select(*rest, text.alias("_text"), F.array_remove(F.split(text, r"\s+"), "").alias("_words"), F.array_remove(F.split(text, "\n"), "").alias("_lines"))
+    chars, words, lines = (F.greatest(x, F.lit(1)).cast("double") for x in (F.length("_text"), F.size("_words"), F.size("_lines")))
+    share = lambda pattern: F.length(F.regexp_replace("_text", f"[^{pattern}]", "")) / chars
+    lengths = F.transform("_words", lambda w: F.length(w))
+    pairs = F.transform("_words", lambda w, i: F.concat_ws(" ", w, F.get(F.col("_words"), i + 1)))
+    shapes = {
+        "log_words": F.log1p(F.size("_words")),
+        "word_length": F.length(F.array_join("_words", "")) / words,
+        "longest_word": F.log1p(F.coalesce(F.array_max(lengths), F.lit(0))),
+        "distinct_words": F.size(F.array_distinct("_words")) / words,
+        "distinct_pairs": F.size(F.array_distinct(pairs)) / words,
+        "letters": share(r"\p{L}"),
+        "upper": share(r"\p{Lu}"),
+        "digits": share("0-9"),
+        "marks": share(".,;:!?"),
+        "symbols": share("#*$%&|<>{}@_=+~^"),
+        "log_lines": F.log1p(F.size("_lines")),
+        "line_length": F.log1p(chars / lines),
+        "distinct_lines": F.size(F.array_distinct("_lines")) / lines,
+        "sentence_words": F.log1p(words / (F.length(F.regexp_replace("_text", "[^.!?]", "")) + 1)),
+        "vowels": share("aeiouAEIOUáéíóúàèòïüöä"),
+        "short_words": F.size(F.filter("_words", lambda w: F.length(w) <= 3)) / words,
+    }
+    return cut.select(*rest, F.array(*(shapes[n].cast("double") for n in SHAPES)).alias("_shapes"))
+
+
+def train_shapes(shapes: DataFrame, label_col: str, trees: int = 80, depth: int = 8, seed: int = 7):
+    """A forest on text shapes.  Each class weighs the same in all, however few rows it has."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    known = shapes.filter(F.col(label_col).isNotNull())
+    sizes = known.groupBy(label_col).agg(F.count(F.lit(1)).alias("_rows"))
+    weighted = known.join(sizes, label_col).select(
+        label_col, array_to_vector("_shapes").alias("_features"), (F.lit(1.0) / F.col("_rows")).alias("_weight")
+    )
+    total = sizes.agg(F.sum("_rows") / F.count(F.lit(1))).first()[0]
+    weighted = weighted.withColumn("_weight", F.col("_weight") * total)
+    indexer = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc").fit(weighted)
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_prediction", probabilityCol="_probability",
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed,
+    )
+    return indexer.labels, forest.fit(indexer.transform(weighted))
+
+
+def classify_shapes(docs: DataFrame, rules: DataFrame | None = None, text_col: str = "text_blocks", model=None) -> DataFrame:
+    """Add `classificacio` and `confidence` from a forest (`train_shapes`); scoring is one projection."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    names, forest = model
+    shapes = docs if "_shapes" in docs.columns else text_shapes(docs.withColumn("_kept", F.col(text_col)), text_col).withColumnRenamed("_kept", text_col)
+    scored = forest.transform(shapes.withColumn("_features", array_to_vector("_shapes")))
+    labels = F.array(*[F.lit(x) for x in names])
+    return scored.withColumns(
+        {"classificacio": F.get(labels, F.col("_prediction").cast("int")), "confidence": F.array_max(vector_to_array("_probability"))}
+    ).drop("_shapes", "_features", "_prediction", "_probability", "rawPrediction")
+
+
 # --- fields ------------------------------------------------------------------------------
 
 
@@ -239,7 +327,7 @@ def flatten_fields(docs: DataFrame) -> DataFrame:
 Provider = Callable[..., DataFrame]
 PROVIDERS: dict[str, dict[str, Provider]] = {
     "summary": {"frequency": summarize, "lead": summarize_lead},
-    "label": {"keywords": classify},
+    "label": {"keywords": classify, "trained": classify_shapes},
     "fields": {"patterns": extract_fields},
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierflow.functions import rules
+from dossierflow.operators import heavy, search as search_index
 
 LIST_LIMIT = 500
 # Case states in display order.
@@ -40,7 +41,8 @@ def list_cases(cases: DataFrame, status: str | None = None, owner: str | None =
     return cases.orderBy(F.desc("updated_at"), "case_id").limit(limit)
 
 
-def facet_cases(cases: DataFrame, statuses: Sequence[str] = (), date: str = "all", errors_only: bool = False, search: str = "", now: Column | None = None) -> DataFrame:
+def facet_cases(cases: DataFrame, statuses: Sequence[str] = (), date: str = "all", errors_only: bool = False, search: str = "", now: Column | None = None, index: str | None = None) -> DataFrame:
+    """Cases that pass all facets.  With `index` (`search.write_index`) a search looks at candidates only."""
     if statuses:
         cases = cases.filter(F.col("status").isin(*statuses))
     if date in DATE_RANGES:
@@ -50,6 +52,8 @@ def facet_cases(cases: DataFrame, statuses: Sequence[str] = (), date: str = "all
         cases = cases.filter(F.col("docs_error") > 0)
     text = search.strip().lower()
     if text:
+        some = search_index.candidates(cases.sparkSession, index, text) if index else None
+        cases = cases.join(some, "case_id", "left_semi") if some is not None else cases
         title = F.col("title") if "title" in cases.columns else F.lit(None).cast("string")
         cases = cases.filter(
             F.lower("case_id").contains(text) | F.lower(F.coalesce(title, F.lit(""))).contains(text)
@@ -127,7 +131,13 @@ def stats_totals(cases: DataFrame, documents: DataFrame, scope: DataFrame | None
     return counted.agg(total("c").alias("expedients"), total("d").alias("documents"), total("e").alias("errors"))
 
 
-def stats_by_category(classifications: DataFrame) -> DataFrame:
+def stats_by_category(classifications: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Classified documents per label.  With `scope`, rows with a unique case_id, only those of its cases; labels are
+    counted per case before cases are looked up."""
+    if scope is not None:
+        per_case = classifications.filter(F.col("classificacio").isNotNull()).groupBy("case_id", F.col("classificacio").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        seen = per_case.join(scope.select("case_id"), "case_id", "left_semi")
+        return seen.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label")
     return (
         classifications.filter(F.col("classificacio").isNotNull())
         .groupBy(F.col("classificacio").alias("label"))
@@ -237,7 +247,7 @@ def locate_files(documents: DataFrame, staged: DataFrame, cases: DataFrame | Non
     kind, else binary before text; the first that exists.  With `cases`, only documents whose
     case is in it."""
     if cases is not None:
-        documents = documents.join(cases.select("case_id"), "case_id", "left_semi")
+        documents = heavy.join(documents, cases.select("case_id").distinct(), "case_id", "left_semi")
     rank = F.when(F.col("kind") == "binary", 0).otherwise(1)
     files = staged.filter(F.col("kind").isin("binary", "text")).select(
         "case_id", "staged_name", "kind", "path", rank.alias("rank")

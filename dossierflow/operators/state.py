@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierflow.functions import rules
+from dossierflow.operators import heavy
 from dossierflow.operators.enrich import stamp
 from dossierflow.schemas import (
     CASES,
@@ -277,13 +278,14 @@ def create_cases(cases: DataFrame, requests: DataFrame, now: Column):
 def register_uploads(cases: DataFrame, files: DataFrame, now: Column):
     """(cases, events, files with an outcome) for rows (case_id, filename, bytes, owner).
 
-    A case has to exist and be open.  The status is looked up by joining files to cases; the
-    case side is unique, so only the file side can be skewed, and the cases to change are
-    made distinct with partial combine."""
+    A case has to exist and be open.  Equal rows are counted and numbered from their count, which combines partially;
+    no window holds them.  The status is looked up by a join that deals the files of a heavy case to many tasks, and
+    the cases to change are made distinct with partial combine."""
     status = cases.select("case_id", F.col("status").alias("case_status"))
-    alike = Window.partitionBy(*files.columns).orderBy(F.lit(0))
-    named = files.withColumn("nth", F.row_number().over(alike)).withColumn("filename", rules.safe_file_name(F.col("filename")))
-    judged = named.join(status, "case_id", "left").withColumn(
+    equal = files.groupBy(*files.columns).agg(F.count(F.lit(1)).alias("equal"))
+    numbered = equal.select(*files.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "equal")).alias("nth"))
+    named = numbered.withColumn("filename", rules.safe_file_name(F.col("filename")))
+    judged = heavy.join(named, status, "case_id").withColumn(
         "outcome",
         F.when(~rules.valid_case_id(F.col("case_id")), "invalid")
         .when(F.col("filename").isNull(), "no-name")
@@ -304,11 +306,9 @@ def register_uploads(cases: DataFrame, files: DataFrame, now: Column):
 
 
 def delete_cases(ids: DataFrame, cases: DataFrame, documents: DataFrame, classifications: DataFrame):
-    """The three tables without the given cases; history and events stay.
-
-    The ids are joined as they are: without an aggregate on their side AQE can split a hot case."""
-    gone = ids.select("case_id")
-    return tuple(t.join(gone, "case_id", "left_anti") for t in (cases, documents, classifications))
+    """The three tables without the given cases; history and events stay.  Rows of a heavy case are dealt."""
+    gone = ids.select("case_id").distinct()
+    return tuple(heavy.join(t, gone, "case_id", "left_anti") for t in (cases, documents, classifications))
 
 
 # --- constraints -------------------------------------------------------------------------

@@ -15,13 +15,13 @@ from dossierflow.session import spread
 SUFFIXES = {1: ".docx", 2: ".xlsx", 3: ".eml", 4: ".csv", 5: ".png", 6: ".pptx"}
 PROMPT_VERSION = "v2.0"
 
-# Language keywords as a taxonomy whose outcome can be checked against documents.lang.
-KEYWORDS = {
-    ("English", 1): ("the", "and", "of"),
-    ("French", 2): ("le", "la", "les"),
-    ("German", 3): ("der", "die", "und"),
-    ("Spanish", 4): ("el", "los", "que"),
-}
+# Languages as labels whose outcome can be checked against documents.lang: code, label, keywords, order.
+LANGUAGES = (
+    ("en", "English", "the and of", 1),
+    ("fr", "French", "le la les", 2),
+    ("de", "German", "der die und", 3),
+    ("es", "Spanish", "el los que", 4),
+)
 
 # Field patterns for these texts, in the subset Java and RE2 share.  Runs before a mark are
 # bounded, so that a long run without the mark stays linear.
@@ -102,18 +102,27 @@ def outcome(spark: SparkSession, sf: str, include_skipped: bool = False) -> tupl
     return items, docs, docs_ops.docs_failed(items, docs, include_skipped)
 
 
-def keyword_rules(spark: SparkSession) -> DataFrame:
-    rows = [(label, k, order) for (label, order), keywords in KEYWORDS.items() for k in keywords]
-    return spark.createDataFrame(rows, "label string, keyword string, sort_order int")
+def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    """The taxonomy table: every source is a label that is switched off, with keywords of all languages; the seed
+    brings the languages that documents have."""
+    docs = table(spark, sf, "documents")
+    sources = docs.select(F.col("source").alias("label"), F.lit("the le der el").alias("description"), F.lit(0).alias("sort_order"), F.lit(False).alias("active"))
+    listed = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(row, ("lang", "label", "description", "sort_order")))) for row in LANGUAGES))
+    seed = docs.select("lang").distinct().join(spark.range(1).select(F.inline(listed)), "lang").drop("lang")
+    return state.seed_taxonomy(sources.distinct(), seed)
+
+
+def keyword_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return enrich.taxonomy_keywords(taxonomy(spark, sf), least_word=2)
 
 
 def classified(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
-    return enrich.classify(docs_all(spark, sf) if docs is None else docs, keyword_rules(spark))
+    return enrich.classify(docs_all(spark, sf) if docs is None else docs, keyword_rules(spark, sf))
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.enrich(
-        docs_all(spark, sf), keyword_rules(spark), fields_cfg={"rules": FIELD_RULES}
+        docs_all(spark, sf), keyword_rules(spark, sf), fields_cfg={"rules": FIELD_RULES}
     )
 
 

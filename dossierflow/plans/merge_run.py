@@ -48,7 +48,10 @@ def classify_and_merge(
         read = previous["documents"].filter("status = 'CLASSIFIED'").select("doc_id", "staged_name", "content_hash")
         wanted = documents.todo(staged, previous["classifications"].join(read, "doc_id"), prompt_version)
     wanted = stages.write_folder(wanted, f"{work}/wanted")
-    docs = stages.write_folder(documents.docs_all(documents.texts_of(entries, wanted), wanted), f"{work}/docs_all")
+    # Texts are written before anything filters them, so each wanted entry is parsed once and no other one is.
+    texts = documents.texts_of(entries, wanted if mode == "incremental" else None)
+    texts = stages.write_folder(texts, f"{work}/texts")
+    docs = stages.write_folder(documents.docs_all(texts, wanted), f"{work}/docs_all")
     skipped = skipped_documents(manifest, entries).select(*wanted.columns)
     failed = documents.docs_failed(wanted.unionByName(skipped), docs, include_skipped)
     same = F.min(F.struct(*failed.columns)).alias("row")  # of a file that was delivered twice

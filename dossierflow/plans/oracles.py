@@ -35,9 +35,10 @@ VIEWS = {
         from b_manifest m left join b_docs_all d on m.case_id = d.case_id and m.staged_name = d.staged_name
         where m.kind in ('binary', 'text') and d.staged_name is null""",
     "b_taxonomy": r"""
-        select * from (values ('English','the',1),('English','and',1),('English','of',1),('French','le',2),('French','la',2),
-          ('French','les',2),('German','der',3),('German','die',3),('German','und',3),('Spanish','el',4),('Spanish','los',4),
-          ('Spanish','que',4)) t(label, keyword, sort_order)""",
+        select label, unnest(string_split(concat(lower(label), ' ', words), ' ')) as keyword, sort_order
+        from (values ('en', 'English', 'the and of', 1), ('fr', 'French', 'le la les', 2), ('de', 'German', 'der die und', 3),
+          ('es', 'Spanish', 'el los que', 4)) t(lang, label, words, sort_order)
+        where lang in (select lang from documents)""",
     "b_scores": r"""
         select d.case_id, d.staged_name, k.label, k.sort_order,
           cast(sum((length(d.t) - length(replace(d.t, concat(' ', k.keyword, ' '), ''))) // (length(k.keyword) + 2)) as bigint) as score
@@ -201,26 +202,41 @@ from (select *, row_number() over w as rn, first_value(candidate) over w as firs
       case p when 3 then md5(body) when 4 then md5(sheet) end as text_md5
     from (select *, concat('Asunto: ', lang, chr(10), 'De: sender@example.com', chr(10), 'Fecha: ', chr(10), chr(10),
               text, case when text like concat('%', chr(10)) then '' else chr(10) end) as body,
-            array_to_string(list_concat([concat('### Hoja: ', lang)],
+            array_to_string(list_concat([concat('### Hoja: ', lang), concat(cast(length(text) as varchar), ' | ',
+                strftime(timestamp '1899-12-30 00:00:00' + to_days(cast(45292 + length(text) % 1000 as integer)), '%Y-%m-%d %H:%M:%S'), ' | True')],
               list_filter(string_split(text, chr(10)), lambda x: x <> '')), chr(10)) as sheet
           from documents) d cross join (values (0), (1), (2), (3), (4)) parts(p)) leaf) named
   window w as (partition by case_id, reason is not null, same order by source_path, pos)) x"""
 
 _STREAMED = r"""
 select case_id, lineage, original_filename, suffix, content_hash,
-  case when reason is not null then 'skipped' when rn > 1 then 'duplicate' else 'binary' end as kind,
+  case when reason is not null then 'skipped' when rn > 1 then 'duplicate' else raw_kind end as kind,
   case when reason is null and rn = 1 then candidate end as staged_name,
   case when reason is null and rn > 1 then first_candidate end as duplicate_of, reason,
-  concat('/archive/', case_id, '/', lineage) as archive_path
+  concat('/archive/', case_id, '/', source_path) as archive_path, batch_id
 from (select *, row_number() over w as rn, first_value(candidate) over w as first_candidate from (
-  select source as case_id, concat(lang, '/d', cast(doc_id as varchar), suffix) as lineage,
-    concat('d', cast(doc_id as varchar), suffix) as original_filename, suffix,
-    case when suffix in ('.zip', '.csv') then null else substr(sha1(text), 1, 12) end as content_hash,
-    case suffix when '.zip' then 'bad-zip' when '.csv' then 'unsupported-ext:.csv' end as reason,
-    concat('doc_', substr(sha1(concat(lang, '/d', cast(doc_id as varchar), suffix)), 1, 16), suffix) as candidate
-  from (select *, case doc_id % 8 when 1 then '.docx' when 2 then '.zip' when 3 then '.jpg' when 4 then '.csv' else '.pdf' end as suffix
-        from documents) t) y
-  window w as (partition by case_id, reason is not null, content_hash order by lineage)) x"""
+  select *, concat('doc_', substr(sha1(lineage), 1, 16), suffix) as candidate from (
+    select concat('case', cast(n % 7 as varchar)) as case_id, source_path, doc_id, inner_at,
+      cast(n // archives as bigint) as batch_id,
+      concat(source_path, ' > ', member, case inner_at when 1 then ' > copy.pdf' when 2 then ' > notes.txt'
+        when 3 then ' (cuerpo)' else '' end) as lineage,
+      case inner_at when 1 then 'copy.pdf' when 2 then 'notes.txt' else concat('d', cast(doc_id as varchar), own,
+        case inner_at when 3 then ' (cuerpo)' else '' end) end as original_filename,
+      case inner_at when 1 then '.pdf' when 2 then '.txt' when 3 then '.txt' else own end as suffix,
+      case when inner_at = 3 then 'text' else 'binary' end as raw_kind,
+      case when own = '.csv' then 'unsupported-ext:.csv' when inner_at = 2 then 'unsupported-ext:.txt'
+        when doc_id % 8 = 7 then 'bad-zip' end as reason,
+      case when own = '.csv' or inner_at = 2 or doc_id % 8 = 7 then null
+        else substr(sha1(case when inner_at = 3 then body else text end), 1, 12) end as content_hash
+    from (select *, concat('a', lpad(cast(n as varchar), 5, '0'), '.zip') as source_path,
+            concat(lang, '/d', cast(doc_id as varchar), own) as member,
+            concat('Asunto: ', lang, chr(10), 'De: sender@example.com', chr(10), 'Fecha: ', chr(10), chr(10),
+              text, case when text like concat('%', chr(10)) then '' else chr(10) end) as body,
+            unnest(case own when '.zip' then case doc_id % 8 when 2 then [1, 2] else [0] end when '.eml' then [3] else [0] end) as inner_at
+          from (select *, doc_id % (archives * 5) as n, case doc_id % 8 when 1 then '.docx' when 2 then '.zip' when 3 then '.jpg'
+                  when 4 then '.csv' when 5 then '.eml' when 7 then '.zip' else '.pdf' end as own
+                from documents, (select greatest(1, count(*) // 250) as archives from documents) a) d) m) leaf) named
+  window w as (partition by case_id, reason is not null, content_hash order by batch_id, source_path, doc_id, inner_at)) x"""
 
 _MANIFEST = "case_id, lineage, original_filename, suffix, content_hash, kind, staged_name, duplicate_of, reason"
 
@@ -265,7 +281,8 @@ SQL = {
         from b_named where raw_kind = 'binary'""",
     "parse_office": """
         select doc_id, source as case_id, case doc_id % 3 when 0 then '.docx' when 1 then '.pptx' else '.pdf' end as suffix,
-          text as text_blocks, cast(null as varchar) as parse_error from documents""",
+          case when doc_id % 3 <> 2 and doc_id % 7 = 0 then '' else text end as text_blocks,
+          case when doc_id % 3 <> 2 and doc_id % 7 = 0 then 'unreadable:BadZipFile' end as parse_error from documents""",
     "parse_variant": "select doc_id, text as text_blocks, cast(null as varchar) as error_status from documents",
     "page_titles": "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages",
     "docs_all": "select case_id, lineage, original_filename, staged_name, content_hash, text_blocks from b_docs_all",
@@ -429,14 +446,22 @@ SQL = {
         join (select case_id, max(event_id) as run_id from b_events group by case_id) l on c.case_id = l.case_id
         join b_events r on r.event_id = l.run_id
         cross join (values ('autoloader_ingest'), ('classify_merge')) t(task_key)""",
+    "stats_by_category_scoped": """
+        select classificacio as label, cast(count(*) as bigint) as n from b_classified
+        where classificacio is not null and case_id = 'src1' group by classificacio""",
     "case_progress": """
-        select case_id, status, docs_total, docs_error,
-          concat('draft=', case when status = 'DRAFT' then 'current' else 'done' end,
-            ',processing=', case status when 'DRAFT' then 'pending' when 'PROCESSING' then 'running' else 'done' end,
-            ',result=', case when status = 'NEEDS_REVIEW' then 'error' when status in ('READY', 'CLOSED') then 'done' else 'pending' end) as lifecycle,
-          concat('ingest=', case status when 'DRAFT' then 'pending' when 'PROCESSING' then 'running' else 'done' end,
-            ',classify=', case when status in ('DRAFT', 'PROCESSING') then 'pending' else 'done' end) as tasks
-        from b_cases""",
+        select c.case_id, c.status, docs_total, docs_error,
+          concat('draft=', case when c.status = 'DRAFT' then 'current' else 'done' end,
+            ',processing=', case c.status when 'DRAFT' then 'pending' when 'PROCESSING' then 'running' else 'done' end,
+            ',result=', case when c.status = 'NEEDS_REVIEW' then 'error' when c.status in ('READY', 'CLOSED') then 'done' else 'pending' end) as lifecycle,
+          concat('ingest=', case when c.status = 'DRAFT' then 'pending' when c.status <> 'PROCESSING' then 'done'
+                when r.user_id % 2 = 0 then r.state else 'pending' end,
+            ',classify=', case when c.status = 'DRAFT' then 'pending' when c.status <> 'PROCESSING' then 'done'
+                when r.user_id % 2 = 1 then r.state else 'pending' end) as tasks
+        from (select * replace (case when docs_total % 2 = 0 and status = 'READY' then 'PROCESSING' else status end as status) from b_cases) c
+        join (select case_id, max(event_id) as run_id from b_events group by case_id) l on c.case_id = l.case_id
+        join (select event_id, user_id, case type when 'EXPEDIENT_CREATED' then 'pending' when 'FILES_UPLOADED' then 'running'
+            when 'DOC_CLASSIFIED' then 'done' else 'error' end as state from b_events) r on r.event_id = l.run_id""",
     "document_files": """
         select concat(m.case_id, ':', m.staged_name) as doc_id, m.case_id, m.original_filename, m.kind,
           concat('staging/', m.case_id, '/', m.kind, '/', m.staged_name) as path,

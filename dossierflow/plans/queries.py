@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierflow.functions import paths, rules
 from dossierflow.operators import documents as docs_ops
-from dossierflow.operators import enrich, normalize, parse, report, serving, state, versions
+from dossierflow.operators import enrich, normalize, parse, report, search, serving, state, versions
 from dossierflow.operators.expand import expand_containers
 from dossierflow.plans import base, built_files
 from dossierflow.session import run_folder
@@ -101,28 +101,20 @@ QUERIES["expand_containers"] = _expand_containers
 
 @query
 def stream_ingest(spark, sf):
-    """Documents as landed files, drained as a stream into entries and manifest tables."""
-    source = base.table(spark, sf, "documents").schema
-    # A pattern names a single file and a folder of part files alike.
-    rows = spark.readStream.schema(source).parquet(f"{sf}/documents*.parquet")
-    kinds = {1: ".docx", 2: ".zip", 3: ".jpg", 4: ".csv"}
-    table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    sfx = F.coalesce(F.try_element_at(table, (F.col("doc_id") % 8).cast("int")), F.lit(".pdf"))
-    landed = rows.select(
-        F.concat(F.lit("/landing/"), F.col("source"), F.lit("/raw/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), sfx).alias("path"),
-        F.encode("text", "UTF-8").alias("content"),
-    )
-    work = run_folder(spark, "stream")
+    """Archives of documents landed in five deliveries, drained as a stream of files in five micro-batches."""
+    work, docs, parts = run_folder(spark, "stream"), base.table(spark, sf, "documents"), 5
+    archives = max(1, docs.count() // (50 * parts))
+    made = stages.write_folder(built_files.delivery(docs, archives, parts), f"{work}/made", ["part"])
+    for part in range(parts):  # one after another: the stream takes the oldest files first
+        rows = made.filter(F.col("part") == part).withColumn("path", F.concat(F.lit("landing/"), F.col("path")))
+        stages.write_files(rows.select("path", "content"), work).write.format("noop").mode("overwrite").save()
     staging = streaming.Staging(spark, f"{work}/staging")
+    landed = files.stream_files(spark, f"{work}/landing", files_per_batch=archives)
     streaming.ingest(landed, staging, f"{work}/checkpoint", archive_root="/archive")
     done = staging.archived_files().select(
-        paths.case_of_path(F.col("path")).alias("case_id"), paths.case_relative_name(F.col("path")).alias("source_path"), "archive_path"
-    )
-    return (
-        staging.manifest()
-        .join(done, ["case_id", "source_path"])
-        .select(*_MANIFEST, "archive_path")
+        paths.case_of_path(F.col("path")).alias("case_id"), paths.case_relative_name(F.col("path")).alias("source_path"), "archive_path", "batch_id"
     )
+    return staging.manifest().join(done, ["case_id", "source_path"]).select(*_MANIFEST, "archive_path", "batch_id")
 
 
 # --- reading staged artefacts ------------------------------------------------------------------
@@ -255,10 +247,11 @@ def classified(spark, sf):
 def classified_ml(spark, sf):
     """Quality labels learnt from the labelled documents, predicted for all."""
     docs = base.table(spark, sf, "documents").select("doc_id", F.col("text").alias("text_blocks"))
-    vectors = enrich.word_vectors(docs)
+    # Shapes are a few numbers per document; they are computed once, for training and for all.
+    shapes = stages.write_folder(enrich.text_shapes(docs), run_folder(spark, "shapes"))
     marks = base.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    model = enrich.train_classifier(vectors.join(marks, "doc_id"), "quality")
-    return enrich.classify_trained(vectors, model).select("doc_id", "classificacio")
+    model = enrich.train_shapes(shapes.join(marks, "doc_id"), "quality")
+    return enrich.classify_shapes(shapes, model=model).select("doc_id", "classificacio")
 
 
 @query
@@ -513,9 +506,11 @@ def case_list_reviewer(spark, sf):
 
 @query
 def case_facets(spark, sf):
+    """All facets at once; the search goes through an index of trigrams."""
+    cases = base.cases(spark, sf)
     found = serving.facet_cases(
-        base.cases(spark, sf), statuses=("READY", "NEEDS_REVIEW"), date="7d", errors_only=True, search=" 1-2024 ",
-        now=F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"),
+        cases, statuses=("READY", "NEEDS_REVIEW"), date="7d", errors_only=True, search=" 1-2024 ",
+        now=F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), index=search.write_index(cases, run_folder(spark, "trigrams")),
     )
     return found.select("case_id", "status", "docs_error")
 
@@ -584,6 +579,13 @@ def stats_by_category(spark, sf):
     return serving.stats_by_category(base.classified(spark, sf))
 
 
+@query
+def stats_by_category_scoped(spark, sf):
+    """The breakdown of one owner's cases; each source is a case, owned by its name."""
+    cases = base.table(spark, sf, "documents").select(F.col("source").alias("case_id"), F.concat("source", F.lit("@example.com")).alias("owner")).distinct()
+    return serving.stats_by_category(base.classified(spark, sf), serving.scope_cases(cases, "SRC1@example.com"))
+
+
 @query
 def case_lifecycle(spark, sf):
     return serving.lifecycle(base.cases(spark, sf))
@@ -613,7 +615,11 @@ def task_steps(spark, sf):
 
 @query
 def case_progress(spark, sf):
-    rows = serving.progress(base.cases(spark, sf))
+    """Cases with the last run that was started for each, and the states its two tasks are in."""
+    last = base.events(spark, sf).groupBy("case_id").agg(F.max("event_id").alias("last_run_id"))
+    reopened = F.when((F.col("docs_total") % 2 == 0) & (F.col("status") == "READY"), "PROCESSING").otherwise(F.col("status"))
+    cases = base.cases(spark, sf).join(last, "case_id", "left").withColumn("status", reopened)
+    rows = serving.progress(cases, _runs(spark, sf))
     show = lambda part: F.concat_ws(",", F.transform(part, lambda s: F.concat_ws("=", s["key"], s["state"])))
     return rows.select("case_id", "status", "docs_total", "docs_error", show("lifecycle").alias("lifecycle"), show("tasks").alias("tasks"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 from fnmatch import fnmatchcase
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierflow.functions import paths
 from dossierflow.schemas import LANDED_FILE, MANIFEST_JSON
+from dossierflow.session import run_folder
+from dossierflow.sources.stages import exists
 
 
 def stream_files(spark: SparkSession, landing: str, glob: str = "*", files_per_batch: int | None = None, archive: str | None = None) -> DataFrame:
@@ -28,56 +30,109 @@ def stream_files(spark: SparkSession, landing: str, glob: str = "*", files_per_b
     return reader.load(landing)
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """All files below a folder (path, modificationTime, length, content), but for those with a dot name in
-    their path.  Bytes are read only when `content` is used.
-
-    Spark's listing leaves out names that start with an underscore; they are listed apart and read in tasks."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    passed_over = underscored(spark, root, glob)
-    return listed.unionByName(_read_paths(passed_over)) if passed_over is not None else listed
-
-
-def underscored(spark: SparkSession, root: str, glob: str = "*") -> DataFrame | None:
-    """Files (path, modificationTime, length) below a folder that have an underscore name, but no dot name, in
-    their path; None when there are none.  The driver walks the listing and keeps these names only."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(root)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(top):
-        return None
-    start = len(system.makeQualified(top).toString().rstrip("/"))
-    walk, found = system.listFiles(top, True), []
-    while walk.hasNext():
-        status = walk.next()
-        path = status.getPath().toString()
-        names = path[start:].strip("/").split("/")
-        if any(n[:1] == "_" for n in names) and not any(n[:1] == "." for n in names) and fnmatchcase(names[-1], glob):
-            found.append((path, datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen()))
-    schema = "path string, modificationTime timestamp, length bigint"
-    return spark.createDataFrame(found, schema) if found else None
-
-
-def _read_paths(names: DataFrame) -> DataFrame:
-    """Files by path, with their content."""
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """Files below a folder (path, modificationTime, length), but for those with a dot name in their path.
+
+    Folders are rows: each level is listed by tasks, which spread its folders among them, and written; the driver
+    learns whether there is a next level, and no name.  Unlike Spark's own listing this one sees names that start with
+    an underscore."""
+    work, found = run_folder(spark, "listing"), []
+    start = qualified(spark, root)
+    folders = spark.range(1).select(F.lit(start).alias("path"))
+    while not folders.isEmpty():
+        level = folders.repartition("path").mapInArrow(lambda batches: _children(batches, glob), _LISTED)
+        level.write.parquet(f"{work}/{len(found)}")
+        found.append(spark.read.schema(_LISTED).parquet(f"{work}/{len(found)}"))
+        folders = found[-1].filter("folder").select("path")
+    return reduce(DataFrame.unionByName, found).filter("not folder").drop("folder")
+
+
+_LISTED = "path string, modificationTime timestamp, length bigint, folder boolean"
+# Names that the readers in tasks have for the same stores.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The folder with its scheme, as Spark names it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _opened(path: str):
+    """File system and bare name of a path."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition(":")
+    if not mark or scheme == "file":
+        bare = "/" + (rest if mark else path).lstrip("/")
+        return fs.LocalFileSystem(), bare
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def _children(batches, glob: str):
+    """What lies in each folder; a folder that is missing has nothing."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            system, bare = _opened(folder)
+            infos = system.get_file_info(fs.FileSelector(bare, allow_not_found=True))
+            kept = [
+                i for i in infos
+                if not i.base_name.startswith(".") and (i.type == fs.FileType.Directory or i.type == fs.FileType.File and fnmatchcase(i.base_name, glob))
+            ]
+            for low in range(0, len(kept), 10000):
+                some = kept[low : low + 10000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{folder}/{i.base_name}" for i in some], pa.string()),
+                        pa.array([i.mtime for i in some], pa.timestamp("us", tz="UTC")),
+                        pa.array([i.size or 0 for i in some], pa.int64()),
+                        pa.array([i.type == fs.FileType.Directory for i in some], pa.bool_()),
+                    ],
+                    names=["path", "modificationTime", "length", "folder"],
+                )
+
+
+def with_content(listed: DataFrame) -> DataFrame:
+    """Listed files with their content, read by the tasks that hold their names, one file at a time."""
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
             for i, path in enumerate(batch.column("path").to_pylist()):
-                system, bare = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                system, bare = _opened(path)
                 with system.open_input_stream(bare) as source:
                     content = pa.array([source.read()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], [*batch.schema.names, "content"])
 
-    return names.mapInArrow(run, LANDED_FILE)
+    return listed.select("path", "modificationTime", "length").mapInArrow(run, LANDED_FILE)
+
+
+def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """All files below a folder with their content; see `list_files`."""
+    listed = list_files(spark, root, glob)
+    # Names are few bytes and files many: without an exchange a few tasks would read them all.
+    return with_content(listed.repartition(spark.sparkContext.defaultParallelism, "path"))
+
+
+def stream_listed(spark: SparkSession, landing: str, work: str, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
+    """The same files as a stream, for landing folders whose names must not pass the driver.
+
+    What is new since the last call is listed by tasks and appended to a table of names below `work`, oldest first,
+    in files of `files_per_batch` names; the stream takes one of these at a time and reads the named files."""
+    names = f"{work.rstrip('/')}/landed_names"
+    listed = list_files(spark, landing, glob)
+    if exists(spark, names):
+        listed = listed.join(spark.read.schema(_NAMES).parquet(names).select("path"), "path", "left_anti")
+    ordered = listed.select("path", "modificationTime", "length").sort("modificationTime", "path")
+    ordered.write.mode("append").option("maxRecordsPerFile", files_per_batch).parquet(names)
+    return with_content(spark.readStream.schema(_NAMES).option("maxFilesPerTrigger", 1).parquet(names))
+
+
+_NAMES = "path string, modificationTime timestamp, length bigint"
 
 
 def under_raw(files: DataFrame) -> DataFrame:

@@ -50,20 +50,22 @@ def write_report(display: DataFrame, folder: str, format: str = "csv") -> None:
         writer.format(format).save(folder)
 
 
-def write_staged_files(staged: DataFrame, root: str) -> DataFrame:
-    """Staged entries as files <root>/<case>/<kind>/<staged name>, for readers of plain files.
+def _store_root(spark: SparkSession, root: str) -> str:
+    """A root as readers in tasks need it; without a scheme it belongs to Spark's default file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    if "://" not in root:
+        root = hadoop.FileSystem.get(spark._jsc.hadoopConfiguration()).makeQualified(hadoop.Path(root)).toString()
+    return "file://" + root[len("file:") :] if root.startswith("file:/") and not root.startswith("file://") else root
+
 
-    Takes rows (case_id, kind, staged_name, data, text); tasks write where the rows are, below
-    a folder every executor can reach, and the returned rows name what an action has written.
-    A root without a scheme belongs to Spark's default file system.  A file is written under another name and
-    renamed when it is whole, so a lost task leaves no cut file and a repeated one writes the same bytes again.
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Rows (path, content) as files below a folder that every executor can reach; tasks write where the rows are, and
+    the returned rows (path, length) name what an action has written.
+
+    A file is written under another name and renamed when it is whole, so a lost task leaves no cut file and a
+    repeated one writes the same bytes again.
     """
-    hadoop = staged.sparkSession._jvm.org.apache.hadoop.fs
-    conf = staged.sparkSession._jsc.hadoopConfiguration()
-    root = hadoop.FileSystem.get(conf).makeQualified(hadoop.Path(root)).toString() if "://" not in root else root
-    if root.startswith("file:/") and not root.startswith("file://"):
-        root = "file://" + root[len("file:") :]
-    schema = "case_id string, kind string, staged_name string, path string, length bigint"
+    root = _store_root(rows.sparkSession, root)
 
     def run(batches):
         import uuid
@@ -73,21 +75,33 @@ def write_staged_files(staged: DataFrame, root: str) -> DataFrame:
 
         store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
-            done = []
-            for r in batch.to_pylist():
-                body = r["data"] if r["kind"] == "binary" else (r["text"] or "").encode()
-                folder = f"{base.rstrip('/')}/{r['case_id']}/{r['kind']}"
-                path = f"{folder}/{r['staged_name']}"
+            lengths = []
+            for path, body in zip(batch.column("path").to_pylist(), batch.column("content")):
+                folder, _, name = f"{base.rstrip('/')}/{path}".rpartition("/")
                 store.create_dir(folder, recursive=True)
-                part = f"{folder}/.{r['staged_name']}-{uuid.uuid4().hex}"
+                part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                body = body.as_buffer() if body.is_valid else pa.py_buffer(b"")
                 with store.open_output_stream(part) as out:
-                    out.write(body or b"")
-                store.move(part, path)
-                done.append((r["case_id"], r["kind"], r["staged_name"], path, len(body or b"")))
-            names = ("case_id", "kind", "staged_name", "path", "length")
-            yield pa.RecordBatch.from_pydict({n: [d[i] for d in done] for i, n in enumerate(names)})
+                    out.write(body)
+                store.move(part, f"{folder}/{name}")
+                lengths.append(body.size)
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "length": pa.array(lengths, pa.int64())})
+
+    return rows.select("path", "content").mapInArrow(run, "path string, length bigint")
+
 
-    return staged.select("case_id", "kind", "staged_name", "data", "text").mapInArrow(run, schema)
+def write_staged_files(staged: DataFrame, root: str) -> DataFrame:
+    """Staged entries as files <root>/<case>/<kind>/<staged name>, for readers of plain files.
+
+    Takes rows (case_id, kind, staged_name, data, text); returns (case_id, kind, staged_name, path, length)."""
+    body = F.when(F.col("kind") == "binary", F.col("data")).otherwise(F.encode("text", "UTF-8"))
+    below = F.concat_ws("/", "case_id", "kind", "staged_name")
+    written = write_files(staged.select(below.alias("path"), body.alias("content")), root)
+    names = F.split("path", "/")
+    return written.select(
+        *(F.get(names, i).alias(c) for i, c in enumerate(("case_id", "kind", "staged_name"))),
+        F.concat(F.lit(_store_root(staged.sparkSession, root).rstrip("/") + "/"), "path").alias("path"), "length",
+    )
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
@@ -95,6 +109,13 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def finished_below(spark: SparkSession, root: str) -> list[str]:
+    """Folders right below `root` whose job has finished; names of folders only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(status.getPath().getParent().toString() for status in found or [])
+
+
 def write_batch(df: DataFrame, folder: str, batch_id: int, *within: str) -> None:
     """Replace the partition of one micro-batch; a replay writes the same place again."""
     (

@@ -1,13 +1,24 @@
-"""Landed files to entries and manifest, micro-batch by micro-batch.
+"""Landed files to entries and manifest, micro-batch by micro-batch, with known contents as streaming state.
 
-The driver never sees a row.  Each batch writes its own `batch_id` partition of every table,
-so a replayed batch replaces what it wrote before.
+Three streams follow one another.  The first opens the files of a micro-batch and writes entries with their payload,
+and the narrow columns of the same entries apart, as arrivals.  The second marks arrivals that are copies; its state
+is the first entry of every content.  The third drops what the manifest holds; its state is the known identities.  So
+a batch costs what it brings, however long the history is: no row that was written before is read again, and Spark
+removes arrivals that are handled.
+
+The driver never sees a row.  A replayed micro-batch of the first stream replaces its own partition; its arrivals
+come once more, find themselves known and add nothing.  The other two write by Spark's file sink, which takes a
+micro-batch once and never changes what the next stream may have read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dossierflow.functions import paths
 from dossierflow.operators import normalize
@@ -17,15 +28,14 @@ from dossierflow.sources import files, stages
 
 _BATCH = T.StructField("batch_id", T.LongType())
 ENTRIES_TABLE = T.StructType(ENTRY.fields + [T.StructField("has_text", T.BooleanType()), _BATCH])
-MANIFEST_TABLE = T.StructType(MANIFEST.fields + [_BATCH, T.StructField("case_part", T.IntegerType())])
 ARCHIVE_TABLE = T.StructType([T.StructField("path", T.StringType()), T.StructField("archive_path", T.StringType()), _BATCH])
 
-# The manifest is laid out by batch and by a hash of the case; a batch reads the parts of its own cases only.
-CASE_PARTS = 64
-
-
-def case_part() -> Column:
-    return F.pmod(F.xxhash64("case_id"), F.lit(CASE_PARTS)).cast("int")
+# What an arrival says about an entry: the manifest's columns but for those that depend on other entries.
+_TOLD = ("case_id", "source_path", "lineage", "original_filename", "suffix", "content_hash", "content_sha1", "reason", "raw_kind", "candidate")
+# `delivery` is the micro-batch of files that brought an entry.
+_DELIVERY = T.StructField("delivery", T.LongType())
+ARRIVAL = T.StructType([T.StructField(c, T.StringType()) for c in _TOLD] + [MANIFEST["entry_path"], _DELIVERY])
+MARKED = T.StructType(MANIFEST.fields + [_DELIVERY])
 
 
 class Staging:
@@ -44,34 +54,25 @@ class Staging:
         return self._read("entries", ENTRIES_TABLE)
 
     def manifest_batches(self) -> DataFrame:
-        return self._read("manifest", MANIFEST_TABLE)
+        """Manifest rows with the micro-batch of files that brought each."""
+        return self._read("manifest", MARKED)
 
     def manifest(self) -> DataFrame:
-        return self.manifest_batches().drop("batch_id", "case_part")
+        return self.manifest_batches().drop("delivery")
 
     def archived_files(self) -> DataFrame:
         return self._read("archived_files", ARCHIVE_TABLE)
 
 
-def process_batch(batch: DataFrame, batch_id: int, staging: Staging, scope: str = "case", archive_root: str | None = None) -> None:
-    """One micro-batch: expand, write entries, then derive the manifest from narrow columns."""
+def process_batch(batch: DataFrame, batch_id: int, staging: Staging, archive_root: str | None = None) -> None:
+    """One micro-batch of files: entries, their narrow columns as arrivals, and where each file belongs later."""
     if batch.isEmpty():
         return
-    spark = batch.sparkSession
-    found = expand_containers(files.landed(batch))
-    stages.write_batch(found.withColumn("has_text", F.col("text").isNotNull()), f"{staging.root}/entries", batch_id)
-
-    mine = F.col("batch_id") == batch_id
-    entries = staging.entries().filter(mine).drop("data", "text")
-    # Only earlier batches count as known, so a replay sees what the first attempt saw.
-    earlier = staging.manifest_batches().filter(F.col("batch_id") < batch_id)
-    parts = [r[0] for r in entries.select(case_part()).distinct().collect()]  # at most CASE_PARTS numbers
-    known = earlier.filter(F.col("case_part").isin(*parts)).drop("batch_id", "case_part")
-    same = earlier.drop("batch_id", "case_part") if scope == "global" else known
-    fresh = normalize.manifest_of_batch(entries, same, scope)
-    added = normalize.manifest_additions(known, fresh.drop("batch_id"))
-    added = added.select(*MANIFEST.fieldNames()).withColumn("case_part", case_part())
-    stages.write_batch(added, f"{staging.root}/manifest", batch_id, "case_part")
+    found = expand_containers(files.landed(batch)).withColumn("has_text", F.col("text").isNotNull())
+    stages.write_batch(found, f"{staging.root}/entries", batch_id)
+    written = staging.entries().filter(F.col("batch_id") == batch_id)
+    told = normalize.describe(normalize.narrow(written)).withColumn("delivery", F.col("batch_id")).select(*ARRIVAL.fieldNames())
+    stages.write_batch(told, f"{staging.root}/arrivals", batch_id)
     if archive_root:
         stages.write_batch(archive_rows(batch, archive_root), f"{staging.root}/archived_files", batch_id)
 
@@ -83,17 +84,115 @@ def archive_rows(batch: DataFrame, archive_root: str) -> DataFrame:
     return batch.select("path", target.alias("archive_path"))
 
 
-def start_ingest(stream: DataFrame, staging: Staging, checkpoint: str, **options) -> StreamingQuery:
-    """Drain what is pending, then stop.  `stream` has (path, content); see `stream_files`."""
+# --- manifest ------------------------------------------------------------------------------
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """Rows of a group in walk order; those of earlier deliveries first."""
+    rows = pd.concat(list(parts), ignore_index=True)
+    if len(rows) == 1:
+        return rows
+    place = list(zip(rows["delivery"], rows["case_id"], rows["source_path"], map(tuple, rows["entry_path"])))
+    return rows.iloc[sorted(range(len(rows)), key=place.__getitem__)]
+
+
+def _mark(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of one content: the first ever is kept, others are copies of it.  The same document delivered again
+    stays a kept row."""
+    rows = _in_order(parts)
+    if not state.exists:
+        state.update((rows["case_id"].iloc[0], rows["candidate"].iloc[0]))
+    case, name = state.get
+    copy = ((rows["case_id"] != case) | (rows["candidate"] != name)).to_numpy()
+    kind = rows["raw_kind"].where(~copy, "duplicate")
+    staged = rows["candidate"].where(~copy, None)
+    yield rows.drop(columns=["raw_kind", "candidate"]).assign(kind=kind, staged_name=staged, duplicate_of=[name if c else None for c in copy])
+
+
+def _once(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first row of an identity that is not in the manifest yet."""
+    if state.exists:
+        for _ in parts:
+            pass
+        return
+    state.update((True,))
+    yield _in_order(parts).iloc[:1].drop(columns=["identity"])
+
+
+def marked(arrivals: DataFrame, scope: str = "case") -> DataFrame:
+    """A stream of arrivals to a stream of manifest rows."""
+    staged = F.col("raw_kind").isin(*normalize.KEPT_KINDS)
+    keys = ["delivery" if k == "batch_id" else k for k in normalize.scope_columns(scope)]
+    told = arrivals.filter(staged).groupBy(*keys).applyInPandasWithState(
+        _mark, MARKED, "case_id string, candidate string", "append", GroupStateTimeout.NoTimeout
+    )
+    nothing = F.lit(None).cast("string")
+    skipped = arrivals.filter(~staged).withColumns(
+        {"reason": normalize.skip_reason(F.col("suffix"), F.col("reason")), "kind": F.lit("skipped"), "staged_name": nothing, "duplicate_of": nothing}
+    )
+    return told.unionByName(skipped.select(*MARKED.fieldNames()))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """A stream of manifest rows to those of identities that have not come before."""
+    name = F.coalesce(F.concat(F.lit("staged/"), "staged_name"), F.concat("kind", F.lit("/"), "lineage"))
+    return rows.withColumn("identity", name).groupBy("case_id", "identity").applyInPandasWithState(
+        _once, MARKED, "known boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _start(staging: Staging, source: str, schema: T.StructType, change, target: str, files_per_batch: int | None, clean: bool = False) -> StreamingQuery | None:
+    """Hand on what is pending in one folder to another, then stop; None where nothing has ever come."""
+    if not stages.exists(staging.spark, f"{staging.root}/{source}"):
+        return None
+    reader = staging.spark.readStream.schema(schema)
+    if clean:
+        reader = reader.option("cleanSource", "delete")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = change(reader.parquet(f"{staging.root}/{source}").select(*schema.fieldNames()))
+    return (
+        rows.writeStream.format("parquet")
+        .option("checkpointLocation", f"{staging.root}/{target}_state")
+        .trigger(availableNow=True)
+        .start(f"{staging.root}/{target}")
+    )
+
+
+def start_marks(staging: Staging, scope: str = "case", files_per_batch: int | None = None) -> StreamingQuery | None:
+    """Mark the arrivals that are pending.  The scope of a staging must not change."""
+    return _start(staging, "arrivals", ARRIVAL, lambda rows: marked(rows, scope), "marked", files_per_batch, True)
+
+
+def start_manifest(staging: Staging, files_per_batch: int | None = None) -> StreamingQuery | None:
+    """Add the marked rows that are pending to the manifest."""
+    return _start(staging, "marked", MARKED, once, "manifest", files_per_batch)
+
+
+def update_manifest(staging: Staging, scope: str = "case") -> Staging:
+    """Bring the manifest up to the entries."""
+    for start in (lambda: start_marks(staging, scope), lambda: start_manifest(staging)):
+        running = start()
+        if running is not None:
+            running.awaitTermination()
+    return staging
+
+
+# --- both ------------------------------------------------------------------------------------
+
+
+def start_ingest(stream: DataFrame, staging: Staging, checkpoint: str, archive_root: str | None = None) -> StreamingQuery:
+    """Drain the files that are pending, then stop.  `stream` has (path, content); see `stream_files`."""
     return (
         files.under_raw(stream)
-        .writeStream.foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, staging, **options))
+        .writeStream.foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, staging, archive_root))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def ingest(stream: DataFrame, staging: Staging, checkpoint: str, **options) -> Staging:
-    start_ingest(stream, staging, checkpoint, **options).awaitTermination()
-    return staging
+def ingest(stream: DataFrame, staging: Staging, checkpoint: str, scope: str = "case", archive_root: str | None = None) -> Staging:
+    """Files, then manifest."""
+    start_ingest(stream, staging, checkpoint, archive_root).awaitTermination()
+    return update_manifest(staging, scope)

@@ -1,5 +1,7 @@
 """Summary, label and fields on small Catalan texts, and both ways to score keywords."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,27 @@ def test_joined_scores_equal_inline_scores(spark):
     }
 
 
+def test_keywords_of_several_words(spark):
+    rules = spark.createDataFrame(
+        [("A", "acta de reunio", 1), ("A", "acta", 1), ("B", "de reunio", 2), ("B", "Acta-de-Reunio", 2), ("C", " . ", 3), ("D", "fi", None), ("D", "fi", None)],
+        "label string, keyword string, sort_order int",
+    )
+    texts = docs(spark, "Acta de reunio. ACTA, de: reunio!", "acta de", "de reunio, acta", "reunio fi", None)
+    got = {r["staged_name"]: (r["classificacio"], r["score"], r["confidence"]) for r in enrich.classify(texts, rules).collect()}
+    assert got == {"d0": ("A", 4, 0.5), "d1": ("A", 1, 1.0), "d2": ("A", 1, 0.5), "d3": ("D", 1, 1.0), "d4": (None, 0, None)}
+
+
+def test_many_keywords(spark):
+    """A taxonomy of 60,000 keywords against counting in plain Python."""
+    rules = spark.range(60000).selectExpr("concat('label', id % 700) as label", "concat('k', id) as keyword", "cast(id % 700 as int) as sort_order")
+    texts = [" ".join(f"k{(i * j * 7919) % 90000}" for j in range(1, 60)) for i in range(1, 40)]
+    got = {r["staged_name"]: (r["classificacio"], r["score"]) for r in enrich.classify(docs(spark, *texts), rules).collect()}
+    for i, text in enumerate(texts):
+        hits = Counter(int(w[1:]) % 700 for w in text.split() if int(w[1:]) < 60000)
+        best = min(hits, key=lambda n: (-hits[n], n), default=None)
+        assert got[f"d{i}"] == ((f"label{best}", hits[best]) if hits else (None, 0))
+
+
 def test_summary_takes_the_densest_sentences_in_order(spark):
     text = "Res. El contracte parla d'obres. Un apunt. Les obres del contracte segueixen. Obres i contracte acaben! Fi"
     got = enrich.summarize(docs(spark, text, "", "\n \n")).orderBy("staged_name").collect()

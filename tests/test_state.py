@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dossierflow.operators import enrich, normalize, state
+from dossierflow.functions import bloom
+from dossierflow.operators import documents, enrich, normalize, state
 from dossierflow.operators.expand import expand_containers
 from dossierflow.plans.built_files import docx
 from dossierflow.plans.merge_run import classify_and_merge
@@ -162,13 +163,99 @@ def test_a_run_that_broke_off_is_written_again(spark, tmp_path):
     assert store.read("documents").count() == 3
 
 
-def test_an_incremental_run_parses_only_what_is_left(spark, tmp_path, monkeypatch):
-    store = State(spark, tmp_path)
+def parser_rows(df):
+    """Rows that each parser node of an executed plan has received."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.finalPhysicalPlan())
+            continue
+        if hasattr(node, "plan") and node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName() == "ArrowEvalPython":
+            found.append(node.metrics().apply("pythonNumRowsReceived").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("batches", [False, True])
+def test_only_wanted_entries_are_parsed_and_no_payload_moves(spark, tmp_path, batches):
+    """Broadcast off: one parser node, as many rows as are wanted, no `data` below an exchange."""
+    made = [(f"E{i % 5}", f"d{i}.docx", docx([f"Resolucion {i}"])) for i in range(50)]
+    entries = expand_containers(spark.createDataFrame(made, "case_id string, source_path string, content binary"))
+    if batches:  # three files come twice
+        again = [(c, p, docx(["Segunda entrega"])) for c, p, _ in made[:3]]
+        more = expand_containers(spark.createDataFrame(again, "case_id string, source_path string, content binary"))
+        entries = entries.withColumn("batch_id", F.lit(0).cast("bigint")).unionByName(more.withColumn("batch_id", F.lit(1).cast("bigint")))
+    entries.write.parquet(str(tmp_path / "entries"))
+    entries = spark.read.schema(entries.schema).parquet(str(tmp_path / "entries"))
+    wanted = normalize.manifest(entries.drop("batch_id").limit(50)).filter("original_filename in ('d1.docx', 'd17.docx')")
+    wanted.write.parquet(str(tmp_path / "wanted"))
+    wanted = spark.read.schema(wanted.schema).parquet(str(tmp_path / "wanted"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        texts = documents.texts_of(entries, wanted)
+        got = sorted(r["text_blocks"] for r in texts.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == (["Resolucion 17", "Segunda entrega"] if batches else ["Resolucion 1", "Resolucion 17"])
+    assert parser_rows(texts) == [2]
+    shown = texts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    for line in shown.split("\n"):
+        assert "Exchange" not in line or "data#" not in line
+
+
+def test_a_run_parses_what_is_left_once(spark, tmp_path, monkeypatch):
+    store, plans = State(spark, tmp_path), []
+    from dossierflow.sources import stages
+
+    write = stages.write_folder
+
+    def watched(df, folder, *more):
+        found = write(df, folder, *more)
+        if folder.endswith("/texts"):
+            plans.append(df)
+        return found
+
+    monkeypatch.setattr(stages, "write_folder", watched)
     store.merge(tmp_path, "r1", FILES[::2], mode="incremental")
     more = FILES[::2] + [("E2", "c.docx", docx(["Notificacion oficial"]))]
     store.merge(tmp_path, "r2", more, mode="incremental", now=T2)
-    assert spark.read.parquet(str(tmp_path / "work-r2/wanted")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "work-r2/docs_all")).count() == 1
+    store.merge(tmp_path, "r3", more, now=T2)
+    assert [spark.read.parquet(str(tmp_path / f"work-{r}/texts")).count() for r in ("r1", "r2", "r3")] == [2, 1, 3]
+    for df, n in zip(plans, (2, 1, 3)):
+        df.collect()
+        assert parser_rows(df) == [n]
+
+
+def test_bloom_filter_loses_no_key(spark):
+    keys = spark.range(3000).select((F.col("id") * 7).alias("a"), F.col("id").cast("string").alias("b"))
+    others = spark.range(3000).select((F.col("id") * 7 + 1).alias("a"), F.col("id").cast("string").alias("b"))
+    size = bloom.size_for(3000)
+    kept = lambda df, s: df.filter(bloom.may_hold(bloom.bits_of(keys, ["a", "b"], s), [F.col("a"), F.col("b")], s)).count()
+    assert kept(keys, size) == 3000 and kept(others, size) < 30
+    assert kept(keys, 64) == 3000  # far too small: all pass
+    none = keys.limit(0)
+    assert keys.filter(bloom.may_hold(bloom.bits_of(none, ["a", "b"], 64), [F.col("a"), F.col("b")], 64)).isEmpty()
+
+
+def test_a_broken_off_run_is_not_read(spark, tmp_path):
+    store = State(spark, tmp_path)
+    store.merge(tmp_path, "r1", FILES)
+    store.merge(tmp_path, "r2", FILES, now=T2)
+    events = store.read("events").count()
+    (tmp_path / "state/r2/_SUCCESS").unlink()
+    assert store.read("events").count() == events // 2 and store.read("classification_history").isEmpty()
+    with pytest.raises(runs.IncompleteRun):
+        runs.read_state(spark, f"{store.root}/r2")
+    with pytest.raises(runs.IncompleteRun):
+        runs.read_state(spark, f"{store.root}/r9")
+    store.folder = f"{store.root}/r1"
+    store.merge(tmp_path, "r2", FILES, now=T2)
+    assert store.read("events").count() == events and store.read("classification_history").count() == 2
+    assert runs.read_log(spark, str(tmp_path / "nothing"), "events").isEmpty()
 
 
 def test_deleting_a_case(spark, tmp_path):

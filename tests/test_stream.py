@@ -2,6 +2,8 @@
 
 import shutil
 
+import pytest
+
 from dossierflow.sources import files
 from dossierflow.streaming import ingest as streaming
 from samples import mail, pdf, zipped
@@ -69,6 +71,7 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     batch = files.under_raw(files.read_files(spark, str(tmp_path / "landing")))
     streaming.process_batch(batch, 0, staging)
     streaming.process_batch(batch, 0, staging)
+    streaming.update_manifest(staging)
     assert sorted(map(str, staging.manifest_batches().collect())) == before
     assert staging.entries().count() == 2
 
@@ -94,6 +97,7 @@ def test_a_new_delivery_under_an_old_name_wins(spark, tmp_path):
     batch = spark.createDataFrame([("/landing/E1/raw/a.pdf", pdf(b"new"))], "path string, content binary")
     staging = streaming.Staging(spark, str(tmp_path / "staging"))
     streaming.process_batch(batch, 7, staging)
+    streaming.update_manifest(staging)
     latest = staged_entries(staging.entries()).collect()
     assert [bytes(r["data"]) for r in latest] == [pdf(b"new")]
     assert staging.manifest().count() == 1
@@ -110,3 +114,58 @@ def test_handled_files_can_be_moved_away(spark, tmp_path):
     left = sorted(p.name for p in (tmp_path / "landing").rglob("*.pdf"))
     assert "0.pdf" in moved and not set(moved) & set(left) and sorted(moved + left) == ["0.pdf", "1.pdf", "2.pdf"]
     assert kinds(streaming.Staging(spark, str(tmp_path / "staging"))).keys() == {("E1", f"sub/{i}.pdf") for i in range(3)}
+
+
+def test_a_micro_batch_that_spark_runs_again(spark, tmp_path):
+    """Both streams lose the record of their last micro-batch, as after a crash before it was noted."""
+    for i in range(5):
+        land(tmp_path, "E1", f"{i}.pdf", pdf(str(i % 3).encode()))
+    staging = drain(spark, tmp_path, files_per_batch=2)
+    before = sorted(map(str, staging.manifest().collect()))
+    assert len(before) == 5
+    for folder in (tmp_path / "checkpoint", tmp_path / "staging/marked_state", tmp_path / "staging/manifest_state"):
+        last = max((p for p in (folder / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+        last.unlink()
+        last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    again = drain(spark, tmp_path, files_per_batch=2)
+    assert sorted(map(str, again.manifest().collect())) == before and again.entries().count() == 5
+
+
+def test_work_follows_the_batch_and_not_the_history(spark, tmp_path):
+    """Fifty deliveries of the same make, each of one content that is known in all cases: the last costs what the
+    second does, and leaves no arrivals behind."""
+    staging = streaming.Staging(spark, str(tmp_path / "staging"))
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        name, content = "concat(id, '.pdf')", "sha1(if(id % 3 = 0, 'known', string(id)))"
+        told = spark.range(150).selectExpr(
+            "concat('E', id % 2) as case_id", f"{name} as source_path", f"{name} as lineage", f"{name} as original_filename", "'.pdf' as suffix",
+            f"substring({content}, 1, 12) as content_hash", f"{content} as content_sha1", "string(null) as reason", "'binary' as raw_kind",
+            f"concat('doc_', {name}) as candidate", "cast(array() as array<int>) as entry_path", "id div 3 as delivery", "id div 3 as batch_id",
+        )
+        told.repartition(1, "batch_id").write.partitionBy("batch_id").parquet(f"{staging.root}/arrivals")
+        for start in (lambda: streaming.start_marks(staging, "global", 1), lambda: streaming.start_manifest(staging, 1)):
+            running = start()
+            running.awaitTermination()
+            steps = [(p.numInputRows, [s.numRowsUpdated for s in p.stateOperators]) for p in running.recentProgress if p.numInputRows]
+            assert len(steps) == 50 and all(x == steps[1] for x in steps[1:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert len(list((tmp_path / "staging/arrivals").rglob("*.parquet"))) <= 2
+    found = staging.manifest_batches().groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in found} == {"binary": 101, "duplicate": 49}
+    first = staging.manifest_batches().filter("kind = 'binary' and substring(content_sha1, 1, 8) = substring(sha1('known'), 1, 8)").first()
+    assert first["delivery"] == 0
+
+
+def test_a_document_delivered_again_as_a_copy(spark, tmp_path):
+    """Batch scope knows nothing of other batches; identities are known in every scope."""
+    staging = streaming.Staging(spark, str(tmp_path / "staging"))
+    for n in range(2):
+        names = [(f"/landing/E1/raw/{x}.pdf", pdf(b"same")) for x in "ab"] + [("/landing/E1/raw/n.txt", b"x"), (f"/landing/E1/raw/{n}.pdf", pdf(b"same"))]
+        streaming.process_batch(spark.createDataFrame(names, "path string, content binary"), n, staging)
+    streaming.update_manifest(staging, "batch")
+    assert kinds(staging) == {
+        ("E1", "0.pdf"): "binary", ("E1", "a.pdf"): "duplicate", ("E1", "b.pdf"): "duplicate", ("E1", "n.txt"): "skipped", ("E1", "1.pdf"): "binary",
+    }
