@@ -16,12 +16,14 @@ GRAM, PERCENT = 5, 80
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass all quality rules."""
+    """Documents that pass all quality rules.  A null text is an empty one, which fails; equal rows fare alike; other
+    columns pass as they are; no rows give none."""
     return quality_rules.kept_rows(docs)
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, learned from the labelled ones among them, does not reject."""
+    """Documents that the classifier chain, learned from the labelled ones among them, does not reject.  Nulls, equal
+    rows and other columns as above; without labelled documents nothing is rejected."""
     return toxicity.clean_rows(docs, toxicity.fit(docs, texts.table(spark, sf_dir, "labels")))
 
 
@@ -33,16 +35,24 @@ def node() -> Column:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies.  Rows equal in id and text are one document;
-    different texts are different documents, whatever their ids."""
+    different texts are different documents, whatever their ids.
+
+    Where every row has an id of its own, that is its name in the join.  Otherwise equal rows are collapsed and rows
+    are named by id and text, at three times the width.  Other columns travel as one, so they may have any name."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is null or rows > 1")
+    if ids.isEmpty():
+        joined = ngram_join.joined(docs, "doc_id", GRAM, PERCENT)
+        return docs.join(joined.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     others = F.min(F.struct(*(c for c in docs.columns if c != "text"))).alias("others")
     whole = docs.groupBy(node().alias("node")).agg(others, F.first("text").alias("text"))
-    whole = texts.stored(whole.select("node", "others.*", "text"), "distinct-rows")
+    whole = texts.stored(whole, "distinct-rows")
     first = ngram_join.joined(whole, "node", GRAM, PERCENT).where("node = component_id").select("node")
-    return whole.join(first, "node", "left_semi").select(docs.columns)
+    return whole.join(first, "node", "left_semi").select("others.*", "text").select(docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens.  A null text is an empty one; equal rows are packed one
+    by one; other columns are not read."""
     return packing.packed(docs, tokenizer_file("word_bpe_49k.json"), end=2)
 
 

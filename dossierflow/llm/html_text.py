@@ -3,7 +3,7 @@
 1. Markup is stripped: every block element starts a new line; inline markup vanishes; references are decoded and
    white space becomes one space.  Lines inside menus, headers, footers, sidebars, notices, adverts and reader
    comments are surroundings, by element, role and the names in class and id, and so are forms, but for those around
-   most of the page's text; scripts, styles and the like leave no line at all.
+   the article, all of it, or most of an unmarked page; scripts, styles and the like leave no line at all.
 2. Surroundings are left out.  Every other line gets the sum of text lengths over a sliding window of lines; lines
    that are mostly links count nothing.
 3. A surge is where the sum rises over the limit, a dive where it falls to nothing.  Where the page marks its
@@ -61,6 +61,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!|;|$)")
 WORD = re.compile(r"[^\W\d_]{2,}")
+COMMENT = re.compile(r"comments?(?:[-_](?:body|content|item|text|wrap|\d+))*")
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -78,6 +79,32 @@ class Open(NamedTuple):
     silent: bool
     main: bool
     form: bool
+    at: int
+
+
+def ended(page: str) -> set[int]:
+    """Where start tags stand that have an end tag of their own."""
+    found: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    at = 0
+    while m := TAG.search(page, at):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if not name:
+            continue
+        if (m[1] if m[2] else m[4]) == "/":
+            if waiting.get(name):
+                found.add(waiting[name].pop())
+        elif name in RAW:
+            end = CLOSING[name].search(page, at)
+            at = end.start() if end else len(page)
+        elif name not in VOID:
+            waiting.setdefault(name, []).append(m.start())
+    return found
+
+
+def role_of(attributes: str) -> str:
+    return next(("".join(values).strip().lower() for key, *values in ATTRIBUTE.findall(attributes) if key.lower() == "role"), "")
 
 
 def names_surroundings(token: str) -> bool:
@@ -96,7 +123,8 @@ def marks(name: str, attributes: str) -> bool:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and name not in MAIN and any(map(names_surroundings, value.split())):
+        # An article is not called by its surroundings, but a reader's comment may be one.
+        if key in ("class", "id") and any(map(COMMENT.fullmatch if name in MAIN else names_surroundings, value.split())):
             return True
         if key == "role" and value.strip() in AROUND_ROLES:
             return True
@@ -108,7 +136,8 @@ def marks(name: str, attributes: str) -> bool:
 def lines(page: str) -> list[Line]:
     """The page's lines of text in order."""
     out: list[Line] = []
-    stack = [Open("", False, False, False, False)]
+    stack = [Open("", False, False, False, False, 0)]
+    with_end: set[int] | None = None
     parts: list[str] = []
     linked, links, at = 0, 0, 0
     opened: Counter[str] = Counter()  # names on the stack
@@ -160,7 +189,8 @@ def lines(page: str) -> list[Line]:
             if name == "a":
                 links += 1
             if name in MAIN and stack[-1].around and not stack[-1].main:
-                stack = [o for o in stack if not o.around]  # surroundings that nobody closed
+                with_end = ended(page) if with_end is None else with_end
+                stack = [o for o in stack if not o.around or o.at in with_end]  # without surroundings that nobody closed
                 opened = Counter(o.name for o in stack)
             top = stack[-1]
             if name in ("p", "li", *HEADINGS) and top.name in ("p", *HEADINGS) or name == "li" and top.name == "li":
@@ -171,10 +201,10 @@ def lines(page: str) -> list[Line]:
                 around = False  # the headline of the article
             if around and not top.around:
                 end_line()
-            main = top.main or (name in MAIN or 'role="main"' in attributes) and not around
+            main = top.main or (name in MAIN or "role" in attributes.lower() and role_of(attributes) == "main") and not around
             form = (top.form or name == "form") and top.main >= main  # not of an article inside the form
             opened[name] += 1
-            stack.append(Open(name, around, top.silent or name in SILENT, main, form))
+            stack.append(Open(name, around, top.silent or name in SILENT, main, form, m.start()))
             if name in RAW:
                 end = CLOSING[name].search(page, at)
                 at = end.start() if end else len(page)
@@ -188,7 +218,8 @@ def kept(found: list[Line]) -> list[str]:
     marked = any(x.main for x in found)
     found = [x for x in found if x.main >= marked]
     weigh = lambda x: len(x.text) * (marked or 2 * x.linked <= len(x.text))
-    if 2 * sum(weigh(x) for x in found if x.form) <= sum(map(weigh, found)):
+    inside, outside = (sum(weigh(x) for x in found if x.form == form) for form in (True, False))
+    if outside and (marked or inside <= outside):
         found = [x for x in found if not x.form]
     weight = list(map(weigh, found))
     limit = 1 if marked else SURGE
@@ -197,7 +228,9 @@ def kept(found: list[Line]) -> list[str]:
     for i in range(len(found) + 1):
         window = sum(weight[i : i + WINDOW])
         if start < 0 and window >= limit and i < len(found) and weight[i]:
-            start = i  # surge
+            start = i  # surge, with the title and the like that stand right before it
+            while not marked and start and weight[start - 1]:
+                start -= 1
         if start >= 0 and window == 0:  # dive
             out += [x.text for x in found[start:i]]
             start = -1

@@ -72,17 +72,18 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _blob(block: int, which: np.ndarray, often: np.ndarray, rows: pa.RecordBatch | None = None) -> pa.RecordBatch:
+def _blob(task: int, block: int, which: np.ndarray, often: np.ndarray, rows: pa.RecordBatch | None = None) -> pa.RecordBatch:
     body = pickle.dumps((len(which), packed(which), packed(often), rows and _ipc(rows)))
-    return pa.record_batch([[block << PLACES], [None], [body]], schema=ROWS)
+    return pa.record_batch([[task], [block << PLACES], [None], [body]], schema=ROWS)
 
 
-# A pre-token has a place, 28 bits within its block; a block, and a list of counts for it, is a blob at place 0.
-ROWS = pa.schema([("place", pa.int64()), ("part", pa.string()), ("blob", pa.binary())])
+# Blocks are numbered within the task that cut them.  A pre-token has a place, 28 bits within its block; a block, and a
+# list of counts for it, is a blob at place 0.
+ROWS = pa.schema([("task", pa.int32()), ("place", pa.int64()), ("part", pa.string()), ("blob", pa.binary())])
 PLACES = 28
 
 
-def _block(s: texts.Slice, block: int, key: str) -> Iterator[pa.RecordBatch]:
+def _block(s: texts.Slice, task: int, block: int, key: str) -> Iterator[pa.RecordBatch]:
     seen: dict[bytes, int] = defaultdict()
     seen.default_factory = seen.__len__
     new_which, new_often, per = [], [], np.zeros(len(s), np.int64)
@@ -104,14 +105,14 @@ def _block(s: texts.Slice, block: int, key: str) -> Iterator[pa.RecordBatch]:
         which[low:high], often[low:high] = which[low:high][order], often[low:high][order]
     step = np.diff(which, prepend=np.int32(0)).view(np.uint32)
     rows = pa.record_batch([s.batch.column(s.batch.schema.get_field_index(key)), pa.array(np.diff(s.at)), pa.array(per)], [key, "n_bytes", "parts"])
-    yield _blob(block, step, often, rows)
+    yield _blob(task, block, step, often, rows)
     del which, often, step
     distinct = list(seen)
     seen.clear()
     for low in range(0, len(distinct), 1 << 16):
         some = pa.array(distinct[low : low + (1 << 16)], pa.binary()).cast(pa.string())
         place = (block << PLACES) + np.arange(low, low + len(some), dtype=np.int64)
-        yield pa.record_batch([pa.array(place), some, pa.nulls(len(some), pa.binary())], schema=ROWS)
+        yield pa.record_batch([pa.array(np.full(len(some), task, np.int32)), pa.array(place), some, pa.nulls(len(some), pa.binary())], schema=ROWS)
     del distinct
     pa.default_memory_pool().release_unused()
 
@@ -120,26 +121,26 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     """Blocks pass; pre-tokens become packed lists of (place in the block, count), one per block."""
     tokenizer, memo = library(path), {}
     for batch in batches:
-        part = batch.column(1)
+        part = batch.column(2)
         if part.null_count:
             yield batch.filter(part.is_null())
             batch = batch.filter(part.is_valid())
         if not len(batch):
             continue
-        coded = batch.column(1).dictionary_encode()
+        coded = batch.column(2).dictionary_encode()
         new = [p for p in coded.dictionary.to_pylist() if p not in memo]
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = coded.dictionary.to_pylist()
         memo.update(zip(new, pieces(tokenizer, new)))
         count = np.array([memo[p] for p in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)]
-        place = np.asarray(batch.column(0))
-        order = np.argsort(place)
-        place, count = place[order], count[order]
+        task, place = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        order = np.lexsort((place, task))
+        task, place, count = task[order], place[order], count[order]
         block, at = place >> PLACES, place & ((1 << PLACES) - 1)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        cut = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(task) != 0)) + 1, [len(block)]])
         for low, high in zip(cut[:-1], cut[1:]):
-            yield _blob(int(block[low]), np.diff(at[low:high], prepend=0), count[low:high])
+            yield _blob(int(task[low]), int(block[low]), np.diff(at[low:high], prepend=0), count[low:high])
 
 
 def counts(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = BLOCK_BYTES, limit: int = LIMIT) -> DataFrame:
@@ -149,7 +150,7 @@ def counts(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = B
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for n, s in enumerate(texts.slices(batches, most=block_bytes)):
-            yield from _block(s, (task << 12) + n, key)
+            yield from _block(s, task, n, key)
 
     def summed(rows: pa.Table) -> pa.Table:
         head, lists, size = None, [], 0
@@ -171,11 +172,11 @@ def counts(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = B
         n = total[end] - total[end - np.asarray(out.column("parts"))]
         return pa.table({key: out.column(key), "n_bytes": out.column("n_bytes"), "n_tokens": n, "over_limit": n > limit})
 
-    schema = "place long, part string, blob binary"
+    schema = "task int, place long, part string, blob binary"
     rows = docs.select(key, "text").mapInArrow(blocks, schema)
-    met = rows.repartition(F.when(F.col("part").isNull(), F.col("place")).otherwise(F.xxhash64("part")))
+    met = rows.repartition(F.when(F.col("part").isNull(), F.xxhash64("task", "place")).otherwise(F.xxhash64("part")))
     return (
         met.mapInArrow(lambda batches: _counted(batches, path), schema)
-        .groupBy(F.shiftright("place", PLACES).alias("block"))
+        .groupBy("task", F.shiftright("place", PLACES).alias("block"))
         .applyInArrow(summed, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
     )

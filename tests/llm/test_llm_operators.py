@@ -57,6 +57,15 @@ def test_join_chain_of_copies(spark):
     assert got == sorted(plain.joined(table), key=str)
 
 
+def test_token_counts_of_many_blocks(spark):
+    """More blocks in a task than any fixed number of bits for them: one text each."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    df = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id, ' of ', id % 7) as text").repartition(2)
+    got = rows(token_counts.counts(df, path, block_bytes=1))
+    library = token_counts.library(path)
+    assert got == sorted(((k, len(t), len(library.encode(t, add_special_tokens=False).ids), False) for k, t in pairs(df)), key=str)
+
+
 def test_token_counts(spark, docs, odd):
     library = token_counts.library(tokenizer_file("byte_bpe_50k.json"))
     for df in (odd, docs.limit(200).union(docs.limit(3))):
@@ -165,6 +174,25 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><p>text</p></main><aside class=sidebar><article><p>teaser</p></article></aside>", "text"),
+        ("<article><p>text</p></article><div id=comments><ul><li class=comment><article class='comment-body'><p>great</p></article></ul></div>", "text"),
+        ("<article class='post has-comments'><p>text</p></article><article id=c7 class=comment-body><p>great</p></article>", "text"),
+        ("<article><p>One</p><form><p>a longer text with many more words than the article</p></form></article>", "One"),
+        ("<p>before</p><div role=main><p>text</p></div><p>after</p>", "text"),
+        ("<p>before</p><div ROLE='main'><p>text</p></div><p>after</p>", "text"),
+        ('<p>before</p><div role = "main"><p>text</p></div><p>after</p>', "text"),
+        ("<div class=ad>buy<aside>side<article><p>text</p></article>", "text"),
+        ("<h1>Title</h1><p>by A</p><p>2024</p><p>place</p><p>{0}</p><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul>", "Title\nby A\n2024\nplace\n{0}"),
+    ],
+)
+def test_html_contract(page, text):
+    long = " ".join(["words of an article that has no mark"] * 4)
+    assert html_text.main_text(page.format(long)) == text.format(long)
+
+
 def test_html_region():
     long = "long text with many words in it " * 6
     page = f"<div><a href=1>home</a></div><ul><li><a>x</a><li><a>y</a></ul><div><p>{long}</p><p>short</p><p>{long}</p></div><br><div><a>z</a></div>"

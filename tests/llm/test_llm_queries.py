@@ -4,6 +4,7 @@ import compare
 import corpus_pipeline
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import plain
 from dossierflow.llm import oracles, queries, texts
@@ -54,5 +55,8 @@ def test_pipeline_keeps_every_text_of_an_id(spark, sf):
     docs = spark.createDataFrame([(k, t, "en", str(i), 1) for i, (k, t) in enumerate(made)], plain.empty(spark).schema)
     want = {(1, a, "0"), (1, b, "1"), (-4, c, "5"), (None, d, "6"), (None, None, "9"), (5, None, "10")}
     for n in (1, 5):
-        got = corpus_pipeline.one_of_each_group(spark, docs.repartition(n), sf).select("doc_id", "text", "source").collect()
+        made = docs.withColumns({"node": F.lit("x"), "others": F.lit(1)}).repartition(n)
+        found = corpus_pipeline.one_of_each_group(spark, made, sf)
+        assert found.columns == made.columns
+        got = found.select("doc_id", "text", "source").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
