@@ -207,8 +207,8 @@ def with_run_states(cases: DataFrame, runs: DataFrame | None = None, salts: int
     """Cases with `known` and the state of each task of their run (run_id, task_key, life_cycle_state,
     result_state).
 
-    Runs become one row each before the join, and only processing cases with a run take part in it, so neither
-    cases without a run nor one run over many cases meet in a single partition."""
+    Runs become one row each before the join, and only processing cases with a run take part in it.  Cases of a run
+    that many share are dealt to `salts` parts; only the rows of such runs are replicated."""
     states = [f"run_{i}" for i in range(len(TASKS))]
     unknown = {"known": F.lit(False), **{s: F.lit(None).cast("string") for s in states}}
     if runs is None:
@@ -217,11 +217,11 @@ def with_run_states(cases: DataFrame, runs: DataFrame | None = None, salts: int
     per_run = runs.groupBy("run_id").agg(
         *[F.max(F.when(F.col("task_key") == task, state)).alias(s) for s, (_, task, _, _) in zip(states, TASKS)]
     )
-    spread = per_run.select("run_id", *states, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    spread = spread.withColumnRenamed("run_id", "last_run_id").withColumn("found", F.lit(True))
+    per_run = per_run.filter(F.col("run_id").isNotNull()).select(F.col("run_id").alias("_run"), *states, F.lit(True).alias("found"))
     asks = F.coalesce((F.col("status") == "PROCESSING") & F.col("last_run_id").isNotNull(), F.lit(False))
-    asking = cases.filter(asks).withColumn("salt", F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int"))
-    told = asking.join(spread, ["last_run_id", "salt"], "left").withColumn("known", F.coalesce("found", F.lit(False)))
+    asking = cases.filter(asks).withColumn("_run", F.col("last_run_id"))
+    told = heavy.join(asking, per_run, "_run", "left", salts=salts, deal_by=F.col("case_id"))
+    told = told.withColumn("known", F.coalesce("found", F.lit(False)))
     return told.select(*cases.columns, "known", *states).unionByName(cases.filter(~asks).withColumns(unknown))
 
 

@@ -133,6 +133,15 @@ def test_task_states_follow_a_known_run(spark):
 # --- plan shapes -------------------------------------------------------------------------------
 
 
+def test_runs_are_not_replicated_for_the_join_with_cases(spark):
+    """Only the rows of runs that many cases share are met in several parts."""
+    cases = spark.range(4000).selectExpr("cast(id as string) AS case_id", "'PROCESSING' AS status", "if(id < 3000, 7, id) AS last_run_id")
+    runs = spark.range(4000).selectExpr("id AS run_id", "'classify_merge' AS task_key", "'TERMINATED' AS life_cycle_state", "if(id = 7, 'FAILED', 'SUCCESS') AS result_state")
+    told = serving.with_run_states(cases, runs)
+    assert {(r["run_1"], r["known"]): r["count"] for r in told.groupBy("run_1", "known").count().collect()} == {("error", True): 3000, ("done", True): 1000}
+    assert "explode(sequence(" not in told._jdf.queryExecution().analyzed().toString()  # every run in every part
+
+
 def test_bucketed_stages_join_without_an_exchange(spark, sf):
     key = documents.DOCUMENT_KEY
     texts = stages.save_stage(base.texts(spark, sf).drop("raw_kind"), "t3_texts", key, 4)
