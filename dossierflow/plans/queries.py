@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -132,11 +133,22 @@ def read_manifest_json(spark, sf):
 def read_whole_text(spark, sf):
     """Every text written as one file under its staged name, and read back whole."""
     folder = run_folder(spark, "texts")
-    rows = base.docs_all(spark, sf).select("case_id", "staged_name", "text_blocks")
-    rows.write.partitionBy("case_id", "staged_name").text(folder)
-    read = files.read_staged_texts(spark, folder)
-    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1).alias(name)
-    return read.select(part("case_id"), part("staged_name"), F.md5("text_blocks").alias("text_md5"))
+    # Tasks write the files below one folder per case: folders of single files would pass the driver one by one.
+    # Rows of one name share a file, a line each.
+    lines = F.concat(F.array_join(F.sort_array(F.collect_list("text_blocks")), "\n"), F.lit("\n"))
+    rows = base.docs_all(spark, sf).groupBy("case_id", "staged_name").agg(F.encode(lines, "UTF-8").alias("content"))
+    path = F.concat(F.lit("case-"), _as_path_part(F.col("case_id")), F.lit("/text-"), _as_path_part(F.col("staged_name")))
+    stages.write_files(rows.select(path.alias("path"), "content"), folder).write.format("noop").mode("overwrite").save()
+    read = files.read_staged_texts(spark, f"{folder}/*")
+    bare = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # the reader gives paths as URIs
+    part = lambda pattern: F.url_decode(F.replace(F.regexp_extract(bare, pattern, 1), F.lit("+"), F.lit("%2B")))
+    names = part("(?s)/case-([^/]*)/[^/]*$").alias("case_id"), part("(?s)/text-([^/]*)$").alias("staged_name")
+    return read.select(*names, F.md5("text_blocks").alias("text_md5"))
+
+
+def _as_path_part(name):
+    """A name as one part of a path, which is no partition column either."""
+    return reduce(lambda c, mark: F.replace(c, F.lit(mark), F.lit(f"%{ord(mark):02X}")), "%/=", name)
 
 
 @query
