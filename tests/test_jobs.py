@@ -1,13 +1,17 @@
 """The batch job, readers, parameters and plan shapes."""
 
+import hashlib
 import zlib
+from email.headerregistry import HeaderRegistry
+from email.message import EmailMessage
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dossierflow import session
-from dossierflow.operators import documents, enrich, heavy, normalize, parse, report, search, serving, state
-from dossierflow.plans import base, batch
+from dossierflow.operators import documents, enrich, expand, heavy, normalize, parse, report, search, serving, state
+from dossierflow.plans import base, batch, built_files, queries
 from dossierflow.plans.built_files import docx, pdf as page_file, pptx
 from dossierflow.sources import files, stages
 from dossierflow.streaming import ingest
@@ -277,3 +281,55 @@ def test_a_search_reads_candidates(spark, tmp_path):
     assert "part#" in parts and "trigram" in plan(asked).split("PushedFilters: [")[1].split("]")[0]
     shown = plan(serving.facet_cases(cases, search="case-299", index=folder))
     assert "LeftSemi" in shown
+
+
+# --- bounded tasks -----------------------------------------------------------------------------
+
+
+def test_a_batch_is_parsed_in_slices(monkeypatch):
+    done = []
+    monkeypatch.setattr(parse, "_parse_one", lambda d, s: done.append(d) or {"elements": [{"type": "text", "content": d.decode()}], "error_status": None})
+    data = [b"%d" % i for i in range(1000)]
+    slices = parse._parsed_slices(pa.array(data, pa.binary()), pa.array([".html"] * 1000))
+    first = next(slices)
+    assert len(first) == len(done) < 100
+    rows = pa.concat_arrays([first, *slices]).to_pylist()
+    assert [r["elements"][0]["content"].encode() for r in rows] == done == data
+
+
+def test_files_are_made_in_slices():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": [f"t{i}" for i in range(500)]})
+    done = []
+    made = built_files._with_made([batch], ["doc_id"], lambda r: done.append(r["doc_id"]) or r["text"].encode())
+    first = next(made)
+    assert first.num_rows == len(done) < 100
+    rows = pa.Table.from_batches([first, *made]).to_pylist()
+    assert rows == [{"doc_id": i, "content": b"t%d" % i} for i in range(500)]
+
+
+def test_whole_texts_come_back_under_their_names(spark, tmp_path):
+    """Names that paths write differently, rows that come twice, and no folder for each text."""
+    cases = ["a/b", "k=v", "50%", "x+y z", "_hidden", "plain"]
+    rows = [(i, f"text {i}\nline", "en", c, 11) for i, c in zip((8, 9, 10, 11, 14, 15), cases)]
+    table = spark.createDataFrame([*rows, rows[-1]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    expected = {(r["case_id"], r["staged_name"]) for r in base.docs_all(spark, str(tmp_path)).collect()}
+    got = queries.read_whole_text(spark, str(tmp_path))
+    found = {(r["case_id"], r["staged_name"]): r["text_md5"] for r in got.collect()}
+    assert set(found) == expected and {c for c, _ in found} == set(cases)
+    text = {c: hashlib.md5(f"{t}\n".encode()).hexdigest() for _, t, _, c, _ in rows}
+    assert all(found[k] == text[k[0]] for k in found if k[0] != "plain")
+    assert len({f.rsplit("/", 1)[0] for f in got.inputFiles()}) == len(cases)
+
+
+def test_mails_are_written_and_read_as_by_the_general_code(monkeypatch):
+    for body in ("", "plain", "é\n\n", "a\rb\r\nc\x0b\x0c\x1c\x85", "From x\n--b\n.\n", "long " * 100 + "ü\n" + "x" * 2000):
+        general = EmailMessage()
+        general["Subject"], general["From"] = "en", "sender@example.com"
+        general.set_content(body)
+        entries = [list(expand.leaves(expand.Part("m.eml", [], ".eml", m))) for m in (general.as_bytes(), built_files.mail("en", body))]
+        assert entries[0] == entries[1] and len(entries[0]) == 1
+    calls = []
+    monkeypatch.setattr(expand, "HeaderRegistry", lambda: lambda name, value: calls.append((name, value)) or HeaderRegistry()(name, value))
+    list(expand.leaves(expand.Part("m.eml", [], ".eml", general.as_bytes())))
+    assert calls and len(calls) == len(set(calls))  # no header twice
