@@ -4,21 +4,18 @@ Three streams follow one another.  The first opens the files of a micro-batch an
 and the narrow columns of the same entries apart, as arrivals.  The second marks arrivals that are copies; its state
 is the first entry of every content.  The third drops what the manifest holds; its state is the known identities.  So
 a batch costs what it brings, however long the history is: no row that was written before is read again, and Spark
-removes arrivals that are handled.
+removes arrivals that are handled.  Both states are Spark's own operators, an aggregate and a distinct; what they tell
+of a micro-batch is joined with the rows of its files.
 
-The driver never sees a row.  A replayed micro-batch of the first stream replaces its own partition; its arrivals
-come once more, find themselves known and add nothing.  The other two write by Spark's file sink, which takes a
-micro-batch once and never changes what the next stream may have read.
+The driver sees names of files and never a row.  A replayed micro-batch of the first stream replaces its own
+partition of entries; its arrivals come once more, find themselves known and add nothing.  The other two keep the rows
+of a micro-batch that they have finished, and so never change what the next stream may have read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dossierflow.functions import paths
 from dossierflow.operators import normalize
@@ -36,6 +33,8 @@ _TOLD = ("case_id", "source_path", "lineage", "original_filename", "suffix", "co
 _DELIVERY = T.StructField("delivery", T.LongType())
 ARRIVAL = T.StructType([T.StructField(c, T.StringType()) for c in _TOLD] + [MANIFEST["entry_path"], _DELIVERY])
 MARKED = T.StructType(MANIFEST.fields + [_DELIVERY])
+# Walk order; earlier deliveries first.
+_ORDER = ("delivery", "case_id", "source_path", "entry_path")
 
 
 class Staging:
@@ -48,7 +47,7 @@ class Staging:
         folder = f"{self.root}/{name}"
         if not stages.exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder)
+        return self.spark.read.schema(schema).parquet(folder).select(*schema.fieldNames())
 
     def entries(self) -> DataFrame:
         return self._read("entries", ENTRIES_TABLE)
@@ -72,7 +71,8 @@ def process_batch(batch: DataFrame, batch_id: int, staging: Staging, archive_roo
     stages.write_batch(found, f"{staging.root}/entries", batch_id)
     written = staging.entries().filter(F.col("batch_id") == batch_id)
     told = normalize.describe(normalize.narrow(written)).withColumn("delivery", F.col("batch_id")).select(*ARRIVAL.fieldNames())
-    stages.write_batch(told, f"{staging.root}/arrivals", batch_id)
+    # Added and not replaced: the next stream may have planned to read what an earlier attempt wrote.
+    told.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").partitionBy("batch_id").parquet(f"{staging.root}/arrivals")
     if archive_root:
         stages.write_batch(archive_rows(batch, archive_root), f"{staging.root}/archived_files", batch_id)
 
@@ -87,61 +87,97 @@ def archive_rows(batch: DataFrame, archive_root: str) -> DataFrame:
 # --- manifest ------------------------------------------------------------------------------
 
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of a group in walk order; those of earlier deliveries first."""
-    rows = pd.concat(list(parts), ignore_index=True)
-    if len(rows) == 1:
-        return rows
-    place = list(zip(rows["delivery"], rows["case_id"], rows["source_path"], map(tuple, rows["entry_path"])))
-    return rows.iloc[sorted(range(len(rows)), key=place.__getitem__)]
-
-
-def _mark(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one content: the first ever is kept, others are copies of it.  The same document delivered again
-    stays a kept row."""
-    rows = _in_order(parts)
-    if not state.exists:
-        state.update((rows["case_id"].iloc[0], rows["candidate"].iloc[0]))
-    case, name = state.get
-    copy = ((rows["case_id"] != case) | (rows["candidate"] != name)).to_numpy()
-    kind = rows["raw_kind"].where(~copy, "duplicate")
-    staged = rows["candidate"].where(~copy, None)
-    yield rows.drop(columns=["raw_kind", "candidate"]).assign(kind=kind, staged_name=staged, duplicate_of=[name if c else None for c in copy])
-
-
-def _once(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first row of an identity that is not in the manifest yet."""
-    if state.exists:
-        for _ in parts:
-            pass
-        return
-    state.update((True,))
-    yield _in_order(parts).iloc[:1].drop(columns=["identity"])
+def _asked(rows: DataFrame, key: Column, **also: Column) -> DataFrame:
+    """A stream of rows as what a state is asked: the key of every row that has one, and once the name of every file.
+
+    The state answers for the keys of a micro-batch only; the names tell which files to read for its rows."""
+    name = F.when(F.col("_metadata.row_index") == 0, F.col("_metadata.file_path"))
+    keyed = F.struct(F.lit(None).cast("string").alias("file"), key.alias("key"), *(v.alias(c) for c, v in also.items()))
+    named = F.struct(name.alias("file"), *(F.lit(None).alias(c) for c in ("key", *also)))
+    both = F.array(F.when(key.isNotNull(), keyed), F.when(name.isNotNull(), named))
+    return rows.select(F.explode(F.array_compact(both)).alias("asked")).select("asked.*")
+
+
+def _staged() -> Column:
+    return F.col("raw_kind").isin(*normalize.KEPT_KINDS)
+
+
+def _content(scope: str) -> Column:
+    keys = ("delivery" if k == "batch_id" else k for k in normalize.scope_columns(scope))
+    return F.array(*(F.col(k).cast("string") for k in keys))
+
+
+def _identity() -> Column:
+    name = F.coalesce(F.concat(F.lit("staged/"), "staged_name"), F.concat("kind", F.lit("/"), "lineage"))
+    return F.array("case_id", name)
+
+
+def first_entries(arrivals: DataFrame, scope: str = "case") -> DataFrame:
+    """A stream of arrivals to the first entry ever of their contents.
+
+    The first is of the earliest micro-batch, by the time that Spark notes for it, and there the first in walk order.
+    `latest` is when the content last came, for `_in_time`."""
+    asked = _asked(arrivals, F.when(_staged(), _content(scope)), entry=F.struct(*_ORDER, "candidate"))
+    seen = asked.withColumn("seen", F.unix_millis(F.current_timestamp()))
+    return seen.groupBy("file", "key").agg(F.min(F.struct("seen", "entry")).alias("first"), F.max("seen").alias("latest"))
 
 
-def marked(arrivals: DataFrame, scope: str = "case") -> DataFrame:
-    """A stream of arrivals to a stream of manifest rows."""
-    staged = F.col("raw_kind").isin(*normalize.KEPT_KINDS)
-    keys = ["delivery" if k == "batch_id" else k for k in normalize.scope_columns(scope)]
-    told = arrivals.filter(staged).groupBy(*keys).applyInPandasWithState(
-        _mark, MARKED, "case_id string, candidate string", "append", GroupStateTimeout.NoTimeout
+def _in_time(told: DataFrame) -> DataFrame:
+    """First entries, where the clock has not been set back: a content known from a later time would lose its first."""
+    now = F.max(F.when(F.col("file").isNotNull(), F.col("first.seen")))
+    times = told.agg(now.alias("now"), F.max("latest").alias("latest")).first()
+    if times["latest"] > times["now"]:
+        raise RuntimeError(f"the clock is {times['latest'] - times['now']} ms behind an earlier micro-batch; set it and remove the offsets of the last one")
+    return told.select("key", "first.entry")
+
+
+def marked(arrivals: DataFrame, firsts: DataFrame, scope: str = "case") -> DataFrame:
+    """Manifest rows of arrivals: the first entry of a content is kept, others are copies of it.  The same document
+    delivered again stays a kept row."""
+    staged = arrivals.filter(_staged()).withColumn("key", _content(scope)).join(firsts, "key", "left")
+    copy = ~F.struct("case_id", "candidate").eqNullSafe(F.struct("entry.case_id", "entry.candidate"))
+    told = staged.withColumns(
+        {"kind": F.when(copy, "duplicate").otherwise(F.col("raw_kind")), "staged_name": F.when(~copy, F.col("candidate")), "duplicate_of": F.when(copy, F.col("entry.candidate"))}
     )
     nothing = F.lit(None).cast("string")
-    skipped = arrivals.filter(~staged).withColumns(
+    skipped = arrivals.filter(~_staged()).withColumns(
         {"reason": normalize.skip_reason(F.col("suffix"), F.col("reason")), "kind": F.lit("skipped"), "staged_name": nothing, "duplicate_of": nothing}
     )
-    return told.unionByName(skipped.select(*MARKED.fieldNames()))
+    return told.select(*MARKED.fieldNames()).unionByName(skipped.select(*MARKED.fieldNames()))
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """A stream of manifest rows to those of identities that have not come before."""
-    name = F.coalesce(F.concat(F.lit("staged/"), "staged_name"), F.concat("kind", F.lit("/"), "lineage"))
-    return rows.withColumn("identity", name).groupBy("case_id", "identity").applyInPandasWithState(
-        _once, MARKED, "known boolean", "append", GroupStateTimeout.NoTimeout
-    )
+def new_identities(rows: DataFrame) -> DataFrame:
+    """A stream of manifest rows to the identities that have not come before."""
+    return _asked(rows, _identity()).dropDuplicates(["file", "key"])
+
+
+def once(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The first row of every identity that is not in the manifest yet."""
+    wanted = rows.withColumn("key", _identity()).join(fresh.select("key"), "key")
+    first = F.min(F.struct(*_ORDER, F.struct(*MARKED.fieldNames()).alias("row"))).alias("first")
+    return wanted.groupBy("key").agg(first).select("first.row.*")
 
 
-def _start(staging: Staging, source: str, schema: T.StructType, change, target: str, files_per_batch: int | None, clean: bool = False) -> StreamingQuery | None:
+def _take(told: DataFrame, batch_id: int, staging: Staging, schema: T.StructType, change, target: str) -> None:
+    """One micro-batch: what the state tells is written, then what becomes of the rows that it is about.
+
+    The rows of a finished micro-batch stay as they are, as the next stream may have read them."""
+    spark, folder = staging.spark, f"{staging.root}/{target}/batch_id={batch_id}"
+    stages.write_folder(told, f"{staging.root}/{target}_told")
+    told = spark.read.schema(told.schema).parquet(f"{staging.root}/{target}_told")
+    names = [_plain(spark, r["file"]) for r in told.filter("file is not null").select("file").collect()]
+    if names and not stages.exists(spark, f"{folder}/_SUCCESS"):
+        change(spark.read.schema(schema).parquet(*names), told).write.mode("overwrite").parquet(folder)
+
+
+def _plain(spark: SparkSession, uri: str) -> str:
+    """A path as readers take it, from the URI that they give."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
+
+
+def _start(
+    staging: Staging, source: str, schema: T.StructType, ask, mode: str, change, target: str, files_per_batch: int | None, clean: bool = False
+) -> StreamingQuery | None:
     """Hand on what is pending in one folder to another, then stop; None where nothing has ever come."""
     if not stages.exists(staging.spark, f"{staging.root}/{source}"):
         return None
@@ -150,23 +186,26 @@ def _start(staging: Staging, source: str, schema: T.StructType, change, target:
         reader = reader.option("cleanSource", "delete")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = change(reader.parquet(f"{staging.root}/{source}").select(*schema.fieldNames()))
     return (
-        rows.writeStream.format("parquet")
+        ask(reader.parquet(f"{staging.root}/{source}"))
+        .writeStream.outputMode(mode)
+        .foreachBatch(lambda told, batch_id: _take(told, batch_id, staging, schema, change, target))
         .option("checkpointLocation", f"{staging.root}/{target}_state")
         .trigger(availableNow=True)
-        .start(f"{staging.root}/{target}")
+        .start()
     )
 
 
 def start_marks(staging: Staging, scope: str = "case", files_per_batch: int | None = None) -> StreamingQuery | None:
     """Mark the arrivals that are pending.  The scope of a staging must not change."""
-    return _start(staging, "arrivals", ARRIVAL, lambda rows: marked(rows, scope), "marked", files_per_batch, True)
+    ask = lambda arrivals: first_entries(arrivals, scope)
+    change = lambda arrivals, told: marked(arrivals, _in_time(told).filter("key is not null"), scope)
+    return _start(staging, "arrivals", ARRIVAL, ask, "update", change, "marked", files_per_batch, True)
 
 
 def start_manifest(staging: Staging, files_per_batch: int | None = None) -> StreamingQuery | None:
     """Add the marked rows that are pending to the manifest."""
-    return _start(staging, "marked", MARKED, once, "manifest", files_per_batch)
+    return _start(staging, "marked", MARKED, new_identities, "append", once, "manifest", files_per_batch)
 
 
 def update_manifest(staging: Staging, scope: str = "case") -> Staging:

@@ -169,3 +169,43 @@ def test_a_document_delivered_again_as_a_copy(spark, tmp_path):
     assert kinds(staging) == {
         ("E1", "0.pdf"): "binary", ("E1", "a.pdf"): "duplicate", ("E1", "b.pdf"): "duplicate", ("E1", "n.txt"): "skipped", ("E1", "1.pdf"): "binary",
     }
+
+
+def tell(spark, staging, rows):
+    """Arrivals as written by one micro-batch of files: (delivery, name, content)."""
+    told = spark.createDataFrame(rows, "delivery long, name string, content string").selectExpr(
+        "'E1' as case_id", "name as source_path", "name as lineage", "name as original_filename", "'.pdf' as suffix",
+        "substring(sha1(content), 1, 12) as content_hash", "sha1(content) as content_sha1", "string(null) as reason", "'binary' as raw_kind",
+        "concat('doc_', name) as candidate", "cast(array() as array<int>) as entry_path", "delivery", "delivery as batch_id",
+    )
+    told.repartition(1).write.mode("append").partitionBy("batch_id").parquet(f"{staging.root}/arrivals")
+
+
+def finish(running):
+    running.awaitTermination()
+    return [s.operatorName for p in running.recentProgress if p.numInputRows for s in p.stateOperators]
+
+
+def test_states_are_spark_operators_and_later_batches_displace_nothing(spark, tmp_path):
+    """No state calls Python.  What was kept stays kept, also where a part of an earlier delivery comes later; among
+    rows that wait together the first in walk order is taken, whichever file they are in."""
+    staging = streaming.Staging(spark, str(tmp_path / "stag ing"))
+    tell(spark, staging, [(1, "b.pdf", "x"), (1, "c.pdf", "x"), (1, "same.pdf", "late")])
+    tell(spark, staging, [(0, "a.pdf", "x"), (0, "same.pdf", "early")])
+    used = finish(streaming.start_marks(staging, "case", 1))
+    assert len(used) == 2 and not [u for u in used if "Pandas" in u or "Groups" in u]
+    used = finish(streaming.start_manifest(staging))
+    assert len(used) == 1 and not [u for u in used if "Pandas" in u or "Groups" in u]
+    found = {r["lineage"]: (r["delivery"], r["kind"], r["duplicate_of"]) for r in staging.manifest_batches().collect()}
+    assert found == {
+        "b.pdf": (1, "binary", None), "c.pdf": (1, "duplicate", "doc_b.pdf"), "a.pdf": (0, "duplicate", "doc_b.pdf"), "same.pdf": (0, "binary", None),
+    }
+    assert staging.manifest().count() == 4
+
+
+def test_a_clock_set_back_is_refused(spark):
+    schema = "file string, key array<string>, first struct<seen: bigint, entry: struct<candidate: string>>, latest bigint"
+    now, known = ("f", None, (5, None), 5), (None, ["E1", "x"], (3, ("doc",)), 5)
+    assert streaming._in_time(spark.createDataFrame([now, known], schema)).count() == 2
+    with pytest.raises(RuntimeError, match="2 ms behind"):
+        streaming._in_time(spark.createDataFrame([now, (None, ["E1", "x"], (5, ("doc",)), 7)], schema))
