@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from fnmatch import fnmatchcase
 from functools import reduce
 
@@ -169,9 +170,141 @@ def read_staged_binaries(spark: SparkSession, folders: str | list[str]) -> DataF
 
 
 def read_staged_texts(spark: SparkSession, folders: str | list[str]) -> DataFrame:
-    """Whole-file texts as (staged_name, path, text_blocks); an empty file gives no row."""
-    files = spark.read.text(folders, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return files.select(paths.file_name(F.col("path")).alias("staged_name"), "path", F.col("value").alias("text_blocks"))
+    """Whole-file texts as (staged_name, path, text_blocks); an empty file gives no row.
+
+    Paths are URIs.  Files are listed and read by tasks, as Spark's text reader keeps every name on the driver; like
+    that one they open gz, bz2 and zst by the suffix."""
+    read = list_named(spark, folders).filter("length > 0").select("path").mapInArrow(_whole_files, "path string, content binary")
+    return read.select(paths.file_name(F.col("path")).alias("staged_name"), "path", F.col("content").cast("string").alias("text_blocks"))
+
+
+def list_named(spark: SparkSession, given: str | list[str]) -> DataFrame:
+    """Files (path, length) that Spark's readers take for paths, which may have wildcards: what lies right in a folder or
+    in folders key=value below it, without hidden names.  A path without any file is left to Spark, which refuses a
+    missing one.
+
+    Tasks match and list.  Names are written 1,000 to a file, so that a few files are a task's work, and by the number
+    of their folder, in 256 parts at most: as many folders of names as folders that were read, until there are more."""
+    work, given = run_folder(spark, "listing"), [given] if isinstance(given, str) else given
+    starts = [(i, 0, *_start(spark, plain)) for i, one in enumerate(given) for plain in spark._jvm.org.apache.hadoop.fs.GlobExpander.expand(one)]
+    found, tasks = spark.createDataFrame(starts, _MATCHED), spark.sparkContext.defaultParallelism
+    for _ in range(max((len(rest) for *_, rest in starts), default=0)):
+        found = found.repartition(tasks, "path").mapInArrow(_matching, _MATCHED)
+    below = found.repartition(tasks, "path").mapInArrow(_files_in, f"{_NAMED}, part int")
+    below.write.option("maxRecordsPerFile", 1000).partitionBy("part").parquet(work)
+    names = spark.read.schema(f"{_NAMED}, part int").parquet(work)
+    filled = {r["given"] for r in names.select("given").distinct().collect()}
+    if empty := [one for i, one in enumerate(given) if i not in filled]:
+        spark.read.text(empty)
+    return names.select("path", "length")
+
+
+# A path so far, the parts of the pattern that are left (a name after "=", an expression after "~"), a running number.
+_MATCHED = "given int, number int, path string, rest array<string>"
+_NAMED = "given int, path string, length bigint"
+
+
+def _start(spark: SparkSession, pattern: str) -> tuple[str, list[str]]:
+    """What stands before the first wildcard, with its scheme, and the parts from there on."""
+    glob = spark._jvm.org.apache.hadoop.fs.GlobPattern
+    head, rest = [], []
+    for part in qualified(spark, pattern).split("/"):
+        wild = glob(part)
+        name = re.sub(r"\\(.)", r"\1", part)
+        if wild.hasWildcard():
+            rest.append("~" + wild.compiled().pattern())
+        elif rest:
+            rest.append("=" + name)
+        else:
+            head.append(name)
+    return "/".join(head), rest
+
+
+def _matching(batches):
+    """One part of the pattern further."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            part, *rest = row["rest"] or [""]
+            if part[:1] != "~":
+                found = [row["path"] + part.replace("=", "/", 1)]
+            else:
+                system, bare = _opened(row["path"] or "/")
+                infos = system.get_file_info(fs.FileSelector(bare, allow_not_found=True))
+                kept = (i for i in infos if re.fullmatch(part[1:], i.base_name, re.DOTALL) and (not rest or i.type == fs.FileType.Directory))
+                found = sorted(f"{row['path']}/{i.base_name}" for i in kept)
+            for low in range(0, len(found), 10000):
+                some = found[low : low + 10000]
+                numbers = [(row["number"] + low + i) % (1 << 30) for i in range(len(some))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["given"]] * len(some), pa.int32()), pa.array(numbers, pa.int32()), pa.array(some, pa.string()), pa.array([rest] * len(some), pa.list_(pa.string()))],
+                    names=["given", "number", "path", "rest"],
+                )
+
+
+def _files_in(batches):
+    """The files right in a folder and in folders key=value below it; a file is itself, a missing path nothing."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for row in batch.select(["given", "number", "path"]).to_pylist():
+            system, bare = _opened(row["path"])
+            is_file = system.get_file_info(bare).type == fs.FileType.File
+            folders = [] if is_file else [(row["path"], bare)]
+            kept = [(row["path"], system.get_file_info(bare).size or 0)] if is_file and not _hidden(bare.rpartition("/")[2]) else []
+            while folders or kept:
+                if not kept:
+                    folder, bare = folders.pop()
+                    for i in system.get_file_info(fs.FileSelector(bare, allow_not_found=True)):
+                        if not _hidden(i.base_name):
+                            if i.type == fs.FileType.File:
+                                kept.append((f"{folder}/{i.base_name}", i.size or 0))
+                            elif "=" in i.base_name:
+                                folders.append((f"{folder}/{i.base_name}", i.path))
+                some, kept = kept[:10000], kept[10000:]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["given"]] * len(some), pa.int32()),
+                        pa.array([path for path, _ in some], pa.string()),
+                        pa.array([size for _, size in some], pa.int64()),
+                        pa.array([row["number"] % 256] * len(some), pa.int32()),
+                    ],
+                    names=["given", "path", "length", "part"],
+                )
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+# What Java's URIs write as %XX.
+_QUOTED = re.compile(r"""[\x00-\x20"#%<>?\[\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]""")
+
+
+def _as_uri(path: str) -> str:
+    """A path as Spark's metadata column gives it."""
+    return _QUOTED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), path)
+
+
+def _whole_files(batches):
+    """Each file's content under its URI, in batches of about 1 MB."""
+    import pyarrow as pa
+
+    for batch in batches:
+        names, bodies, held = [], [], 0
+        for i, path in enumerate(batch.column("path").to_pylist(), 1):
+            system, bare = _opened(path)
+            with system.open_input_stream(bare) as source:
+                bodies.append(source.read())
+            names.append(_as_uri(path))
+            held += len(bodies[-1])
+            if held >= 1 << 20 or i == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["path", "content"])
+                names, bodies, held = [], [], 0
 
 
 def read_manifests(spark: SparkSession, location: str | list[str], case_pattern: str = r"/staging/([^/]+)/manifest.json\z", json_lines: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 """The batch job, readers, parameters and plan shapes."""
 
+import gzip
 import hashlib
 import zlib
 from email.headerregistry import HeaderRegistry
@@ -7,6 +8,7 @@ from email.message import EmailMessage
 
 import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dossierflow import session
@@ -322,6 +324,29 @@ def test_whole_texts_come_back_under_their_names(spark, tmp_path):
     assert len({f.rsplit("/", 1)[0] for f in got.inputFiles()}) == len(cases)
 
 
+def test_whole_texts_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The rows of Spark's text reader, for odd names and wildcards, from a plan that names no text."""
+    names = ("a/x y.txt", "a/50%.txt", "a/é+=&;@.txt", "a/[b]{c}^.txt", "b 1/z.txt", "b 1/_no.txt", "b 1/.no.txt", "b 1/_k=v.txt", "b 1/_metadata", "b 1/deep/no.txt")
+    for name in (*names, "c/k=2/in.txt", "_h/t.txt", "a/text/t1.txt", "b 1/text/t2.txt", "e/empty.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "e/empty.txt" else name.encode() + b"\r\n\xff\xfe")
+    (tmp_path / "e/g.txt.gz").write_bytes(gzip.compress(b"zipped"))
+    (tmp_path / "void").mkdir()
+    for i in range(2500):
+        (tmp_path / f"e/{i}.txt").write_text(f"text {i}")
+    rows = lambda df: sorted((r["staged_name"], r["path"], bytes(r["body"])) for r in df.select("staged_name", "path", F.col("text_blocks").cast("binary").alias("body")).collect())
+    for given in (["[ab]*"], ["a", "a", "e"], ["{a/text,e}"], ["*/text"], ["*/*.txt"], ["c"], ["a/x y.txt"], ["_h"], ["void"]):
+        folders = [f"{tmp_path}/{g}" for g in given]
+        plain = spark.read.text(folders, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+        expected = rows(plain.select(F.regexp_extract("path", "([^/]+)$", 1).alias("staged_name"), "path", F.col("value").alias("text_blocks")))
+        got = files.read_staged_texts(spark, folders)
+        assert rows(got) == expected and (expected or given == ["void"])
+        assert not any(str(tmp_path) in f for f in got.inputFiles())
+    assert len(files.read_staged_texts(spark, f"{tmp_path}/e").inputFiles()) < 10
+    with pytest.raises(AnalysisException):
+        files.read_staged_texts(spark, [f"{tmp_path}/a", f"{tmp_path}/none*"])
+
+
 def test_mails_are_written_and_read_as_by_the_general_code(monkeypatch):
     for body in ("", "plain", "é\n\n", "a\rb\r\nc\x0b\x0c\x1c\x85", "From x\n--b\n.\n", "long " * 100 + "ü\n" + "x" * 2000):
         general = EmailMessage()
