@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from fnmatch import fnmatchcase
 from functools import reduce
 
@@ -173,7 +174,7 @@ def read_staged_texts(spark: SparkSession, folders: str | list[str]) -> DataFram
     """Whole-file texts as (staged_name, path, text_blocks); an empty file gives no row.
 
     Paths are URIs.  Files are listed and read by tasks, as Spark's text reader keeps every name on the driver; like
-    that one they open gz, bz2 and zst by the suffix."""
+    that one they open gz, bz2, zst and deflate by the suffix.  Snappy and lz4 in Hadoop's framing are refused."""
     read = list_named(spark, folders).filter("length > 0").select("path").mapInArrow(_whole_files, "path string, content binary")
     return read.select(paths.file_name(F.col("path")).alias("staged_name"), "path", F.col("content").cast("string").alias("text_blocks"))
 
@@ -298,8 +299,11 @@ def _whole_files(batches):
         names, bodies, held = [], [], 0
         for i, path in enumerate(batch.column("path").to_pylist(), 1):
             system, bare = _opened(path)
+            if path.endswith((".snappy", ".lz4")):
+                raise ValueError(f"compressed as only Hadoop reads it: {path}")
             with system.open_input_stream(bare) as source:
-                bodies.append(source.read())
+                body = source.read()
+            bodies.append(zlib.decompress(body) if path.endswith(".deflate") else body)
             names.append(_as_uri(path))
             held += len(bodies[-1])
             if held >= 1 << 20 or i == batch.num_rows:

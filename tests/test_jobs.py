@@ -8,7 +8,7 @@ from email.message import EmailMessage
 
 import pyarrow as pa
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
 from dossierflow import session
@@ -331,6 +331,7 @@ def test_whole_texts_are_listed_and_read_by_tasks(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"" if name == "e/empty.txt" else name.encode() + b"\r\n\xff\xfe")
     (tmp_path / "e/g.txt.gz").write_bytes(gzip.compress(b"zipped"))
+    (tmp_path / "e/h.txt.deflate").write_bytes(zlib.compress(b"deflated"))
     (tmp_path / "void").mkdir()
     for i in range(2500):
         (tmp_path / f"e/{i}.txt").write_text(f"text {i}")
@@ -345,6 +346,9 @@ def test_whole_texts_are_listed_and_read_by_tasks(spark, tmp_path):
     assert len(files.read_staged_texts(spark, f"{tmp_path}/e").inputFiles()) < 10
     with pytest.raises(AnalysisException):
         files.read_staged_texts(spark, [f"{tmp_path}/a", f"{tmp_path}/none*"])
+    (tmp_path / "void/s.txt.snappy").write_bytes(b"x")
+    with pytest.raises(PythonException, match="only Hadoop"):
+        files.read_staged_texts(spark, f"{tmp_path}/void").collect()
 
 
 def test_mails_are_written_and_read_as_by_the_general_code(monkeypatch):
